@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from riskframe.plans import measuring
+from riskframe.plans import encoding, fairness, inference, measuring, preparing
 
-MODULES = (measuring,)
+MODULES = (preparing, encoding, measuring, fairness, inference)
 
 
 def catalog() -> dict:

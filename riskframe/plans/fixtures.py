@@ -90,6 +90,11 @@ def with_scored(*ctes: str, select: str) -> str:
     return with_applications(SCORED, *ctes, select=select)
 
 
+def quantile_list(points: int) -> str:
+    """SQL list of evenly spaced probabilities from 0 to 1."""
+    return "[" + ", ".join(repr(i / (points - 1)) for i in range(points)) + "]"
+
+
 def rounded(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
     """Round every double outside ``keep`` and drop the sign of zero."""
     out = []
