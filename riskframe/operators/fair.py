@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from riskframe.functions.lookup import fits_broadcast
 from riskframe.functions.ordering import exact_quantiles
-from riskframe.operators.measure import accuracy_of, balanced_accuracy_of, ratio
+from riskframe.functions.scorecard import score_vector
+from riskframe.operators.measure import (
+    accuracy_of,
+    balanced_accuracy_of,
+    confusion_counts,
+    ratio,
+)
 
 # -- before training: reweighing ----------------------------------------------
 
@@ -137,3 +144,70 @@ def apply_thresholds(df: DataFrame, threshold_0: float, threshold_1: float) -> D
         F.col("score") > F.lit(float(threshold_1))
     )
     return df.withColumn("pred", over.cast("int"))
+
+
+# -- during training: group-constrained fitting ---------------------------------
+
+
+def constrained_fit(
+    df: DataFrame,
+    classifier,
+    features: str = "features",
+    label: str = "y",
+    group: str = "z",
+    id: str = "app_id",
+    constraint: str = "fnr,fpr",
+    tolerance: float = 0.05,
+    rounds: int = 10,
+    step: float = 1.0,
+    threshold: float = 0.5,
+):
+    """Weighted fits that narrow the gap in error rates between the groups.
+
+    Each round measures the false-positive and false-negative rate of every
+    group; cells (group, label) whose rate exceeds the lowest group's by more
+    than ``tolerance`` get a heavier weight, and the learner is fitted again.
+    Returns the model of the round with the smallest excess and the history
+    [(round, fpr gap, fnr gap)]. ``df`` should be cached by the caller.
+    """
+    watched = {name.strip() for name in constraint.split(",")}
+    if not watched <= {"fpr", "fnr"} or not watched:
+        raise ValueError("constraint must name fpr, fnr or both")
+    weights: dict[tuple, float] = {}
+    history, best = [], None
+    for turn in range(rounds + 1):
+        weight = F.lit(1.0)
+        for (g, y), value in weights.items():
+            hit = (F.col(group) == F.lit(g)) & (F.col(label) == y)
+            weight = F.when(hit, F.lit(float(value))).otherwise(weight)
+        model = classifier.fit(
+            df.withColumn("__dual", weight), features, label, "__dual" if weights else None, id
+        )
+        scored = score_vector(model, df.select(group, label, features), features)
+        flags = scored.withColumn("pred", (F.col("score") >= threshold).cast("int"))
+        counts = confusion_counts(flags, [group], label=label).collect()
+        rates = {}
+        for row in counts:
+            negatives, positives = row["fp"] + row["tn"], row["tp"] + row["fn"]
+            rates[row[group]] = {
+                "fpr": row["fp"] / negatives if negatives else None,
+                "fnr": row["fn"] / positives if positives else None,
+            }
+        gaps, excess = {}, 0.0
+        for name, y in (("fpr", 0), ("fnr", 1)):
+            known = {g: r[name] for g, r in rates.items() if r[name] is not None}
+            floor = min(known.values(), default=0.0)
+            gaps[name] = max(known.values(), default=0.0) - floor
+            if name not in watched:
+                continue
+            for g, rate in known.items():
+                over = rate - floor - tolerance
+                excess = max(excess, over)
+                if over > 0:
+                    weights[(g, y)] = weights.get((g, y), 1.0) * math.exp(step * over)
+        history.append((turn, gaps["fpr"], gaps["fnr"]))
+        if best is None or excess < best[0]:
+            best = (excess, model)
+        if excess <= 0:
+            break
+    return best[1], history

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskframe.functions.lookup import attach_state, fits_broadcast
 from riskframe.functions.spec import FeatureSpec
+from riskframe.session import cut_lineage
 
 #: One-hot and ordinal levels become literals in the plan, so they are bounded.
 MAX_LEVELS = 1000
@@ -26,12 +27,15 @@ MAX_LEVELS = 1000
 # -- aggregates shared by the fit and by single-purpose callers ---------------
 
 
-def numeric_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+def numeric_stats(
+    df: DataFrame, columns: Sequence[str], extra: Sequence[Column] = ()
+) -> dict[str, tuple[float, float]]:
     """Mean and population deviation after mean imputation, for all columns in
-    one pass. A column without any value gets mean 0, without spread scale 1."""
-    if not columns:
-        return {}
-    cells = [F.count("*").alias("n")]
+    one pass. A column without any value gets mean 0, without spread scale 1.
+
+    ``extra`` named aggregates ride along and come back under their own names.
+    """
+    cells = [F.count("*").alias("n"), *extra]
     for i, c in enumerate(columns):
         value = F.col(c).cast("double")
         value = F.when(~F.isnan(value), value)
@@ -48,22 +52,31 @@ def numeric_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[floa
         # imputed rows sit on the mean and only widen the denominator
         filled = spread * (row[f"k{i}"] / row["n"]) ** 0.5 if row["n"] else 0.0
         stats[c] = (float(mean), float(filled) if filled > 0 else 1.0)
+    named = set(row.__fields__) - {"n"} - {f"{k}{i}" for k in "msk" for i in range(len(columns))}
+    stats.update({name: row[name] for name in named})
     return stats
 
 
-def category_counts(df: DataFrame, columns: Sequence[str], label: str | None = None) -> DataFrame:
-    """(feature, category, n, positives) for all categorical columns at once.
+def category_counts(
+    df: DataFrame, columns: Sequence[str], label: str | None = None, unlabeled: int | None = None
+) -> DataFrame:
+    """(feature, category, n, n_labeled, positives) for all categorical columns.
 
     Partial aggregation collapses each category on the map side, so one frequent
-    category costs one row per task. Null is kept as a category of its own.
+    category costs one row per task. Null is kept as a category of its own; rows
+    whose label is ``unlabeled`` count in ``n`` only.
     """
     texts = [F.col(c).cast("string").alias(c) for c in columns]
     target = F.col(label).cast("double") if label else F.lit(None).cast("double")
+    if label and unlabeled is not None:
+        target = F.when(F.col(label) != unlabeled, target)
     long = df.select(target.alias("__y"), *texts).unpivot(
         ["__y"], list(columns), "feature", "category"
     )
     return long.groupBy("feature", "category").agg(
-        F.count("*").alias("n"), F.coalesce(F.sum("__y"), F.lit(0.0)).alias("positives")
+        F.count("*").alias("n"),
+        F.count("__y").alias("n_labeled"),
+        F.coalesce(F.sum("__y"), F.lit(0.0)).alias("positives"),
     )
 
 
@@ -167,7 +180,14 @@ class FeatureEncoder(Estimator):
 
     def _fit(self, df: DataFrame) -> "FeatureEncoderModel":
         spec = self.spec
-        stats = numeric_stats(df, spec.numeric)
+        unlabeled = self.unlabeled if self.labeled_only else None
+        target = F.lit(None).cast("double")
+        if spec.label:
+            target = F.col(spec.label).cast("double")
+            if unlabeled is not None:
+                target = F.when(F.col(spec.label) != unlabeled, target)
+        stats = numeric_stats(df, spec.numeric, [F.avg(target).alias("__overall")])
+        overall = stats.pop("__overall")
         state = EncoderState(
             id=spec.id,
             numeric=list(spec.numeric),
@@ -182,7 +202,8 @@ class FeatureEncoder(Estimator):
         if not spec.categorical:
             return FeatureEncoderModel(state, _no_rates(spark))
 
-        counts = category_counts(df, spec.categorical).persist(StorageLevel.MEMORY_AND_DISK)
+        counts = category_counts(df, spec.categorical, spec.label, unlabeled)
+        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             sizes = {r["feature"]: r["n_categories"] for r in cardinalities(counts).collect()}
             state.modes = {r["feature"]: r["mode"] for r in modes(counts).collect()}
@@ -203,17 +224,29 @@ class FeatureEncoder(Estimator):
                 state.levels = {
                     c: sorted(values) or [state.modes[c]] for c, values in found.items()
                 }
+            if not state.target:
+                return FeatureEncoderModel(state, _no_rates(spark))
+            if overall is None:
+                raise ValueError("target encoding needs a label column with labeled rows")
+            state.overall = float(overall)
+            # fitted state: kept as a table of its own, not as the plan that made it
+            rates = cut_lineage(_filled_rates(counts, {c: state.modes[c] for c in state.target}))
         finally:
             counts.unpersist()
-        if not state.target:
-            return FeatureEncoderModel(state, _no_rates(spark))
-
-        labeled = df
-        if self.labeled_only:
-            labeled = df.filter(F.col(spec.label) != self.unlabeled)
-        filled = impute_category(labeled, {c: state.modes[c] for c in state.target})
-        state.overall = float(labeled.agg(F.avg(F.col(spec.label).cast("double"))).first()[0])
-        return FeatureEncoderModel(state, category_counts(filled, state.target, spec.label))
+        return FeatureEncoderModel(state, rates)
+
+
+def _filled_rates(counts: DataFrame, modes: dict[str, str]) -> DataFrame:
+    """(feature, category, n, positives) with missing values counted as the mode."""
+    mode = F.lit(None).cast("string")
+    for feature, value in modes.items():
+        mode = F.when(F.col("feature") == feature, F.lit(value)).otherwise(mode)
+    return (
+        counts.filter(F.col("feature").isin(list(modes)))
+        .groupBy("feature", F.coalesce("category", mode).alias("category"))
+        .agg(F.sum("n_labeled").alias("n"), F.sum("positives").alias("positives"))
+        .filter("n > 0")
+    )
 
 
 def _no_rates(spark: SparkSession) -> DataFrame:
@@ -229,16 +262,6 @@ class FeatureEncoderModel(Model):
         self.rates = rates
         self._small: bool | None = None
 
-    # fitted state as a table ---------------------------------------------
-
-    def cache_rates(self) -> "FeatureEncoderModel":
-        """Keep the target-encoding table for many transforms."""
-        self.rates = self.rates.persist(StorageLevel.MEMORY_AND_DISK)
-        return self
-
-    def release(self) -> None:
-        self.rates.unpersist()
-
     @property
     def output_names(self) -> list[str]:
         """Names in order: dummies, numeric, target-encoded; without one-hot the
@@ -274,6 +297,9 @@ class FeatureEncoderModel(Model):
         """
         s = self.state
         keep = [s.id] if keep is None else list(keep)
+        clash = set(keep) & set(self.output_names)
+        if clash:
+            raise ValueError(f"kept columns would collide with encoded ones: {sorted(clash)}")
         scale = s.normalize if scale is None else scale
         staged = df
         for i, c in enumerate(s.target):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from riskframe.plans import encoding, fairness, inference, measuring, preparing
+from riskframe.plans import encoding, fairness, inference, learning, measuring, preparing
 
-MODULES = (preparing, encoding, measuring, fairness, inference)
+MODULES = (preparing, encoding, measuring, fairness, inference, learning)
 
 
 def catalog() -> dict:
