@@ -32,6 +32,10 @@ class Scorecard:
     def score(self, df: DataFrame, out: str = "score") -> DataFrame:
         return df.withColumn(out, self.expr())
 
+    def logit_of(self, row: Mapping[str, float], names: Sequence[str]) -> float:
+        """Part of the linear predictor that a known row adds through ``names``."""
+        return sum(self.weights[n] * float(row[n]) for n in names)
+
     def sql(self, values: Mapping[str, str] | None = None) -> str:
         """The same expression as SQL text."""
         values = values or {}

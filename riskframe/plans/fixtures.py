@@ -108,4 +108,4 @@ def rounded(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
 
 #: Scorecards of the explanation queries.
 CARD = Scorecard(-1.5, {"amount": 3 / 500000, "balance": -1 / 20000})
-CARD_Z = Scorecard(-2.2, {"amount": 4 / 500000, "z": 0.3})
+CARD_Z = Scorecard(-1.7, {"amount": 3 / 500000, "balance": -1 / 20000, "z": 0.4})
