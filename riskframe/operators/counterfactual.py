@@ -183,7 +183,7 @@ def _cheapest(found: pd.DataFrame, names: Sequence[str], criterion: str) -> pd.D
         return found.sort_values(order, na_position="first").drop_duplicates("row").copy()
     order = ["row", "n_changes", "cost", *values]
     best = found.sort_values(order, na_position="first").drop_duplicates(["row", "n_changes"])
-    floor = best.groupby("row")["cost"].transform(lambda c: c.cummin().shift())
+    floor = best.groupby("row")["cost"].cummin().groupby(best["row"]).shift()
     return best[floor.isna() | (best["cost"] < floor)].copy()
 
 
@@ -350,56 +350,66 @@ def diverse_counterfactuals(
     scored = scorer.score(df.select(id, *scorer.features), "__score").withColumn(
         "__class", (F.col("__score") >= F.lit(float(threshold))).cast("int")
     )
+    # equal donors give equal copies
+    pools = {
+        cls: sorted({tuple(float(d[f]) for f in names) for d in donors[cls]}) for cls in (0, 1)
+    }
+    if isinstance(scorer, Scorecard):
+        lend = partial(
+            _lend,
+            card=scorer,
+            id=id,
+            names=names,
+            pools={cls: np.array(rows).reshape(-1, len(names)) for cls, rows in pools.items()},
+            scales=np.array([float(scales[f]) for f in names]),
+            n_cfs=n_cfs,
+            sparsity_weight=sparsity_weight,
+            threshold=threshold,
+        )
+        schema = StructType(
+            [
+                df.schema[id],
+                StructField("cf_rank", IntegerType()),
+                StructField("cost", DoubleType()),
+                StructField("n_changes", IntegerType()),
+                StructField("score", DoubleType()),
+                *[StructField(f"new_{f}", DoubleType()) for f in names],
+            ]
+        )
+        return scored.drop("__class").mapInPandas(lend, schema)
+
     kind = "array<struct<" + ",".join(f"`{f}`:double" for f in names) + ">>"
 
     def pool(cls: int) -> Column:
-        rows = [F.struct(*[F.lit(float(d[f])).alias(f) for f in names]) for d in donors[cls]]
-        # equal donors give equal copies
-        return F.array_distinct(F.array(*rows)).cast(kind)
+        rows = [
+            F.struct(*[F.lit(v).alias(f) for f, v in zip(names, row)]) for row in pools[cls]
+        ]
+        return F.array(*rows).cast(kind)
 
     lenders = F.when(F.col("__class") == 1, pool(0)).otherwise(pool(1))
-    old = {f: F.col(f"__old_{f}") for f in names}
-
-    def priced(new: Mapping[str, Column], score: Column) -> Column:
-        gaps = [F.abs(new[f] - old[f]) / F.lit(float(scales[f])) for f in names]
-        changed = [F.when(new[f] != old[f], 1).otherwise(0) for f in names]
-        n_changes = sum(changed, F.lit(0))
-        cost = (
-            sum(gaps, F.lit(0.0)) + F.lit(sparsity_weight) * n_changes.cast("double")
-        ) / F.lit(float(len(names)))
-        return F.struct(
-            F.round(cost, 9).alias("cost"),
-            n_changes.alias("n_changes"),
-            *[new[f].alias(f"new_{f}") for f in names],
-            score.alias("score"),
-        )
-
     staged = scored.withColumns({f"__old_{f}": F.col(f).cast("double") for f in names})
-    opposite = F.lit(1) - F.col("__class")
-    if isinstance(scorer, Scorecard):
-        # inside the row: no expansion, no shuffle
-        def lend(d: Column) -> Column:
-            new = {f: d[f] for f in names}
-            return priced(new, scorer.expr(new))
-
-        flips = F.filter(
-            F.transform(lenders, lend),
-            lambda s: (s["score"] >= F.lit(float(threshold))).cast("int") == opposite,
-        )
-        best = staged.select(id, F.slice(F.sort_array(flips), 1, n_cfs).alias("best"))
-    else:
-        spread = staged.drop("__score").withColumn("__d", F.explode(lenders))
-        copies = spread.withColumns({f: F.col(f"__d.{f}") for f in names})
-        again = scorer.score(copies, "__score").filter(
-            (F.col("__score") >= F.lit(float(threshold))).cast("int") == opposite
-        )
-        new = {f: F.col(f"__d.{f}") for f in names}
-        # at most one entry per donor
-        best = again.groupBy(id).agg(
-            F.slice(
-                F.sort_array(F.collect_list(priced(new, F.col("__score")))), 1, n_cfs
-            ).alias("best")
-        )
+    spread = staged.drop("__score").withColumn("__d", F.explode(lenders))
+    copies = spread.withColumns({f: F.col(f"__d.{f}") for f in names})
+    again = scorer.score(copies, "__score").filter(
+        (F.col("__score") >= F.lit(float(threshold))).cast("int") == F.lit(1) - F.col("__class")
+    )
+    gaps = [F.abs(F.col(f"__d.{f}") - F.col(f"__old_{f}")) / F.lit(float(scales[f])) for f in names]
+    n_changes = sum(
+        (F.when(F.col(f"__d.{f}") != F.col(f"__old_{f}"), 1).otherwise(0) for f in names), F.lit(0)
+    )
+    cost = (sum(gaps, F.lit(0.0)) + F.lit(sparsity_weight) * n_changes.cast("double")) / F.lit(
+        float(len(names))
+    )
+    copy = F.struct(
+        F.round(cost, 9).alias("cost"),
+        n_changes.alias("n_changes"),
+        *[F.col(f"__d.{f}").alias(f"new_{f}") for f in names],
+        F.col("__score").alias("score"),
+    )
+    # at most one entry per donor
+    best = again.groupBy(id).agg(
+        F.slice(F.sort_array(F.collect_list(copy)), 1, n_cfs).alias("best")
+    )
     return best.select(id, F.posexplode("best").alias("pos", "s")).select(
         id,
         (F.col("pos") + 1).alias("cf_rank"),
@@ -410,6 +420,53 @@ def diverse_counterfactuals(
     )
 
 
+def _lend(
+    batches: Iterator[pd.DataFrame], card, id, names, pools, scales, n_cfs, sparsity_weight, threshold
+) -> Iterator[pd.DataFrame]:
+    """Rank the donors of the opposite class for a batch of rows."""
+    fields = [id, "cf_rank", "cost", "n_changes", "score", *[f"new_{f}" for f in names]]
+    for batch in batches:
+        for start in range(0, len(batch), 4096):
+            part = batch.iloc[start : start + 4096]
+            cls = (part["__score"].to_numpy(dtype=float) >= threshold).astype(int)
+            chunks = []
+            for own in (0, 1):
+                pool, mine = pools[1 - own], part[cls == own]
+                if not len(mine) or not len(pool):
+                    continue
+                old = mine[names].to_numpy(dtype=float)
+                logit = np.full((len(mine), len(pool)), float(card.intercept))
+                for f in card.features:
+                    if f in names:
+                        logit = logit + card.weights[f] * pool[:, names.index(f)][None, :]
+                    else:
+                        logit = logit + card.weights[f] * mine[f].to_numpy(dtype=float)[:, None]
+                score = 1.0 / (1.0 + np.exp(-logit))
+                flips = (score >= threshold).astype(int) != own
+                gap = np.abs(pool[None, :, :] - old[:, None, :])
+                changes = (gap != 0).sum(axis=2)
+                total = (gap / scales).sum(axis=2) + sparsity_weight * changes
+                cost = np.where(flips, np.round(total / len(names), 9), np.inf)
+                order = np.lexsort((changes, cost), axis=-1)[:, :n_cfs]
+                price = np.take_along_axis(cost, order, axis=1)
+                row, rank = np.nonzero(np.isfinite(price))
+                donor = order[row, rank]
+                out = pd.DataFrame(
+                    {
+                        id: mine[id].to_numpy()[row],
+                        "cf_rank": (rank + 1).astype("int32"),
+                        "cost": price[row, rank],
+                        "n_changes": changes[row, donor].astype("int32"),
+                        "score": score[row, donor],
+                    }
+                )
+                for j, f in enumerate(names):
+                    out[f"new_{f}"] = pool[donor, j]
+                chunks.append(out[fields])
+            if chunks:
+                yield pd.concat(chunks, ignore_index=True)
+
+
 # -- comparison table --------------------------------------------------------------
 
 

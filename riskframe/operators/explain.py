@@ -2,7 +2,7 @@
 
 A scorer is a :class:`Scorecard` or a :class:`ModelScorer`. Every operator widens
 the rows with the points to evaluate, scores them in one pass and folds them back.
-A scorecard is evaluated inside the row, without any shuffle.
+A scorecard is evaluated row by row in vectorised batches, without any shuffle.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ import itertools
 import math
 import random
 from collections.abc import Iterator, Mapping, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -222,15 +224,34 @@ def shapley_values(
     plan = coalition_plan(k, permutations, seed)
     masks = sorted(plan)
 
+    if isinstance(scorer, Scorecard):
+        # the background's part of the linear predictor is known beforehand
+        rest = {
+            m: np.array(
+                [
+                    scorer.logit_of(r, [n for j, n in enumerate(names) if not m >> j & 1])
+                    for r in background
+                ]
+            )
+            for m in masks
+        }
+        shares = partial(
+            _effects_of_batches,
+            card=scorer,
+            id=id,
+            names=names,
+            plan=plan,
+            rest=rest,
+            cut=None if method == "prob" else threshold,
+        )
+        schema = StructType([df.schema[id], *[StructField(n, DoubleType()) for n in names]])
+        return df.select(id, *names).mapInPandas(shares, schema)
+
     def target(score: Column) -> Column:
         return score if method == "prob" else (score > F.lit(float(threshold))).cast("double")
 
-    if isinstance(scorer, Scorecard):
-        worth = {m: _coalition_worth(scorer, names, m, background, target) for m in masks}
-        staged = df.select(id, *names, *[worth[m].alias(f"__v{m}") for m in masks])
-    else:
-        _check_size(df, len(masks) * len(background), max_rows)
-        staged = _coalition_worth_by_model(df, scorer, id, names, masks, background, target)
+    _check_size(df, len(masks) * len(background), max_rows)
+    staged = _coalition_worth_by_model(df, scorer, id, names, masks, background, target)
     phis = []
     for j, name in enumerate(names):
         total: Column = F.lit(0.0)
@@ -241,23 +262,26 @@ def shapley_values(
     return staged.select(id, *phis)
 
 
-def _coalition_worth(card: Scorecard, names, mask, background, target) -> Column:
-    """Mean target with the masked features from the row, the others from the
-    background, whose part of the linear predictor is known beforehand."""
-    own = [n for j, n in enumerate(names) if mask >> j & 1]
-    rest = [n for j, n in enumerate(names) if not mask >> j & 1]
-    logit: Column = F.lit(float(card.intercept))
-    for n in own:
-        logit = logit + F.lit(card.weights[n]) * F.col(n)
-    if not rest:
-        return target(F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)))
-    shifts = F.array(*[F.lit(card.logit_of(row, rest)) for row in background])
-    total = F.aggregate(
-        shifts,
-        F.lit(0.0),
-        lambda acc, s: acc + target(F.lit(1.0) / (F.lit(1.0) + F.exp(-(logit + s)))),
-    )
-    return total / F.lit(float(len(background)))
+def _effects_of_batches(
+    batches: Iterator[pd.DataFrame], card, id, names, plan, rest, cut
+) -> Iterator[pd.DataFrame]:
+    """Shapley values of a batch: the mean over the background per coalition."""
+    for batch in batches:
+        parts = {n: card.weights[n] * batch[n].to_numpy(dtype=float) for n in names}
+        effects = {n: np.zeros(len(batch)) for n in names}
+        for mask, weights in plan.items():
+            own = card.intercept + sum(
+                (parts[n] for j, n in enumerate(names) if mask >> j & 1), np.zeros(len(batch))
+            )
+            worth = np.empty(len(batch))
+            for start in range(0, len(batch), 4096):
+                logit = own[start : start + 4096, None] + rest[mask][None, :]
+                score = 1.0 / (1.0 + np.exp(-logit))
+                told = score if cut is None else (score > cut).astype(float)
+                worth[start : start + 4096] = told.mean(axis=1)
+            for j, n in enumerate(names):
+                effects[n] += weights[j] * worth
+        yield pd.DataFrame({id: batch[id].to_numpy(), **effects})
 
 
 def _coalition_worth_by_model(df, scorer, id, names, masks, background, target) -> DataFrame:
@@ -297,15 +321,21 @@ def global_importance(wide: DataFrame, id: str, top: int | None = None, by: str
     """
     if by not in ("mean", "median"):
         raise ValueError("by must be 'mean' or 'median'")
-    sizes = to_long(wide, id).withColumn("size", F.abs("phi"))
-    means = sizes.groupBy("feature").agg(F.avg("size").alias("mean_abs"))
-    median = F.lit(None).cast("double")
-    for feature, found in exact_quantiles(sizes, "size", [0.5], group="feature").items():
-        median = F.when(F.col("feature") == feature, F.lit(found[0])).otherwise(median)
-    ranked = means.withColumn("median_abs", median)
-    if top is None:
-        return ranked
-    return ranked.orderBy(F.col(f"{by}_abs").desc(), "feature").limit(top)
+    # read twice, and costly to recompute
+    sizes = to_long(wide, id).select("feature", F.abs("phi").alias("size"))
+    sizes = sizes.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        means = {r[0]: r[1] for r in sizes.groupBy("feature").agg(F.avg("size")).collect()}
+        medians = exact_quantiles(sizes, "size", [0.5], group="feature")
+    finally:
+        sizes.unpersist()
+    # one row per feature
+    rows = [(f, mean, medians[f][0]) for f, mean in means.items()]
+    if top is not None:
+        rows = sorted(rows, key=lambda r: (-r[1 if by == "mean" else 2], r[0]))[:top]
+    return wide.sparkSession.createDataFrame(
+        rows, "feature string, mean_abs double, median_abs double"
+    )
 
 
 def local_factors(

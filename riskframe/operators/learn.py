@@ -141,6 +141,23 @@ def replicate_by_weight(df: DataFrame, id: str, weight: str, seed: int = 0) -> D
     ).drop("__n", "__copy")
 
 
+def spread_for_training(df: DataFrame, id: str) -> DataFrame:
+    """Keep a table for many passes, on at least as many partitions as cores.
+
+    A small input read as one file would otherwise train on a single core; a
+    large one already has enough partitions and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept.count()
+    if kept.rdd.getNumPartitions() >= cores:
+        return kept
+    wide = kept.repartition(cores, id).persist(StorageLevel.MEMORY_AND_DISK)
+    wide.count()
+    kept.unpersist()
+    return wide
+
+
 # -- learners --------------------------------------------------------------------
 
 
@@ -279,7 +296,7 @@ def fit_flow(
     """
     encoder = FeatureEncoder(spec, **dict(encoder_options or {})).fit(train)
     keep = [spec.id, spec.label, *([weight] if weight else [])]
-    ready = encoder.assemble(train, keep).persist(StorageLevel.MEMORY_AND_DISK)
+    ready = spread_for_training(encoder.assemble(train, keep), spec.id)
     try:
         model = classifier.fit(ready, label=spec.label, weight=weight, id=spec.id)
     finally:
@@ -397,8 +414,8 @@ def search_folds(
     if weight is not None:
         raise ValueError("row weights need a validation set; use search_holdout")
     space = suggest_space(kind) if space == "suggest" else space
-    dealt = stratified_folds(train, spec.id, spec.label, folds, seed).persist(
-        StorageLevel.MEMORY_AND_DISK
+    dealt = spread_for_training(
+        stratified_folds(train, spec.id, spec.label, folds, seed), spec.id
     )
     keep = [spec.id, spec.label, *([spec.sensitive] if spec.sensitive else [])]
     encoders: dict[int, FeatureEncoderModel] = {}
@@ -446,7 +463,7 @@ def search_fast(
     encoder = FeatureEncoder(spec, **dict(encoder_options or {})).fit(train)
     keep = [spec.id, spec.label, *([spec.sensitive] if spec.sensitive else [])]
     extra = [weight] if weight else []
-    fitted = encoder.assemble(train, [*keep, *extra]).persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = spread_for_training(encoder.assemble(train, [*keep, *extra]), spec.id)
     checked = encoder.assemble(valid, keep).persist(StorageLevel.MEMORY_AND_DISK)
     try:
 

@@ -204,10 +204,12 @@ def _neighbour_vectors(
         .filter(F.col("target") != F.col("block"))
         .select("rep", "vec", "radius", "block", "target")
     )
-    needed = probes.select("block", "target").distinct()
+    needed = probes.select(
+        F.col("block").alias("for_block"), F.col("target").alias("for_target")
+    ).distinct()
     hosts = blocks.select(
-        F.col("rep").alias("other"), F.col("vec").alias("other_vec"), F.col("block").alias("target")
-    ).join(needed, "target")
+        F.col("rep").alias("other"), F.col("vec").alias("other_vec"), F.col("block").alias("host")
+    ).join(needed, F.col("host") == F.col("for_target"))
 
     def across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -228,7 +230,7 @@ def _neighbour_vectors(
     # both sides of a group are at most about one block long
     found_across = (
         probes.groupBy("block", "target")
-        .cogroup(hosts.groupBy("block", "target"))
+        .cogroup(hosts.groupBy("for_block", "for_target"))
         .applyInPandas(across, f"rep {name}, other {name}, distance double")
     )
     nearest = W.partitionBy("rep").orderBy("distance", "other")

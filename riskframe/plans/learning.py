@@ -6,7 +6,6 @@ Fitted models have no SQL twin: their rows are checked for count and shape, and
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe.functions.spec import FeatureSpec
@@ -133,7 +132,7 @@ def e02(spark, sf_dir):
     train, _, everyone = _fair_parts(spark, sf_dir)
     encoder = learn.FeatureEncoder(FAIR_SPEC).fit(train)
     keep = ["app_id", "y", "z"]
-    ready = encoder.assemble(train, keep).persist(StorageLevel.MEMORY_AND_DISK)
+    ready = learn.spread_for_training(encoder.assemble(train, keep), "app_id")
     try:
         model, _ = fair.constrained_fit(
             ready, Classifier("logistic", {"C": 10.0}), tolerance=0.02, rounds=4, step=4.0

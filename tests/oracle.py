@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import argparse
 import glob
-import math
 import os
 import sys
 import time
@@ -32,7 +31,7 @@ def canonical(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
 
     def value(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None:
             return ("null", "")
         if isinstance(v, bool):
             return ("bool", str(v))
@@ -47,6 +46,7 @@ def canonical(columns, rows):
     return [columns[i] for i in order], sorted(tuple(value(r[i]) for i in order) for r in rows)
 
 
+SPARK_SECONDS: list[float] = []
 SPARK_TO_SQL = {
     "bigint": "BIGINT",
     "int": "INTEGER",
@@ -59,9 +59,11 @@ SPARK_TO_SQL = {
 
 def compare(spark, con, sf_dir, run, sql):
     """None when both sides agree, else a description of the difference."""
+    start = time.time()
     df = run(spark, sf_dir)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     left = canonical(df.columns, [tuple(r) for r in df.collect()])
+    SPARK_SECONDS.append(time.time() - start)
     if sql is None:
         return None if left[1] else "no rows"
     cursor = con.execute(sql)
@@ -117,7 +119,8 @@ def main() -> int:
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
         bad += problem is not None
         kind = "sql " if sql else "rows"
-        print(f"{key:36s} {kind} {time.time() - start:6.2f}s  {problem or 'ok'}", flush=True)
+        print(f"{key:36s} {kind} {time.time() - start:6.2f}s "
+              f"(spark {SPARK_SECONDS[-1] if SPARK_SECONDS else 0:5.2f}s)  {problem or 'ok'}", flush=True)
     print("failed:", bad)
     return 1 if bad else 0
 
