@@ -141,18 +141,22 @@ def replicate_by_weight(df: DataFrame, id: str, weight: str, seed: int = 0) -> D
     ).drop("__n", "__copy")
 
 
+#: Below this many rows per task a training pass is mostly task overhead.
+ROWS_PER_TASK = 20_000
+
+
 def spread_for_training(df: DataFrame, id: str) -> DataFrame:
-    """Keep a table for many passes, on at least as many partitions as cores.
+    """Keep a table for many passes, spread over the cores where that pays.
 
     A small input read as one file would otherwise train on a single core; a
     large one already has enough partitions and is not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    kept.count()
-    if kept.rdd.getNumPartitions() >= cores:
+    wanted = min(cores, math.ceil(kept.count() / ROWS_PER_TASK))
+    if kept.rdd.getNumPartitions() >= wanted:
         return kept
-    wide = kept.repartition(cores, id).persist(StorageLevel.MEMORY_AND_DISK)
+    wide = kept.repartition(wanted, id).persist(StorageLevel.MEMORY_AND_DISK)
     wide.count()
     kept.unpersist()
     return wide
