@@ -268,9 +268,15 @@ class FeatureEncoderModel(Model):
         ordinal codes follow the numeric columns."""
         s = self.state
         if not s.use_onehot:
-            return [*s.numeric, *s.onehot, *s.target]
+            return self.plain_names
         return [*[name for name, _, _ in self._dummies()], *s.numeric, *s.target]
 
+    @property
+    def plain_names(self) -> list[str]:
+        """Names before one-hot: numeric, ordinal codes, target-encoded."""
+        s = self.state
+        return [*s.numeric, *s.onehot, *s.target]
+
     def _dummies(self) -> list[tuple[str, str, int]]:
         out = []
         for c in self.state.onehot:
@@ -288,16 +294,23 @@ class FeatureEncoderModel(Model):
         return {*s.numeric, *s.onehot, *s.target}
 
     def encode(
-        self, df: DataFrame, keep: Sequence[str] | None = None, scale: bool | None = None
+        self,
+        df: DataFrame,
+        keep: Sequence[str] | None = None,
+        scale: bool | None = None,
+        onehot: bool | None = None,
     ) -> DataFrame:
         """``keep`` columns (the id by default) plus the encoded features.
 
-        ``scale=False`` stops after encoding, before the numeric columns are
-        standardised.
+        ``scale=False`` leaves the numeric columns on their original scale,
+        ``onehot=False`` leaves ordinal codes: the spaces in which explanations
+        and counterfactuals work.
         """
         s = self.state
+        onehot = s.use_onehot if onehot is None else onehot
+        names = self.output_names if onehot else self.plain_names
         keep = [s.id] if keep is None else list(keep)
-        clash = set(keep) & set(self.output_names)
+        clash = set(keep) & set(names)
         if clash:
             raise ValueError(f"kept columns would collide with encoded ones: {sorted(clash)}")
         scale = s.normalize if scale is None else scale
@@ -327,7 +340,7 @@ class FeatureEncoderModel(Model):
             c: ordinal_code(F.coalesce(F.col(c).cast("string"), F.lit(s.modes[c])), s.levels[c])
             for c in s.onehot
         }
-        if s.use_onehot:
+        if onehot:
             for name, c, code in self._dummies():
                 columns[name] = F.when(codes[c] == code, 1.0).otherwise(0.0)
         else:
@@ -337,9 +350,22 @@ class FeatureEncoderModel(Model):
                 F.col(f"__p{i}"), F.col(f"__n{i}"), F.lit(s.overall), s.k
             )
         return staged.select(
-            *[F.col(c) for c in keep], *[columns[c].alias(c) for c in self.output_names]
+            *[F.col(c) for c in keep], *[columns[c].alias(c) for c in names]
         )
 
+    def finish(self, df: DataFrame, scaled: bool = True) -> DataFrame:
+        """From the plain space (``encode(onehot=False)``) to the model's columns."""
+        s = self.state
+        columns = {c: F.col(c) for c in self.plain_names}
+        if s.normalize and not scaled:
+            for c in s.numeric:
+                columns[c] = (F.col(c) - F.lit(s.means[c])) / F.lit(s.scales[c])
+        if s.use_onehot:
+            for name, c, code in self._dummies():
+                columns[name] = F.when(F.col(c) == code, 1.0).otherwise(0.0)
+        others = [c for c in df.columns if c not in self.plain_names]
+        return df.select(*others, *[columns[c].alias(c) for c in self.output_names])
+
     def small_rates(self) -> bool:
         """Whether the whole target-encoding table may be broadcast; measured once."""
         if self._small is None:

@@ -17,10 +17,11 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe.functions.hashing import hash_unit
-from riskframe.functions.scorecard import score_vector
+from riskframe.functions.scorecard import Scorecard, score_vector
 from riskframe.functions.spec import FeatureSpec
 from riskframe.operators.features import FeatureEncoder, FeatureEncoderModel
 from riskframe.operators.measure import auc_scorer, ks_cutoff
@@ -286,6 +287,47 @@ class FittedFlow:
         return score_rows(self.model, self.encoder.assemble(df, keep), out=out).drop("features")
 
 
+@dataclass
+class FlowScorer:
+    """A fitted flow as a scorer of its plain space, where each raw feature is
+    one column: numeric, ordinal code or target rate."""
+
+    flow: FittedFlow
+    scaled: bool = True
+
+    @property
+    def features(self) -> list[str]:
+        return self.flow.encoder.plain_names
+
+    def encode(self, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+        """Raw rows in the space this scorer reads."""
+        scale = None if self.scaled else False
+        return self.flow.encoder.encode(df, keep, scale=scale, onehot=False)
+
+    def score(self, df: DataFrame, out: str = "score") -> DataFrame:
+        encoder = self.flow.encoder
+        # the plain columns come back unchanged next to the score
+        plain = {c: f"__plain_{c}" for c in self.features}
+        kept = df.withColumns({p: F.col(c) for c, p in plain.items()})
+        vector = VectorAssembler(inputCols=encoder.output_names, outputCol="__vector")
+        ready = vector.transform(encoder.finish(kept, self.scaled)).drop(*encoder.output_names)
+        scored = score_rows(self.flow.model, ready, "__vector", out).drop("__vector")
+        return scored.withColumnsRenamed({p: c for c, p in plain.items()}).select(*df.columns, out)
+
+
+def scorecard_of(flow: FittedFlow) -> Scorecard:
+    """A logistic flow as a scorecard over ``encode(df, scale=False)``."""
+    state = flow.encoder.state
+    intercept, weights = float(flow.model.intercept), {}
+    for name, weight in zip(flow.encoder.output_names, flow.model.coefficients):
+        weight = float(weight)
+        if state.normalize and name in state.scales:
+            weight /= state.scales[name]
+            intercept -= weight * state.means[name]
+        weights[name] = weight
+    return Scorecard(intercept, weights)
+
+
 def fit_flow(
     train: DataFrame,
     spec: FeatureSpec,

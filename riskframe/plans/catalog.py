@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from riskframe.plans import encoding, explaining, fairness, inference, learning, measuring, preparing
+from riskframe.plans import encoding, explaining, fairness, flows, inference, learning, measuring, preparing
 
-MODULES = (preparing, encoding, measuring, fairness, inference, learning, explaining)
+MODULES = (preparing, encoding, measuring, fairness, inference, learning, explaining, flows)
 
 
 def catalog() -> dict:
