@@ -26,7 +26,7 @@ def hash_unit(key: str | Column, seed: int = 0) -> Column:
 
 def arithmetic_rank(key: str | Column, seed: int = 0) -> Column:
     """Integer in [0, MODULUS): two rounds of a Lehmer generator on an integer key."""
-    column = F.col(key) if isinstance(key, str) else key
+    column = (F.col(key) if isinstance(key, str) else key).cast("bigint")
     first = ((column + F.lit(seed + 1)) % MODULUS * MULTIPLIER + INCREMENT) % MODULUS
     return (first * MULTIPLIER + INCREMENT) % MODULUS
 

@@ -210,17 +210,19 @@ def _enumerated(
     names = list(grid)
     place = {f: grid_place(F.col(f), grid[f]) for f in names}
     staged = rows.withColumns({f"__place_{f}": place[f] for f in names})
-    parts = None
-    for chosen in _subsets(names, max_changes):
-        part = staged.withColumn("__n", F.lit(len(chosen)))
-        for f in names:
-            if f in chosen:
-                spots = F.sequence(F.lit(1), F.lit(len(grid[f])))
-                part = part.withColumn(f"__i_{f}", F.explode(spots))
-            else:
-                part = part.withColumn(f"__i_{f}", F.lit(None).cast("int"))
-        parts = part if parts is None else parts.unionByName(part)
-    moved = parts
+    # choose a set of features, then a grid point for each of them
+    masks = [sum(1 << names.index(f) for f in chosen) for chosen in _subsets(names, max_changes)]
+    moved = staged.withColumn("__set", F.explode(F.array(*[F.lit(m) for m in masks]))).withColumn(
+        "__n", F.bit_count("__set")
+    )
+    for j, f in enumerate(names):
+        spots = F.when(
+            F.col("__set").bitwiseAND(1 << j) != 0,
+            F.sequence(F.lit(1), F.lit(len(grid[f]))),
+        ).otherwise(F.array(F.lit(0)))
+        moved = moved.withColumn(f"__i_{f}", F.explode(spots)).withColumn(
+            f"__i_{f}", F.when(F.col(f"__i_{f}") > 0, F.col(f"__i_{f}"))
+        )
     for f in names:
         points = F.array(*[F.lit(float(v)) for v in grid[f]])
         fresh = F.get(points, F.col(f"__i_{f}") - 1)

@@ -438,16 +438,16 @@ class LocalSurrogate:
         schema = ", ".join(["__i int", *[f"`{f}` double" for f in self.features]])
         scored = self.scorer.score(spark.createDataFrame(rows, schema), "__score")
         found = {r["__i"]: r["__score"] for r in scored.select("__i", "__score").collect()}
-        return self._target(np.array([found[i] for i in range(len(rows))]))
-
-    def _target(self, score: np.ndarray) -> np.ndarray:
-        return score if self.method == "prob" else (score > self.threshold).astype(float)
+        scores = np.array([found[i] for i in range(len(rows))])
+        return _target(scores, self.method, self.threshold)
 
     def explain(self, df: DataFrame, id: str) -> DataFrame:
         """(id, intercept, one coefficient per feature)."""
         answers = self._score_points(df.sparkSession)
         features, stats, categorical = self.features, self.stats, set(self.categorical)
-        points, width, ridge, to_target = self.points, self.width, self.ridge, self._target
+        points, width, ridge = self.points, self.width, self.ridge
+        # not the bound method: it would carry the scorer to the tasks
+        to_target = partial(_target, method=self.method, threshold=self.threshold)
         scored = self.scorer.score(df.select(id, *features), "__score")
 
         def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -472,6 +472,10 @@ class LocalSurrogate:
         return scored.mapInPandas(solve, schema)
 
 
+def _target(score: np.ndarray, method: str, threshold: float) -> np.ndarray:
+    return score if method == "prob" else (score > threshold).astype(float)
+
+
 def _ridge_rows(rows, features, stats, categorical, points, answers, to_target, width, ridge):
     """Intercept and coefficients of every row of a batch."""
     n, d = len(rows), len(features)
