@@ -25,18 +25,20 @@ def range_bounds(
     max_buckets: int = MAX_BUCKETS,
 ) -> tuple[list[float], int]:
     """Cut points that leave at most about ``keys_per_bucket`` keys per bucket,
-    and the number of non-null keys. One pass, no shuffle of rows."""
+    and the number of non-null keys. One pass that shuffles one sketch per task.
+    """
     keys_per_bucket = keys_per_bucket or KEYS_PER_BUCKET
-    valid = df.filter(F.col(key).isNotNull() & ~F.isnan(F.col(key).cast("double")))
-    n = valid.count()
-    wanted = min(max_buckets, math.ceil(n / keys_per_bucket))
+    value = F.col(key).cast("double")
+    valid = df.filter(value.isNotNull() & ~F.isnan(value))
+    probes = [i / max_buckets for i in range(1, max_buckets)]
+    row = valid.agg(
+        F.count("*").alias("n"), F.percentile_approx(value, probes, 5 * max_buckets).alias("q")
+    ).first()
+    wanted = min(max_buckets, math.ceil(row["n"] / keys_per_bucket))
     if wanted <= 1:
-        return [], n
-    probes = [i / wanted for i in range(1, wanted)]
-    found = valid.agg(
-        F.percentile_approx(F.col(key).cast("double"), probes, 10 * wanted).alias("q")
-    ).first()["q"]
-    return sorted(set(found)), n
+        return [], row["n"]
+    chosen = {row["q"][round(i * max_buckets / wanted) - 1] for i in range(1, wanted)}
+    return sorted(chosen), row["n"]
 
 
 def with_bucket(df: DataFrame, key: str, bounds: Sequence[float], out: str) -> DataFrame:

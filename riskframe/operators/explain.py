@@ -51,10 +51,11 @@ def feature_grid(
     (i - 0.4) / (n + 0.2).
     """
     values = df.select(F.col(feature).cast("double").alias("v")).filter("v IS NOT NULL")
-    few = values.distinct().limit(resolution).collect()
-    if len(few) < resolution:
-        return sorted(r["v"] for r in few)
-    n = values.count()
+    n, about = values.agg(F.count("*"), F.approx_count_distinct("v")).first()
+    if about < 4 * resolution:
+        few = values.distinct().limit(resolution).collect()
+        if len(few) < resolution:
+            return sorted(r["v"] for r in few)
     spots = []
     for p in (low, high):
         place = n * p + 0.4 + 0.2 * p
@@ -321,14 +322,14 @@ def global_importance(wide: DataFrame, id: str, top: int | None = None, by: str
     """
     if by not in ("mean", "median"):
         raise ValueError("by must be 'mean' or 'median'")
-    # read twice, and costly to recompute
-    sizes = to_long(wide, id).select("feature", F.abs("phi").alias("size"))
-    sizes = sizes.persist(StorageLevel.MEMORY_AND_DISK)
+    # read several times, and costly to recompute
+    kept = wide.persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = to_long(kept, id).select("feature", F.abs("phi").alias("size"))
     try:
         means = {r[0]: r[1] for r in sizes.groupBy("feature").agg(F.avg("size")).collect()}
         medians = exact_quantiles(sizes, "size", [0.5], group="feature")
     finally:
-        sizes.unpersist()
+        kept.unpersist()
     # one row per feature
     rows = [(f, mean, medians[f][0]) for f, mean in means.items()]
     if top is not None:

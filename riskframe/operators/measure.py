@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskframe.functions.ordering import running_totals
+from riskframe.functions.ordering import range_bounds, running_totals
 
 
 # -- building blocks ---------------------------------------------------------
@@ -143,21 +143,34 @@ def score_counts(df: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     )
 
 
-def score_curve(df: DataFrame, bounds: Sequence[float] | None = None) -> DataFrame:
-    """Per model and distinct score: rows of each class at or above that score."""
-    return running_totals(
-        score_counts(df),
+def _curve(df: DataFrame, bounds: Sequence[float] | None) -> tuple[DataFrame, DataFrame]:
+    """Running class counts from the highest score down, and class sizes per
+    model. Both hang off one shuffle of the score counts."""
+    if bounds is None:
+        bounds, _ = range_bounds(df, "score")
+    counts = score_counts(df)
+    curve = running_totals(
+        counts,
         "score",
         {"pos": "pos_above", "neg": "neg_above"},
         group=["model"],
         descending=True,
         bounds=bounds,
     )
+    sizes = counts.groupBy("model").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return curve, sizes
 
 
-def roc_auc(df: DataFrame, bounds: Sequence[float] | None = None) -> DataFrame:
-    """Exact area under the ROC curve; ties count one half. Null for one class."""
-    curve = score_curve(df, bounds)
+def score_curve(df: DataFrame, bounds: Sequence[float] | None = None) -> DataFrame:
+    """Per model and distinct score: rows of each class at or above that score.
+
+    ``bounds`` are optional cut points of the score range, as found by
+    :func:`riskframe.functions.ordering.range_bounds`.
+    """
+    return _curve(df, bounds)[0]
+
+
+def _auc_of(curve: DataFrame) -> DataFrame:
     # negatives strictly above this score lose the pair, tied ones share it
     lost = F.col("pos").cast("double") * (
         F.col("neg_above").cast("double") - F.col("neg").cast("double") / 2
@@ -169,18 +182,20 @@ def roc_auc(df: DataFrame, bounds: Sequence[float] | None = None) -> DataFrame:
     return totals.select("model", (1 - ratio(F.col("lost"), pairs)).alias("auc"))
 
 
+def roc_auc(df: DataFrame, bounds: Sequence[float] | None = None) -> DataFrame:
+    """Exact area under the ROC curve; ties count one half. Null for one class."""
+    return _auc_of(score_curve(df, bounds))
+
+
 def ks_cutoff(df: DataFrame, bounds: Sequence[float] | None = None) -> DataFrame:
     """The score that maximises TPR - FPR, and that maximum (KS).
 
     Ties go to the highest score. When no score separates the classes the
     threshold is null.
     """
-    curve = score_curve(df, bounds)
-    totals = df.groupBy("model").agg(
-        F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")
-    )
+    curve, sizes = _curve(df, bounds)
     # one row per model
-    gaps = curve.join(F.broadcast(totals), "model").select(
+    gaps = curve.join(F.broadcast(sizes), "model").select(
         "model",
         "score",
         F.round(
@@ -205,11 +220,10 @@ def fpr_cutoff(
     A tied score counts as a whole, so the rate of ``score >= threshold`` never
     exceeds the limit. No admissible score gives 0.5.
     """
-    curve = score_curve(df, bounds)
-    negatives = df.groupBy("model").agg(F.count_if(F.col("y") == 0).alias("n"))
+    curve, sizes = _curve(df, bounds)
     rate = F.when(F.col("n") > 0, ratio(F.col("neg_above"), F.col("n"))).otherwise(0.0)
     # one row per model
-    kept = curve.join(F.broadcast(negatives), "model").withColumn("rate", rate)
+    kept = curve.join(F.broadcast(sizes), "model").withColumn("rate", rate)
     return kept.groupBy("model").agg(
         F.coalesce(
             F.min(F.when(F.col("rate") <= bad_rate, F.col("score"))), F.lit(0.5)
@@ -231,21 +245,41 @@ def comparison_report(
     A model whose rows have no score but a ``pred`` keeps its predictions and
     gets null AUC and Brier score.
     """
-    known = "pred" in df.columns
-    given = df.withColumnRenamed("pred", "__given") if known else df
-    cut = threshold_predictions(given, thresholds, default)
+    known = ["pred"] if "pred" in df.columns else []
+    # rows meet once: all metrics follow from the class counts per score
+    counts = df.groupBy("model", "score", *known).agg(
+        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
+    )
+    cut = threshold_predictions(counts.withColumnRenamed("pred", "__given"), thresholds, default)
     if known:
-        cut = cut.withColumn("pred", F.coalesce(F.col("pred"), F.col("__given"))).drop("__given")
-    gap = F.col("score") - F.col("y")
-    p, y = F.col("pred"), F.col("y")
+        cut = cut.withColumn("pred", F.coalesce("pred", "__given"))
+    p, pos, neg = F.col("pred"), F.col("pos"), F.col("neg")
+    score = F.col("score")
     labels = cut.groupBy("model").agg(
-        F.count_if((p == 1) & (y == 1)).alias("tp"),
-        F.count_if((p == 1) & (y == 0)).alias("fp"),
-        F.count_if((p == 0) & (y == 0)).alias("tn"),
-        F.count_if((p == 0) & (y == 1)).alias("fn"),
-        F.avg(gap * gap).alias("brier"),
+        F.sum(F.when(p == 1, pos).otherwise(0)).alias("tp"),
+        F.sum(F.when(p == 1, neg).otherwise(0)).alias("fp"),
+        F.sum(F.when(p == 0, neg).otherwise(0)).alias("tn"),
+        F.sum(F.when(p == 0, pos).otherwise(0)).alias("fn"),
+        (F.sum(pos * (1 - score) * (1 - score) + neg * score * score) / F.sum(
+            F.when(score.isNotNull(), pos + neg)
+        )).alias("brier"),
+    )
+    if bounds is None:
+        bounds, _ = range_bounds(df, "score")
+    scored = counts.filter(score.isNotNull())
+    if known:
+        scored = scored.groupBy("model", "score").agg(
+            F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+        )
+    curve = running_totals(
+        scored,
+        "score",
+        {"pos": "pos_above", "neg": "neg_above"},
+        group=["model"],
+        descending=True,
+        bounds=bounds,
     )
-    ranks = roc_auc(df.filter(F.col("score").isNotNull()), bounds)
+    ranks = _auc_of(curve)
     tp, fp, tn, fn = _quad()
     return labels.join(ranks, "model", "left").select(
         "model",

@@ -7,9 +7,8 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from riskframe.functions.hashing import arithmetic_rank
+from riskframe.functions.hashing import MODULUS, arithmetic_rank
 from riskframe.functions.lookup import attach_state
-from riskframe.functions.ordering import range_bounds, running_totals
 
 #: Dictionaries up to this size become a literal map, larger ones a join.
 MAP_LIMIT = 200
@@ -113,83 +112,91 @@ def holdout_split(
     )
 
 
+#: Hash positions are grouped into this many slots; rows spread evenly over them.
+SLOTS = 1 << 16
+
+
+def _with_slot(df: DataFrame, key: str, seed: int) -> DataFrame:
+    order = arithmetic_rank(key, seed)
+    return df.withColumn("__order", order).withColumn(
+        "__slot", F.floor(F.col("__order") / F.lit(MODULUS / SLOTS)).cast("int")
+    )
+
+
 def stratified_folds(
     df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 0
 ) -> DataFrame:
     """Column ``fold``: rows dealt round-robin within each label in hash order.
 
-    The rank comes from bucketed running totals, so a label that holds most of
-    the rows is not ranked in one task.
+    A label may hold most of the rows, so it is not ranked as a whole: rows are
+    ranked inside small hash slots, and each slot starts where the ones before it
+    ended. The rows are shuffled once.
     """
-    ranked = df.withColumn("__order", arithmetic_rank(key, seed))
-    bounds, _ = range_bounds(ranked, "__order")
-    # the running total needs one row per (label, position); the id breaks ties
-    position = F.struct("__order", key)
-    counted = ranked.select(F.col(key), F.col(label).alias("__y"), "__order", F.lit(1).alias("__n"))
-    if not bounds:
-        place = F.row_number().over(W.partitionBy("__y").orderBy(position)) - 1
-        dealt = counted.withColumn("__place", place.cast("bigint"))
-    else:
-        per_position = counted.groupBy("__y", "__order").agg(F.sum("__n").alias("__size"))
-        upto = running_totals(
-            per_position, "__order", {"__size": "__upto"}, group=["__y"], bounds=bounds
-        )
-        # ids that share a hash position are ordered among themselves
-        tied = W.partitionBy("__y", "__order").orderBy(key)
-        dealt = (
-            counted.withColumn("__tie", F.row_number().over(tied))
-            .join(upto, ["__y", "__order"])
-            .withColumn("__place", F.col("__upto") - F.col("__size") + F.col("__tie") - 1)
-        )
-    fold = dealt.select(key, F.pmod(F.col("__place"), F.lit(folds)).cast("int").alias("fold"))
-    return df.join(fold, key)
+    ranked = _with_slot(df, key, seed)
+    sizes = ranked.groupBy(F.col(label).alias("__y"), F.col("__slot").alias("__s")).agg(
+        F.count("*").alias("__size")
+    )
+    before = W.partitionBy("__y").orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(
+        "__y", "__s", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start")
+    )
+    inside = W.partitionBy(label, "__slot").orderBy("__order", key)
+    # at most SLOTS rows per label
+    dealt = ranked.withColumn("__rank", F.row_number().over(inside)).join(
+        F.broadcast(starts),
+        F.col(label).eqNullSafe(F.col("__y")) & (F.col("__slot") == F.col("__s")),
+    )
+    place = F.col("__start") + F.col("__rank") - 1
+    return dealt.select(*df.columns, F.pmod(place, F.lit(folds)).cast("int").alias("fold"))
 
 
 def quota_sample(
-    df: DataFrame,
-    key: str,
-    group: str,
-    quotas: Mapping[str, int],
-    seed: int = 0,
-    rows_per_task: int = 1_000_000,
+    df: DataFrame, key: str, group: str, quotas: Mapping[str, int], seed: int = 0
 ) -> DataFrame:
     """Column ``picked``: exactly ``n`` rows of each group, the lowest by hash.
 
-    The hash rank at which a group's quota is filled is found from running
-    counts per hash position; rows up to it are picked without sorting any
-    group as a whole.
+    Counts per hash slot tell in which slot a group's quota is filled; only that
+    slot's rows are ordered, to find the last row picked. Everything else is a
+    comparison with that row, so the table is not shuffled.
     """
-    ranked = df.withColumn("__order", arithmetic_rank(key, seed))
-    wanted = ranked.filter(F.col(group).isin(list(quotas)))
-    positions = wanted.groupBy(F.col(group).alias("__g"), "__order").agg(
-        F.count("*").alias("__n")
+    ranked = _with_slot(df, key, seed)
+    wanted = {g: int(n) for g, n in quotas.items() if n > 0}
+    if not wanted:
+        return df.withColumn("picked", F.lit(False))
+    upto = W.partitionBy("__g").orderBy("__slot")
+    slots = (
+        ranked.filter(F.col(group).isin(list(wanted)))
+        .groupBy(F.col(group).alias("__g"), "__slot")
+        .agg(F.count("*").alias("__n"))
+        .withColumn("__upto", F.sum("__n").over(upto))
     )
-    bounds, _ = range_bounds(wanted, "__order", rows_per_task)
-    upto = running_totals(positions, "__order", {"__n": "__upto"}, group=["__g"], bounds=bounds)
-    quota = _by_value(F.col("__g"), quotas)
-    # the position that fills the quota: at most one row per group
-    last = (
-        upto.filter((F.col("__upto") >= quota) & (F.col("__upto") - F.col("__n") < quota))
-        .select("__g", F.col("__order").alias("__last"), (quota - F.col("__upto") + F.col("__n")).alias("__left"))
-    )
-    ends = {r["__g"]: (r["__last"], r["__left"]) for r in last.collect()}
-    order, g = F.col("__order"), F.col(group)
-    # a group smaller than its quota has no end and is taken whole
-    end = _by_value(g, {k: ends[k][0] if k in ends else 1 << 62 for k in quotas})
-    edge = ranked.filter(order == end).select(
-        F.col(key).alias("__id"),
-        F.row_number().over(W.partitionBy(group).orderBy(key)).alias("__edge"),
-    )
-    left = _by_value(g, {k: ends[k][1] if k in ends else 0 for k in quotas})
-    marked = ranked.join(edge, F.col(key) == F.col("__id"), "left")
-    # a quota of 0 fills no position and picks nothing
-    open_groups = [k for k, n in quotas.items() if n > 0]
-    return marked.withColumn(
-        "picked",
-        F.coalesce(
-            g.isin(open_groups) & ((order < end) | (F.col("__edge") <= left)), F.lit(False)
-        ),
-    ).drop("__order", "__id", "__edge")
+    quota = _by_value(F.col("__g"), wanted)
+    # one row per group
+    filled = slots.filter(
+        (F.col("__upto") >= quota) & (F.col("__upto") - F.col("__n") < quota)
+    ).collect()
+    left = {r["__g"]: wanted[r["__g"]] - (r["__upto"] - r["__n"]) for r in filled}
+    at = {r["__g"]: r["__slot"] for r in filled}
+    last = {}
+    if left:
+        edge = ranked.filter(F.col("__slot") == _by_value(F.col(group), at))
+        place = F.row_number().over(W.partitionBy(group).orderBy("__order", key))
+        ends = edge.select(group, "__order", key, place.alias("__place")).filter(
+            F.col("__place") == _by_value(F.col(group), left)
+        )
+        last = {r[0]: (r[1], r[2]) for r in ends.collect()}
+    picked = F.lit(False)
+    for g in wanted:
+        if g in last:
+            order, name = last[g]
+            inside = (F.col("__order") < order) | (
+                (F.col("__order") == order) & (F.col(key) <= F.lit(name))
+            )
+        else:
+            # fewer rows than the quota: all of them
+            inside = F.lit(True)
+        picked = F.when(F.col(group) == F.lit(g), inside).otherwise(picked)
+    return ranked.withColumn("picked", picked).drop("__order", "__slot")
 
 
 def _by_value(column: Column, values: Mapping) -> Column:

@@ -55,13 +55,14 @@ def test_folds_keep_the_label_mix(spark, apps):
     assert all(max(v) - min(v) <= 1 for v in by_label.values())
 
 
-def test_folds_ranked_by_buckets_agree(spark, apps, monkeypatch):
-    from riskframe.functions import ordering
-
-    df = apps.select("app_id", "y")
-    plain = sorted(prep.stratified_folds(df, "app_id", "y", 5, seed=9).collect())
-    monkeypatch.setattr(ordering, "KEYS_PER_BUCKET", 200)
-    assert sorted(prep.stratified_folds(df, "app_id", "y", 5, seed=9).collect()) == plain
+def test_folds_and_quotas_do_not_depend_on_the_slots(spark, apps, monkeypatch):
+    df = apps.select("app_id", "y", "z")
+    folds = sorted(prep.stratified_folds(df, "app_id", "y", 5, seed=9).collect())
+    picks = sorted(prep.quota_sample(df, "app_id", "z", {0: 40, 1: 60}).collect())
+    for slots in (1, 3):
+        monkeypatch.setattr(prep, "SLOTS", slots)
+        assert sorted(prep.stratified_folds(df, "app_id", "y", 5, seed=9).collect()) == folds
+        assert sorted(prep.quota_sample(df, "app_id", "z", {0: 40, 1: 60}).collect()) == picks
 
 
 def test_quota_edges(spark, apps):
@@ -70,7 +71,7 @@ def test_quota_edges(spark, apps):
     quotas = {0: sizes[0] + 10, 1: 0}
     picked = prep.quota_sample(df, "app_id", "z", quotas).filter("picked")
     assert {r["z"]: r["count"] for r in picked.groupBy("z").count().collect()} == {0: sizes[0]}
-    cut = prep.quota_sample(df, "app_id", "z", {0: 40, 1: 60}, rows_per_task=50)
+    cut = prep.quota_sample(df, "app_id", "z", {0: 40, 1: 60})
     got = {r["z"]: r["count"] for r in cut.filter("picked").groupBy("z").count().collect()}
     assert got == {0: 40, 1: 60}
     # groups without a quota are left out
