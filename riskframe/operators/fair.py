@@ -168,7 +168,7 @@ def constrained_fit(
     group; cells (group, label) whose rate exceeds the lowest group's by more
     than ``tolerance`` get a heavier weight, and the learner is fitted again.
     Returns the model of the round with the smallest excess and the history
-    [(round, fpr gap, fnr gap)]. ``df`` should be cached by the caller.
+    [(round, fpr gap, fnr gap)]. ``df`` is read twice per round; see ``learn.training_table``.
     """
     watched = {name.strip() for name in constraint.split(",")}
     if not watched <= {"fpr", "fnr"} or not watched:

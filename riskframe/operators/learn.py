@@ -10,7 +10,6 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -26,6 +25,7 @@ from riskframe.functions.spec import FeatureSpec
 from riskframe.operators.features import FeatureEncoder, FeatureEncoderModel
 from riskframe.operators.measure import auc_scorer, ks_cutoff
 from riskframe.operators.prep import stratified_folds
+from riskframe.session import cut_lineage
 
 KINDS = ("logistic", "forest", "boosting", "perceptron")
 
@@ -146,21 +146,21 @@ def replicate_by_weight(df: DataFrame, id: str, weight: str, seed: int = 0) -> D
 ROWS_PER_TASK = 20_000
 
 
-def spread_for_training(df: DataFrame, id: str) -> DataFrame:
-    """Keep a table for many passes, spread over the cores where that pays.
+def training_table(df: DataFrame, id: str) -> DataFrame:
+    """A table ready for the many small jobs of an iterative learner.
 
-    A small input read as one file would otherwise train on a single core; a
-    large one already has enough partitions and is not shuffled.
+    It is written to the shared folder once, so that every iteration ships a short
+    plan, and spread over the cores where that pays: a small input read as one
+    file would train on a single core, a large one is not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    wanted = min(cores, math.ceil(kept.count() / ROWS_PER_TASK))
-    if kept.rdd.getNumPartitions() >= wanted:
-        return kept
-    wide = kept.repartition(wanted, id).persist(StorageLevel.MEMORY_AND_DISK)
-    wide.count()
-    kept.unpersist()
-    return wide
+    kept = cut_lineage(df)
+    have = kept.rdd.getNumPartitions()
+    wanted = max(1, min(cores, math.ceil(kept.count() / ROWS_PER_TASK)))
+    if have < wanted:
+        return cut_lineage(kept.repartition(wanted, id))
+    # many near-empty partitions; a large table has more rows than that in each
+    return kept.coalesce(wanted) if wanted < cores and have > wanted else kept
 
 
 # -- learners --------------------------------------------------------------------
@@ -337,16 +337,13 @@ def fit_flow(
 ) -> FittedFlow:
     """Fit the encoder, then the classifier on the encoded rows.
 
-    Learners pass over the data many times, so the assembled table is kept until
-    the fit is done.
+    Learners pass over the data many times, so they read the assembled table
+    from storage instead of encoding it again.
     """
     encoder = FeatureEncoder(spec, **dict(encoder_options or {})).fit(train)
     keep = [spec.id, spec.label, *([weight] if weight else [])]
-    ready = spread_for_training(encoder.assemble(train, keep), spec.id)
-    try:
-        model = classifier.fit(ready, label=spec.label, weight=weight, id=spec.id)
-    finally:
-        ready.unpersist()
+    ready = training_table(encoder.assemble(train, keep), spec.id)
+    model = classifier.fit(ready, label=spec.label, weight=weight, id=spec.id)
     return FittedFlow(encoder, model)
 
 
@@ -460,28 +457,33 @@ def search_folds(
     if weight is not None:
         raise ValueError("row weights need a validation set; use search_holdout")
     space = suggest_space(kind) if space == "suggest" else space
-    dealt = spread_for_training(
-        stratified_folds(train, spec.id, spec.label, folds, seed), spec.id
-    )
+    dealt = cut_lineage(stratified_folds(train, spec.id, spec.label, folds, seed))
     keep = [spec.id, spec.label, *([spec.sensitive] if spec.sensitive else [])]
-    encoders: dict[int, FeatureEncoderModel] = {}
-    try:
-        for i in range(folds):
-            encoder = FeatureEncoder(spec, **dict(encoder_options or {}))
-            encoders[i] = encoder.fit(dealt.filter(F.col("fold") != i))
+
+    def encoded_fold(i: int) -> tuple[DataFrame, DataFrame]:
+        """Fold ``i`` held out, both sides encoded by what the others taught."""
+        inside, held = dealt.filter(F.col("fold") != i), dealt.filter(F.col("fold") == i)
+        encoder = FeatureEncoder(spec, **dict(encoder_options or {})).fit(inside)
+        return (
+            training_table(encoder.assemble(inside, keep), spec.id),
+            training_table(encoder.assemble(held, keep), spec.id),
+        )
+
+    # folds of a trial run side by side once trials do
+    with ThreadPoolExecutor(max_workers=folds if parallelism > 1 else 1) as pool:
+        parts = list(pool.map(encoded_fold, range(folds)))
+
+        def fold_value(params: dict, i: int) -> float:
+            inside, held = parts[i]
+            model = Classifier(kind, params, seed).fit(inside, label=spec.label, id=spec.id)
+            scored = score_rows(model, held).drop("features")
+            return _value(_named(scored, spec), scorer)
 
         def trial(params: dict) -> float:
-            values = []
-            for i, encoder in encoders.items():
-                part = encoder.assemble(dealt.filter(F.col("fold") != i), keep)
-                model = Classifier(kind, params, seed).fit(part, label=spec.label, id=spec.id)
-                scored = FittedFlow(encoder, model).score(dealt.filter(F.col("fold") == i), keep)
-                values.append(_value(_named(scored, spec), scorer))
+            values = list(pool.map(lambda i: fold_value(params, i), range(folds)))
             return sum(values) / len(values)
 
         trials = _run_trials(trial, space, n_trials, timeout, seed, parallelism)
-    finally:
-        dealt.unpersist()
     params, value = _pick(trials)
     flow = fit_flow(train, spec, Classifier(kind, params, seed), None, encoder_options)
     return SearchResult(params, value, trials, flow)
@@ -509,25 +511,21 @@ def search_fast(
     encoder = FeatureEncoder(spec, **dict(encoder_options or {})).fit(train)
     keep = [spec.id, spec.label, *([spec.sensitive] if spec.sensitive else [])]
     extra = [weight] if weight else []
-    fitted = spread_for_training(encoder.assemble(train, [*keep, *extra]), spec.id)
-    checked = encoder.assemble(valid, keep).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-
-        def trial(params: dict) -> float:
-            model = Classifier(kind, params, seed).fit(
-                fitted, label=spec.label, weight=weight, id=spec.id
-            )
-            scored = score_rows(model, checked).drop("features")
-            return _value(_named(scored, spec), scorer, threshold="ks")
+    fitted = training_table(encoder.assemble(train, [*keep, *extra]), spec.id)
+    checked = training_table(encoder.assemble(valid, keep), spec.id)
 
-        trials = _run_trials(trial, space, n_trials, timeout, seed, parallelism)
-        params, value = _pick(trials)
+    def trial(params: dict) -> float:
         model = Classifier(kind, params, seed).fit(
             fitted, label=spec.label, weight=weight, id=spec.id
         )
-    finally:
-        fitted.unpersist()
-        checked.unpersist()
+        scored = score_rows(model, checked).drop("features")
+        return _value(_named(scored, spec), scorer, threshold="ks")
+
+    trials = _run_trials(trial, space, n_trials, timeout, seed, parallelism)
+    params, value = _pick(trials)
+    model = Classifier(kind, params, seed).fit(
+        fitted, label=spec.label, weight=weight, id=spec.id
+    )
     return SearchResult(params, value, trials, FittedFlow(encoder, model))
 
 

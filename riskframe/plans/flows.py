@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe.functions.spec import FeatureSpec
@@ -58,21 +57,17 @@ def fairness_methods(
     keep = [spec.id, spec.label, spec.sensitive]
     encoder = FeatureEncoder(spec).fit(train)
     weighed = fair.reweigh(train, spec.sensitive, spec.label)
-    ready = learn.spread_for_training(encoder.assemble(weighed, [*keep, "w"]), spec.id)
-    # read once per model, also after this function returns
+    ready = learn.training_table(encoder.assemble(weighed, [*keep, "w"]), spec.id)
     encoded = cut_lineage(encoder.assemble(test, keep))
-    try:
-        base = classifier.fit(ready, label=spec.label, id=spec.id)
-        reweighed = classifier.fit(ready, label=spec.label, weight="w", id=spec.id)
-        constrained, _ = fair.constrained_fit(
-            ready, classifier, label=spec.label, group=spec.sensitive, id=spec.id,
-            tolerance=0.02, rounds=4, step=4.0,
-        )
-        names = {spec.label: "y", spec.sensitive: "z"}
-        fitted = learn.score_rows(base, ready).withColumnsRenamed(names)
-        best = fair.threshold_search(fitted).first()
-    finally:
-        ready.unpersist()
+    base = classifier.fit(ready, label=spec.label, id=spec.id)
+    reweighed = classifier.fit(ready, label=spec.label, weight="w", id=spec.id)
+    constrained, _ = fair.constrained_fit(
+        ready, classifier, label=spec.label, group=spec.sensitive, id=spec.id,
+        tolerance=0.02, rounds=4, step=4.0,
+    )
+    names = {spec.label: "y", spec.sensitive: "z"}
+    fitted = learn.score_rows(base, ready).withColumnsRenamed(names)
+    best = fair.threshold_search(fitted).first()
     parts = []
     for name, model in (("baseline", base), ("reweighing", reweighed), ("constrained", constrained)):
         scored = learn.score_rows(model, encoded).drop("features")
@@ -112,11 +107,9 @@ def reject_methods(
     accept = learn.fit_flow(marked, accept_spec, classifier)
     p_accept = accept.score(labeled, [spec.id], out="p_accept")
     p_bad = flows["base"].score(labeled, [spec.id], out="p_bad")
-    rows = (
-        labeled.withColumnRenamed(y, "y")
-        .join(p_accept, spec.id)
-        .join(p_bad, spec.id)
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    # read by every method
+    rows = cut_lineage(
+        labeled.withColumnRenamed(y, "y").join(p_accept, spec.id).join(p_bad, spec.id)
     )
     makers = {
         "upward": lambda: rejects.upward(rows, floor=1e-6),
@@ -131,12 +124,9 @@ def reject_methods(
     unknown = sorted(set(methods) - set(makers))
     if unknown:
         raise ValueError(f"unknown methods {unknown}; known: {sorted(makers)}")
-    try:
-        for name in methods:
-            table_ = makers[name]().withColumnRenamed("y", y)
-            flows[name] = learn.fit_flow(table_, spec, classifier, weight="w")
-    finally:
-        rows.unpersist()
+    for name in methods:
+        weighted = makers[name]().withColumnRenamed("y", y)
+        flows[name] = learn.fit_flow(weighted, spec, classifier, weight="w")
     return flows
 
 

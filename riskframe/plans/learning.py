@@ -132,13 +132,10 @@ def e02(spark, sf_dir):
     train, _, everyone = _fair_parts(spark, sf_dir)
     encoder = learn.FeatureEncoder(FAIR_SPEC).fit(train)
     keep = ["app_id", "y", "z"]
-    ready = learn.spread_for_training(encoder.assemble(train, keep), "app_id")
-    try:
-        model, _ = fair.constrained_fit(
-            ready, Classifier("logistic", {"C": 10.0}), tolerance=0.02, rounds=4, step=4.0
-        )
-    finally:
-        ready.unpersist()
+    ready = learn.training_table(encoder.assemble(train, keep), "app_id")
+    model, _ = fair.constrained_fit(
+        ready, Classifier("logistic", {"C": 10.0}), tolerance=0.02, rounds=4, step=4.0
+    )
     scored = learn.score_rows(model, encoder.assemble(everyone, keep)).drop("features")
     return rounded(scored, digits=4)
 
