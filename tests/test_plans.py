@@ -1,6 +1,9 @@
 """The shape of the physical plans, and the rules about shared storage."""
 
+import os
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -134,3 +137,24 @@ def test_shared_folder_is_the_configured_one(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="share"):
         session.shared_folder(Session())
+
+
+def test_batch_functions_reach_workers_without_the_package(sf_dir, tmp_path):
+    """Python workers start in a folder from which the package cannot be imported."""
+    script = tmp_path / "elsewhere.py"
+    script.write_text(
+        "import sys\n"
+        f"sys.path[:0] = [{str(ROOT)!r}, {str(ROOT / 'tests')!r}]\n"
+        "from oracle import session\n"
+        "from riskframe.plans.catalog import catalog\n"
+        "spark = session('2')\n"
+        "for key in ('g05_shapley_values', 'g08_local_surrogate', 'g09_minimal_changes',\n"
+        "            'g10_diverse_counterfactuals', 'r06_label_spreading'):\n"
+        f"    assert catalog()[key][0](spark, {sf_dir!r}).count() > 0, key\n"
+        "print('all there')\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
+    )
+    assert "all there" in done.stdout, done.stderr[-2000:]
