@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from riskframe.functions.spec import FeatureSpec
 from riskframe.operators import features
 from riskframe.operators.features import FeatureEncoder
-from riskframe.plans.fixtures import applications, rounded, with_applications
+from riskframe.plans.fixtures import applications, rounded, table, with_applications
 
 CATEGORIES = ["segment", "priority", "nation", "kind"]
 SPEC = FeatureSpec(
@@ -135,6 +135,26 @@ def f07(spark, sf_dir):
     return rounded(FeatureEncoder(spec).fit(seen).encode(df))
 
 
+def documents(spark, sf_dir) -> DataFrame:
+    """Documents with a bad-quality label where one is known, else -1."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    joined = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    return joined.select(
+        "doc_id",
+        F.coalesce(1 - F.col("quality"), F.lit(-1)).alias("y"),
+        F.col("n_chars").cast("double").alias("n_chars"),
+        "lang",
+        "source",
+    )
+
+
+def f07_partly(spark, sf_dir):
+    """Unlabeled rows shape the imputation and the scale, but not the rates."""
+    df = documents(spark, sf_dir)
+    spec = FeatureSpec("doc_id", "y", numeric=("n_chars",), categorical=("lang", "source"))
+    return rounded(FeatureEncoder(spec, k=2.0).fit(df).encode(df, ["doc_id", "y"]))
+
+
 def f08(spark, sf_dir):
     spec = FeatureSpec(id="app_id", label="y", numeric=("amount", "balance"))
     df = gaps(spark, sf_dir)
@@ -244,6 +264,23 @@ FROM gaps g LEFT JOIN by_segment s ON g.segment = s.segment
             LEFT JOIN by_nation t ON g.nation = t.nation, overall""",
         ),
     ),
+    "f07_target_encoding_partly_labeled": (
+        f07_partly,
+        """
+WITH docs AS (
+  SELECT d.doc_id, coalesce(1 - l.quality, -1) AS y, CAST(n_chars AS DOUBLE) AS n_chars, lang, source
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+),
+overall AS (SELECT avg(CAST(y AS DOUBLE)) AS mean FROM docs WHERE y <> -1),
+stats AS (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS s FROM docs),
+by_lang AS (SELECT lang, sum(y) AS p, count(*) AS n FROM docs WHERE y <> -1 GROUP BY lang),
+by_source AS (SELECT source, sum(y) AS p, count(*) AS n FROM docs WHERE y <> -1 GROUP BY source)
+SELECT doc_id, y, round((n_chars - m) / s, 6) + 0.0 AS n_chars,
+  round((coalesce(a.p, 0) + 2 * mean) / (coalesce(a.n, 0) + 2), 6) AS lang,
+  round((coalesce(b.p, 0) + 2 * mean) / (coalesce(b.n, 0) + 2), 6) AS source
+FROM docs d LEFT JOIN by_lang a ON d.lang = a.lang LEFT JOIN by_source b ON d.source = b.source,
+  overall, stats""",
+    ),
     "f08_standard_scaling": (
         f08,
         with_applications(

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe.functions.spec import FeatureSpec
-from riskframe.operators import fair, learn, measure, prep, rejects
+from riskframe.operators import explain, fair, learn, measure, prep, rejects
+from riskframe.operators.features import numeric_stats
 from riskframe.operators.learn import Classifier
 from riskframe.plans.encoding import SPEC, gaps
 from riskframe.plans.fixtures import CARD, applications, rounded, with_applications
@@ -166,6 +167,34 @@ def r01_fit(spark, sf_dir):
     return rounded(flow.score(apps, ["app_id", "rejected"]), digits=4)
 
 
+def _explained(spark, sf_dir) -> tuple[learn.FlowScorer, DataFrame]:
+    """A fitted forest as a scorer, and all applications in the space it reads."""
+    train, _, everyone = _parts(spark, sf_dir)
+    forest = Classifier("forest", {"n_estimators": 10, "max_depth": 4}, seed=7)
+    scorer = learn.FlowScorer(learn.fit_flow(train, SPEC, forest))
+    return scorer, scorer.encode(everyone)
+
+
+def g01_model(spark, sf_dir):
+    """Partial dependence of a fitted forest, on the feature's original scale."""
+    scorer, plain = _explained(spark, sf_dir)
+    curve = explain.partial_dependence(plain, scorer, ["amount"])
+    return rounded(scorer.flow.encoder.unscale(curve, ["amount"]), digits=4)
+
+
+def g08_model(spark, sf_dir):
+    """Local surrogates of a fitted forest around every application."""
+    scorer, plain = _explained(spark, sf_dir)
+    encoder = scorer.flow.encoder
+    codes = [*encoder.state.onehot, *encoder.state.target]
+    background = explain.background_rows(plain, scorer, "app_id", 100, seed=3)
+    stats = numeric_stats(plain, encoder.state.numeric)
+    local = explain.LocalSurrogate(
+        scorer, stats, background, categorical=codes, n_samples=200, seed=3
+    )
+    return rounded(local.explain(plain, "app_id"), digits=4)
+
+
 QUERIES = {
     "l01_logistic_regression": (_fitted("logistic", {"C": 1.0}), None),
     "l02_random_forest": (_fitted("forest", {"n_estimators": 20, "max_depth": 5}), None),
@@ -196,6 +225,8 @@ FROM applications a JOIN (SELECT y, count(*) AS n FROM applications GROUP BY y)
     "l12_search_custom_scorer": (l12, None),
     "e01_reweighed_fit": (e01_fit, None),
     "e02_constrained_fit": (e02, None),
+    "g01_partial_dependence_of_model": (g01_model, None),
+    "g08_local_surrogate_of_model": (g08_model, None),
     "r00_fitted_accept_model": (r00_fit, None),
     "r01_upward_fit": (r01_fit, None),
 }
