@@ -199,3 +199,13 @@ def exact_quantiles(
             values.append(low + (high - low) * (exact - lo))
         result[g] = values
     return result
+
+
+def feature_quantiles(
+    df: DataFrame, features: Sequence[str], probabilities: Sequence[float]
+) -> dict[str, list]:
+    """:func:`exact_quantiles` of several columns from the same passes."""
+    values = df.select(*[F.col(f).cast("double").alias(f) for f in features])
+    long = values.unpivot([], list(features), "feature", "value")
+    found = exact_quantiles(long, "value", probabilities, group="feature")
+    return {f: found.get(f, [None] * len(list(probabilities))) for f in features}

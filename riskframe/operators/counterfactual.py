@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from riskframe.functions.ordering import exact_quantiles
+from riskframe.functions.ordering import feature_quantiles
 from riskframe.functions.scorecard import Scorecard
 from riskframe.operators.prep import hash_sample
 
@@ -26,7 +26,8 @@ def action_grid(
     """Quantiles of each feature at step_size, 2 step_size, ... below 1."""
     points = round(1 / step_size) - 1
     steps = [step_size * (i + 1) for i in range(points)]
-    return {f: [round(v, 6) for v in exact_quantiles(df, f, steps)[None]] for f in features}
+    found = feature_quantiles(df, features, steps)
+    return {f: [round(v, 6) for v in found[f]] for f in features}
 
 
 def grid_place(column: Column, grid: Sequence[float]) -> Column:
@@ -303,12 +304,9 @@ def _with_changes(n: int):
 
 def median_deviations(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
     """Median absolute deviation from the median; 1 for a constant feature."""
-    out = {}
-    for f in features:
-        centre = exact_quantiles(df, f, [0.5])[None][0]
-        gaps = df.select(F.abs(F.col(f) - F.lit(centre)).alias("gap"))
-        out[f] = exact_quantiles(gaps, "gap", [0.5])[None][0] or 1.0
-    return out
+    centres = {f: v[0] for f, v in feature_quantiles(df, features, [0.5]).items()}
+    gaps = df.select(*[F.abs(F.col(f) - F.lit(centres[f])).alias(f) for f in features])
+    return {f: v[0] or 1.0 for f, v in feature_quantiles(gaps, features, [0.5]).items()}
 
 
 def donor_rows(

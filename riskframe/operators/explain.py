@@ -19,7 +19,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from riskframe.functions.ordering import exact_quantiles
+from riskframe.functions.ordering import exact_quantiles, feature_quantiles
 from riskframe.functions.scorecard import Scorecard
 from riskframe.operators.prep import hash_sample
 
@@ -146,10 +146,8 @@ def individual_curves(
 def quantile_rug(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Percentiles 4, 6, ..., 92 of each feature as (feature, percentile, value)."""
     percents = list(range(4, 94, 2))
-    rows = []
-    for f in features:
-        values = exact_quantiles(df, f, [p / 100 for p in percents])[None]
-        rows += [(f, p, v) for p, v in zip(percents, values)]
+    found = feature_quantiles(df, features, [p / 100 for p in percents])
+    rows = [(f, p, v) for f in features for p, v in zip(percents, found[f])]
     return df.sparkSession.createDataFrame(rows, "feature string, percentile int, value double")
 
 

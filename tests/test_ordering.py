@@ -50,3 +50,19 @@ def test_quantiles_of_nothing(spark):
     assert exact_quantiles(empty, "v", [0.5]) == {None: [None]}
     nulls = spark.createDataFrame([(None,), (float("nan"),), (2.0,)], "v double")
     assert exact_quantiles(nulls, "v", [0.5]) == {None: [2.0]}
+
+
+@pytest.mark.parametrize("per_bucket", [None, 90])
+def test_features_of_different_scale_share_the_passes(spark, monkeypatch, per_bucket):
+    from riskframe.functions import ordering
+
+    if per_bucket:
+        monkeypatch.setattr(ordering, "KEYS_PER_BUCKET", per_bucket)
+    rng = np.random.default_rng(8)
+    wide, narrow = rng.normal(size=700) * 1e6, rng.random(700).round(2)
+    rows = [(float(a), float(b), None) for a, b in zip(wide, narrow)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = ordering.feature_quantiles(df, ["a", "b", "c"], [0.1, 0.5])
+    assert got["a"] == pytest.approx(np.quantile(wide, [0.1, 0.5]).tolist())
+    assert got["b"] == pytest.approx(np.quantile(narrow, [0.1, 0.5]).tolist())
+    assert got["c"] == [None, None]
