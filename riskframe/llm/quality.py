@@ -59,10 +59,13 @@ def _covered(hashes: Column) -> Column:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measures of each whole text; a null text counts as empty.
 
-    Windows are compared by 64-bit hashes of their five words.
+    Windows are compared by 64-bit hashes of their five words. Each step goes
+    through a generator of one row, below which neither filters nor later
+    expressions are pushed: words and windows are computed once.
     """
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = docs.withColumn("__t", value).withColumn("__w", F.array_remove(F.split("__t", BLANKS, -1), ""))
+    out = docs.withColumn("__t", value)
+    out = out.select("*", F.explode_outer(F.array(F.array_remove(F.split("__t", BLANKS, -1), ""))).alias("__w"))
     n = F.size("__w")
     windows = F.when(
         n >= WINDOW,
@@ -71,24 +74,24 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     lines = F.filter(F.split("__t", "\n", -1), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
-    out = out.withColumns({"__h": windows, "__l": lines})
+    out = out.select("*", F.inline_outer(F.array(F.struct(windows.alias("__h"), lines.alias("__l")))))
     repeats = F.when(
         F.size("__h") > F.size(F.array_distinct("__h")), _covered(F.col("__h"))
     ).otherwise(F.lit(0))
-    return out.withColumns(
-        {
-            "n_words": n.cast("long"),
-            "word_chars": F.length(F.array_join("__w", "")).cast("long"),
-            "n_symbols": _occurrences(F.col("__t"), SYMBOLS).cast("long"),
-            "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-            "n_repeat_words": repeats.cast("long"),
-            "n_lines": F.size("__l").cast("long"),
-            "n_capitals": F.regexp_count("__t", F.lit("[A-Z]{2,}")).cast("long"),
-            "n_shouts": _occurrences(F.col("__t"), "!?").cast("long"),
-            "n_noise": F.regexp_count("__t", F.lit(NOISE)).cast("long"),
-            "n_stops": _occurrences(F.col("__t"), ".").cast("long"),
-        }
-    ).drop("__t", "__w", "__h", "__l")
+    measures = {
+        "n_words": n,
+        "word_chars": F.length(F.array_join("__w", "")),
+        "n_symbols": _occurrences(F.col("__t"), SYMBOLS),
+        "n_dup_lines": F.size("__l") - F.size(F.array_distinct("__l")),
+        "n_repeat_words": repeats,
+        "n_lines": F.size("__l"),
+        "n_capitals": F.regexp_count("__t", F.lit("[A-Z]{2,}")),
+        "n_shouts": _occurrences(F.col("__t"), "!?"),
+        "n_stops": _occurrences(F.col("__t"), "."),
+        "n_noise": F.regexp_count("__t", F.lit(NOISE)),
+    }
+    row = F.struct(*[measures[m].cast("long").alias(m) for m in MEASURES])
+    return out.select(*docs.columns, F.inline_outer(F.array(row)))
 
 
 def base_failed() -> Column:
