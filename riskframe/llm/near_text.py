@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.llm.common import Workspace, components, map_texts
+from riskframe.llm.common import Workspace, components, map_texts, smallest_reachable
 from riskframe.llm.shingles import WordHashes, mix, shingle_set
 
 #: Registers per band: four of 16 bits make one 64-bit band value.
@@ -20,6 +22,8 @@ MANTISSA = 10
 COLLISION = 0.169919 / 2**MANTISSA
 #: Chance of missing a pair at the threshold, which fixes the number of bands.
 MISS = 1e-7
+#: Texts and shingles per tile of the second step, shared hashes per product.
+TILE_TEXTS, TILE_SHINGLES, COLUMNS = 256, 300_000, 4096
 
 
 def band_count(percent: int) -> int:
@@ -119,7 +123,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         right = np.frombuffer(b"".join(y), np.uint16).reshape(len(y), -1)
         return pd.Series(estimate(left, right))
 
-    side = classes.select("id", F.col("n_shingles").alias("n"), "regs")
+    side = classes.select("id", F.col("n_shingles").alias("n"), "regs").hint("merge")
     return (
         pairs.join(side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
         .join(side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
@@ -142,24 +146,108 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pd.Series(out, dtype="bool")
 
     return (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
+        pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")).hint("merge"), "a")
+        .join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")).hint("merge"), "b")
         .filter(linked("ha", "hb"))
         .select("a", "b")
     )
 
 
+def tile_links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the sets that reach the threshold, all compared with all, exactly.
+
+    Intersections are counted as products of 0/1 blocks over the shared hashes,
+    some thousand of them at a time.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    owner, code = owner[shared[code]], (np.cumsum(shared) - 1)[code[shared[code]]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    common = np.zeros((len(sets), len(sets)), np.float64)
+    for base in range(0, int(shared.sum()), COLUMNS):
+        low, high = np.searchsorted(code, (base, base + COLUMNS))
+        block = np.zeros((len(sets), COLUMNS), np.float32)
+        block[owner[low:high], code[low:high] - base] = 1
+        common += block @ block.T
+    reach = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    return np.nonzero(np.triu(reach, 1))
+
+
+def mixed_links(
+    crowd: DataFrame, first: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, space: Workspace
+) -> DataFrame:
+    """Links (a, b) that join classes of buckets which still hold several components.
+
+    Components that meet in a bucket form a zone; a zone's classes are dealt into
+    tiles of bounded size; tiles that share such a bucket are compared as a whole,
+    set against set, and only the smallest class each one reaches comes back. So
+    every pair of such a bucket is tested, and none is written out.
+    """
+    placed = space.settle(
+        crowd.join(first, crowd["id"] == first["node"], "left").select(
+            "k", "id", F.coalesce("root", "id").alias("root")
+        ),
+        "placed",
+    )
+    ends = placed.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    inside = space.settle(placed.join(space.settle(ends, "ends").hint("merge"), "k"), "inside")
+    zones = components(inside.select(F.col("root").alias("a"), F.col("low").alias("b")).distinct())
+    zones = zones.select(F.col("node").alias("root"), F.col("root").alias("zone"))
+    zoned = inside.select("id", "root").distinct().join(zones, "root").select("id", "zone")
+    zoned = space.settle(zoned.join(classes.select("id", "n_shingles"), "id"), "zoned")
+    sizes = zoned.groupBy("zone").agg(
+        F.greatest(F.ceil(F.count("*") / TILE_TEXTS), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).alias("parts")
+    )
+    tiled = space.settle(
+        zoned.join(space.settle(sizes, "sizes"), "zone").select(
+            "id", F.concat_ws("|", "zone", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("tile")
+        ),
+        "tiled",
+    )
+    tiles = space.settle(
+        tiled.join(sets, "id").groupBy("tile").agg(F.collect_list(F.struct("id", "hashes")).alias("texts")), "tiles"
+    )
+    where = space.settle(inside.select("k", "id").join(tiled, "id").select("k", "tile").distinct(), "where")
+    pairs = (
+        where.select("k", F.col("tile").alias("x")).join(where.select("k", F.col("tile").alias("y")), "k")
+        .filter("x <= y").select("x", "y").distinct()
+    )
+    work = pairs.join(tiles.select(F.col("tile").alias("x"), F.col("texts").alias("p")), "x").join(
+        tiles.select(F.col("tile").alias("y"), F.col("texts").alias("q")), "y"
+    ).select((F.col("x") == F.col("y")).alias("same"), "p", "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                texts = batch.column(1)[k].as_py()
+                if not batch.column(0)[k].as_py():
+                    texts += batch.column(2)[k].as_py()
+                texts.sort(key=lambda t: t["id"])
+                i, j = tile_links([np.frombuffer(t["hashes"], np.uint64) for t in texts], percent)
+                if len(i):
+                    ids = np.array([t["id"] for t in texts], np.int64)
+                    root = smallest_reachable(len(ids), i, j)
+                    moved = np.flatnonzero(root != np.arange(len(ids)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[moved]), pa.array(ids[root[moved]])], names=["a", "b"]
+                    )
+
+    return work.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Component of each document under links of Jaccard >= percent / 100.
 
     Returns (doc_id, n_shingles, component_id, kept) for each row of ``docs``
     (doc_id, text; other columns are ignored). Documents with equal sets are one
     class, whose smallest doc_id stands for it. Band buckets are searched in two
-    steps: first every class against its bucket's smallest one; then, only where
-    a bucket still holds several components, every class outside the bucket's
-    largest component against all classes of other components. A pair sharing a
-    bucket is thus either tested or already connected, and no group's pairs are
-    all written out. Null and word-less texts have no shingles and link with
+    steps: first every class against its bucket's smallest one; then, where a
+    bucket still holds several components, all its classes, tile against tile. A
+    pair sharing a bucket is thus either tested or already connected, and no
+    group's pairs are ever written out. Null and word-less texts have no shingles and link with
     nothing; a null doc_id keeps its row, without a component; rows repeating a
     doc_id belong to one component. No rows give no rows.
     """
@@ -188,36 +276,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     hubs = space.settle(
         banded.groupBy("k").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n"), "hubs"
     )
-    crowd = space.settle(banded.join(hubs, "k").select("k", "id", "hub"), "crowd")
+    crowd = space.settle(banded.join(hubs.hint("merge"), "k").select("k", "id", "hub"), "crowd")
     stars = crowd.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     tested = space.settle(plausible(stars, classes, percent), "tested")
-    sets = space.settle(_needed_sets(docs, tested, size), "sets")
+    near = crowd.select(F.col("id").alias("doc_id")).distinct()
+    sets = space.settle(full_sets(docs.join(near.hint("merge"), "doc_id", "left_semi"), size).distinct(), "sets")
     links = space.settle(verified(tested, sets, percent), "links")
     first = space.settle(components(links), "first")
-
-    placed = space.settle(
-        crowd.join(first, crowd["id"] == first["node"], "left").select(
-            "k", "id", F.coalesce("root", "id").alias("root")
-        ),
-        "placed",
-    )
-    mixed = space.settle(
-        placed.groupBy("k", "root").count()
-        .groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("major"), F.count("*").alias("n"))
-        .filter("n > 1").drop("n"),
-        "mixed",
-    )
-    inside = space.settle(placed.join(mixed, "k"), "inside")
-    minor = inside.filter("root <> major").select("k", F.col("id").alias("x"), F.col("root").alias("rx"))
-    across = (
-        minor.join(inside.select("k", F.col("id").alias("y"), F.col("root").alias("ry")), "k")
-        .filter("rx <> ry")
-        .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    late = space.settle(plausible(across, classes, percent), "late")
-    more = space.settle(verified(late, _needed_sets(docs, late, size), percent), "more")
+    more = space.settle(mixed_links(crowd, first, classes, sets, percent, space), "more")
     joined = first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more).union(repeated)
     final = space.settle(components(joined), "final")
     roots = space.settle(
@@ -226,7 +292,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         ),
         "roots",
     )
-    member = usable.join(roots, "digest").select("doc_id", "n_shingles", F.col("root").alias("component_id"))
+    member = usable.join(roots.hint("merge"), "digest").select("doc_id", "n_shingles", F.col("root").alias("component_id"))
     alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
     )
@@ -244,8 +310,3 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_
     known = docs.filter(F.col(key).isNotNull())
     kept = known.join(gone, F.col(key) == F.col("__gone"), "left_anti").dropDuplicates([key])
     return kept.unionByName(docs.filter(F.col(key).isNull()))
-
-
-def _needed_sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return full_sets(docs.join(ids, "doc_id", "left_semi"), size).distinct()

@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskframe.llm.common import Workspace, components
+from riskframe.llm.common import Workspace, components, smallest_reachable
 
 #: Vectors per tile, leading dimensions that bound a tile, dimensions added per step.
 TILE, BOX, STEP = 1024, 8, 8
@@ -90,20 +90,6 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, same: bool, cosine: float) -> tup
     return i, j
 
 
-def _roots(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest position reachable by the links, for each position."""
-    root = np.arange(size)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def near_vectors(
     vectors: DataFrame, cosine: float, key: str = "vec_id", vector: str = "embedding", label: str = "label"
 ) -> DataFrame:
@@ -238,7 +224,7 @@ def near_vectors(
                 order = np.argsort(ids, kind="stable")  # the smallest class first
                 place = np.empty(len(ids), np.int64)
                 place[order] = np.arange(len(ids))
-                root = ids[order][_roots(len(ids), place[i], place[j])][place]
+                root = ids[order][smallest_reachable(len(ids), place[i], place[j])][place]
                 links = np.bincount(i, many[j], len(ids)) + np.bincount(j, many[i], len(ids))
                 touched = np.flatnonzero(links)
                 yield pa.RecordBatch.from_arrays(
