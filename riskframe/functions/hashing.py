@@ -25,13 +25,20 @@ def hash_unit(key: str | Column, seed: int = 0) -> Column:
 
 
 def arithmetic_rank(key: str | Column, seed: int = 0) -> Column:
-    """Integer in [0, MODULUS): two rounds of a Lehmer generator on an integer key."""
-    column = (F.col(key) if isinstance(key, str) else key).cast("bigint")
-    first = ((column + F.lit(seed + 1)) % MODULUS * MULTIPLIER + INCREMENT) % MODULUS
+    """Integer in [0, MODULUS): two rounds of a Lehmer generator on the key.
+
+    Integers, also negative and huge ones, are first brought into the range; keys
+    that are no integers (and null) enter by their hash.
+    """
+    column = F.col(key) if isinstance(key, str) else key
+    hashed = F.pmod(F.xxhash64(column.cast("string")), F.lit(MODULUS))
+    start = F.coalesce(F.pmod(column.try_cast("bigint"), F.lit(MODULUS)), hashed)
+    first = ((start + F.lit(seed + 1)) % MODULUS * MULTIPLIER + INCREMENT) % MODULUS
     return (first * MULTIPLIER + INCREMENT) % MODULUS
 
 
 def arithmetic_rank_sql(key: str, seed: int = 0) -> str:
-    """SQL text of :func:`arithmetic_rank`."""
-    first = f"((({key}) + {seed + 1}) % {MODULUS} * {MULTIPLIER} + {INCREMENT}) % {MODULUS}"
+    """SQL text of :func:`arithmetic_rank` for an integer key."""
+    start = f"((({key}) % {MODULUS} + {MODULUS}) % {MODULUS})"
+    first = f"(({start} + {seed + 1}) % {MODULUS} * {MULTIPLIER} + {INCREMENT}) % {MODULUS}"
     return f"(({first}) * {MULTIPLIER} + {INCREMENT}) % {MODULUS}"

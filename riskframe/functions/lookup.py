@@ -34,6 +34,8 @@ def attach_state(
 ) -> DataFrame:
     """Left join ``values`` of ``state`` onto ``df``; unmatched rows get nulls.
 
+    A null key meets the state's row with a null key, whatever the sizes.
+
     ``state`` holds one row per key. When it is too big to broadcast, the few
     keys that dominate ``df`` are served by a broadcast of at most
     ``hot_parts`` rows, and only the others meet ``state`` in a shuffle. Hot and
@@ -57,8 +59,13 @@ def attach_state(
     hot = hot_keys.join(side, F.col("__hot") == F.col("__key"), "left").select(
         "__hot", *[F.col(v).alias(f"__hot_{v}") for v in values]
     )
+    hot = hot.union(
+        side.filter(F.col("__key").isNull()).select(
+            F.lit(None).cast(hot.schema["__hot"].dataType), *[F.col(v) for v in values]
+        )
+    )
     spread = F.concat(F.lit("s:"), F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("string"))
-    served = df.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn(
+    served = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("__hot")), "left").withColumn(
         "__probe",
         F.when(F.col(key).isNull() | F.col("__hot").isNotNull(), spread).otherwise(
             F.concat(F.lit("k:"), F.col(key).cast("string"))

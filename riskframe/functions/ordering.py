@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 KEYS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 2000
-MAX_GROUPS = 1000
 
 
 def range_bounds(
@@ -42,6 +41,8 @@ def range_bounds(
         .first()
     )
     wanted = min(max_buckets, math.ceil(row["n"] / keys_per_bucket))
+    if math.ceil(row["n"] / keys_per_bucket) > max_buckets:  # look again, finer
+        return range_bounds(df, key, keys_per_bucket, math.ceil(row["n"] / keys_per_bucket))
     if wanted <= 1 or row["q"] is None:
         return [], row["n"]
     chosen = {row["q"][round(i * max_buckets / wanted) - 1] for i in range(1, wanted)}

@@ -210,16 +210,14 @@ def shapley_values(
 ) -> DataFrame:
     """(id, one column per feature): each feature's share of score minus mean score.
 
-    ``method="pred"`` explains the 0/1 prediction ``score > threshold``. Up to 8
-    features every coalition is evaluated; beyond, or with ``permutations``, a
-    seeded set of orders.
+    ``method="pred"`` explains the 0/1 prediction ``score > threshold``. Every
+    coalition is evaluated, ``2 ** features`` vector steps per batch, unless
+    ``permutations`` asks for that many seeded orders instead.
     """
     if method not in ("prob", "pred"):
         raise ValueError("method must be 'prob' or 'pred'")
     names = list(scorer.features)
     k = len(names)
-    if permutations is None and k > 8:
-        permutations = 10
     plan = coalition_plan(k, permutations, seed)
     masks = sorted(plan)
 

@@ -131,11 +131,14 @@ def balanced_weights(
 def replicate_by_weight(df: DataFrame, id: str, weight: str, seed: int = 0) -> DataFrame:
     """Rows repeated in proportion to their weight, for learners without one.
 
-    The expected number of copies is weight / mean weight, so the table keeps its
-    size; the fraction is rounded by the row's own hash and so is reproducible.
+    The expected number of copies is weight / smallest positive weight, so every
+    row that counts is used at least once; the fraction is rounded by the row's own
+    hash and so is reproducible. Rows without a positive weight go.
     """
-    mean = df.agg(F.avg(weight)).first()[0]
-    share = F.col(weight) / F.lit(float(mean))
+    least = df.filter(F.col(weight) > 0).agg(F.min(weight)).first()[0]
+    if least is None:
+        return df.limit(0)
+    share = F.col(weight) / F.lit(float(least))
     copies = F.floor(share) + (hash_unit(id, seed) < share - F.floor(share)).cast("bigint")
     return df.withColumn("__n", copies).filter("__n > 0").withColumn(
         "__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n")))
@@ -254,7 +257,8 @@ class Classifier:
             layers=[width, *params.get("hidden_layers", [64]), 2],
             maxIter=int(params.get("max_iter", 100)),
             stepSize=float(params.get("learning_rate_init", 0.03)),
-            solver=params.get("solver", "l-bfgs"),
+            # only gradient descent has a step size
+            solver=params.get("solver", "gd" if "learning_rate_init" in params else "l-bfgs"),
             seed=self.seed,
         )
         return learner.fit(df)
@@ -272,7 +276,10 @@ def score_rows(model, df: DataFrame, features: str = "features", out: str = "sco
     return score_vector(model, df, features, out)
 
 
-def hard_labels(df: DataFrame, threshold: float = 0.5, score: str = "score") -> DataFrame:
+def hard_labels(df: DataFrame, threshold: float | None = 0.5, score: str = "score") -> DataFrame:
+    """Add ``pred``; without a threshold, as a cut-off of one class may be, it is null."""
+    if threshold is None:
+        return df.withColumn("pred", F.lit(None).cast("int"))
     return df.withColumn("pred", (F.col(score) >= F.lit(float(threshold))).cast("int"))
 
 

@@ -51,8 +51,7 @@ def threshold_predictions(
     threshold) table with a row per model."""
     if isinstance(thresholds, DataFrame):
         side = thresholds.select("model", F.col("threshold").alias("__t"))
-        # one row per model in the report
-        joined = df.join(F.broadcast(side), "model", "left")
+        joined = df.join(side, "model", "left")
         cut = F.coalesce(F.col("__t"), F.lit(float(default)))
         return joined.withColumn("pred", (F.col("score") >= cut).cast("int")).drop("__t")
     if isinstance(thresholds, Mapping):

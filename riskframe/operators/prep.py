@@ -61,7 +61,8 @@ def count_bad_casts(df: DataFrame, keep: Sequence[str] = (), to: str = "double")
 def recode(
     df: DataFrame, column: str, mapping: Mapping | DataFrame, out: str | None = None
 ) -> DataFrame:
-    """Replace codes by labels; a code without a label becomes null.
+    """Replace codes by labels; a code without a label becomes null, and so does a
+    null unless the mapping has a label for it.
 
     ``mapping`` is a dictionary, or a table with columns ``code`` and ``label``
     when it is too large for a literal.
@@ -75,8 +76,14 @@ def recode(
         spark = df.sparkSession
         rows = [(code, label) for code, label in mapping.items()]
         return recode(df, column, spark.createDataFrame(rows, ["code", "label"]), out)
-    pairs = F.create_map(*[F.lit(v) for v in chain.from_iterable(mapping.items())])
-    return df.withColumn(out, F.try_element_at(pairs, F.col(column)))
+    known = {code: label for code, label in mapping.items() if code is not None}
+    if not known:
+        return df.withColumn(out, F.when(F.col(column).isNull(), F.lit(mapping.get(None))))
+    pairs = F.create_map(*[F.lit(v) for v in chain.from_iterable(known.items())])
+    found = F.try_element_at(pairs, F.col(column))
+    if None in mapping:
+        found = F.when(F.col(column).isNull(), F.lit(mapping[None])).otherwise(found)
+    return df.withColumn(out, found)
 
 
 def recode_binary(df: DataFrame, column: str, match, out: str | None = None) -> DataFrame:
@@ -87,9 +94,10 @@ def recode_binary(df: DataFrame, column: str, match, out: str | None = None) ->
 def derive_sensitive(
     df: DataFrame, column: str, mapping: Mapping, privileged: str, label: str, out: str = "z"
 ) -> DataFrame:
-    """A readable group label and its 0/1 flag from a coded column."""
+    """A readable group label and its 0/1 flag from a coded column; 0 for unmapped codes."""
     labelled = recode(df.withColumn(label, F.col(column)), label, mapping)
-    return labelled.withColumn(out, (F.col(label) == privileged).cast("int"))
+    member = F.coalesce(F.col(label) == privileged, F.lit(False))
+    return labelled.withColumn(out, member.cast("int"))
 
 
 # -- splits ------------------------------------------------------------------
@@ -141,9 +149,9 @@ def stratified_folds(
         "__y", "__s", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start")
     )
     inside = W.partitionBy(label, "__slot").orderBy("__order", key)
-    # at most SLOTS rows per label
+    # up to SLOTS rows per label value: left to the planner, which knows their size
     dealt = ranked.withColumn("__rank", F.row_number().over(inside)).join(
-        F.broadcast(starts),
+        starts,
         F.col(label).eqNullSafe(F.col("__y")) & (F.col("__slot") == F.col("__s")),
     )
     place = F.col("__start") + F.col("__rank") - 1

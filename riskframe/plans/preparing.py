@@ -115,6 +115,17 @@ def s14(spark, sf_dir):
     return prep.append_unlabeled(accepted, apps.filter("rejected = 1").drop("rejected"))
 
 
+def s11_signed(spark, sf_dir):
+    """Negative and huge ids."""
+    apps = applications(spark, sf_dir).select(F.expr(SIGNED_SQL).alias("app_id"), "y")
+    return prep.holdout_split(apps, "app_id", test=0.2, valid=0.25, seed=42)
+
+
+def s15_signed(spark, sf_dir):
+    apps = applications(spark, sf_dir).select(F.expr(SIGNED_SQL).alias("app_id"), "amount", "balance")
+    return prep.hash_sample(apps, "app_id", 100, seed=11)
+
+
 def s15(spark, sf_dir):
     apps = applications(spark, sf_dir).select("app_id", "amount", "balance")
     return prep.hash_sample(apps, "app_id", 100, seed=11)
@@ -125,6 +136,8 @@ def _case(column: str, mapping: dict) -> str:
     return f"CASE {arms} END"
 
 
+SIGNED_SQL = "CASE WHEN app_id % 2 = 0 THEN -app_id ELSE 9223372036854775807 - app_id END"
+
 CUSTOMER_SQL = (
     f"SELECT c_custkey, '{ACCENTED}' || c_name AS c_label, c_acctbal, c_mktsegment FROM customer"
 )
@@ -162,7 +175,7 @@ QUERIES = {
         s07,
         with_applications(
             select=f"""SELECT app_id, segment, kind,
-  CAST(CASE WHEN kind IS NULL THEN NULL WHEN kind = 'Industry' THEN 1 ELSE 0 END AS INTEGER) AS a
+  CAST(CASE WHEN kind = 'Industry' THEN 1 ELSE 0 END AS INTEGER) AS a
 FROM (SELECT app_id, segment, {_case('segment', SEGMENT_KIND)} AS kind FROM applications) t"""
         ),
     ),
@@ -209,6 +222,23 @@ FROM applications"""
             "FROM applications"
         ),
     ),
+    "s11_holdout_split_signed": (
+        s11_signed,
+        with_applications(
+            select=f"""SELECT app_id, y,
+  CASE WHEN draw < 2000 THEN 'test' WHEN draw < 4000 THEN 'valid' ELSE 'train' END AS part
+FROM (SELECT app_id, y, ({arithmetic_rank_sql('app_id', 42)}) % 10000 AS draw
+      FROM (SELECT {SIGNED_SQL} AS app_id, y FROM applications) s) t"""
+        ),
+    ),
+    "s15_hash_sample_signed": (
+        s15_signed,
+        with_applications(
+            select=f"""SELECT app_id, amount, balance
+FROM (SELECT {SIGNED_SQL} AS app_id, amount, balance FROM applications) t
+ORDER BY {arithmetic_rank_sql('app_id', 11)}, app_id LIMIT 100"""
+        ),
+    ),
     "s15_hash_sample": (
         s15,
         with_applications(

@@ -68,7 +68,9 @@ def test_replication_follows_the_weights(spark):
     copies = learn.replicate_by_weight(df, "id", "w")
     assert copies.columns == ["id", "w"]
     light, heavy = (copies.filter(F.col("w") == w).count() for w in (1.0, 3.0))
-    assert abs(light - 500) < 60 and abs(heavy - 1500) < 60
+    assert light == 1000 and heavy == 3000
+    uneven = df.withColumn("w", F.when(F.col("id") == 0, 0.0).otherwise(F.col("w") * 1.5 + F.col("id") % 3))
+    assert learn.replicate_by_weight(uneven, "id", "w").select("id").distinct().count() == 1999
     again = learn.replicate_by_weight(df.repartition(17), "id", "w")
     assert again.groupBy("id").count().exceptAll(copies.groupBy("id").count()).count() == 0
 

@@ -175,3 +175,41 @@ def test_hash_is_uniform(spark):
     for c in "ab":
         low, mean, high = df.agg(F.min(c), F.avg(c), F.max(c)).first()
         assert 0 <= low < 0.01 and 0.99 < high < 1 and abs(mean - 0.5) < 0.02
+
+
+def test_split_shares_hold_for_any_kind_of_id(spark):
+    ids = spark.range(20_000)
+    kinds = {
+        "negative": -F.col("id") - 1,
+        "huge": F.lit((1 << 63) - 1) - F.col("id"),
+        "hashed": F.xxhash64("id"),
+        "text": F.concat(F.lit("a"), F.col("id").cast("string")),
+    }
+    for column in kinds.values():
+        parts = prep.holdout_split(ids.select(column.alias("k")), "k", test=0.2, valid=0.25, seed=4)
+        shares = {r["part"]: r["count"] / 20_000 for r in parts.groupBy("part").count().collect()}
+        assert abs(shares["test"] - 0.2) < 0.02 and abs(shares["valid"] - 0.2) < 0.02
+    signed = ids.select((F.col("id") - 10_000).alias("k"))
+    drawn = prep.hash_sample(signed, "k", 400).filter("k < 0").count()
+    assert 140 < drawn < 260
+
+
+def test_null_codes_have_one_rule(spark):
+    from riskframe.functions import lookup
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "z")], "id int, c string")
+    mapping = {"a": "A", None: "none"}
+    table = spark.createDataFrame(list(mapping.items()), "code string, label string")
+    want = {1: "A", 2: "none", 3: None}
+    side = table.select("code", F.col("label").alias("l"))
+    assert {r["id"]: r["c"] for r in prep.recode(df, "c", mapping).collect()} == want
+    assert {r["id"]: r["c"] for r in prep.recode(df, "c", table).collect()} == want
+    for small in (True, False):
+        got = lookup.attach_state(df, side, "c", "code", ["l"], small=small)
+        assert {r["id"]: r["l"] for r in got.collect()} == want
+
+
+def test_unmapped_codes_are_not_privileged(spark):
+    df = spark.createDataFrame([("a",), ("q",), (None,)], "c string")
+    got = prep.derive_sensitive(df, "c", {"a": "Yes", "b": "No"}, "Yes", label="l")
+    assert sorted(r["z"] for r in got.collect()) == [0, 0, 1]
