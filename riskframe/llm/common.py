@@ -17,6 +17,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Edges that one task contracts on its own.
+LOCAL_EDGES = 200_000
 #: Texts handed to a kernel at once, which bounds what one call returns.
 TEXTS_PER_CALL = 256
 
@@ -78,17 +80,34 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): one row (node, root) per
     node that has an edge, root being the smallest node reachable.
 
-    Alternating star contraction. Neighbourhoods are never gathered: each half
-    round takes a minimum per node (combined on the map side), writes it, and
-    joins it back, so a hub's edges can be split over tasks. Null ends and loops
-    are ignored; no edges give no rows.
+    Tasks of at most about ``LOCAL_EDGES`` edges first reduce their own edges to
+    stars; one such task is all a small graph needs. Then alternating star
+    contraction: neighbourhoods are never gathered, each half round takes a minimum
+    per node (combined on the map side), writes it, and joins it back, so a hub's
+    edges can be split over tasks. Null ends and loops are ignored; no edges give
+    no rows.
     """
     spark = edges.sparkSession
     space = Workspace(spark, "components")
     pairs = edges.filter("a <> b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
+        F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")
     ).distinct()
-    current = space.settle(pairs, "edges0")
+    whole = space.settle(pairs, "whole")
+    parts = max(1, -(-whole.count() // LOCAL_EDGES))
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if ends:
+            u, v = (np.concatenate(x) for x in zip(*ends))
+            nodes, where = np.unique(np.concatenate([u, v]), return_inverse=True)
+            root = smallest_reachable(len(nodes), where[: len(u)], where[len(u) :])
+            moved = np.flatnonzero(root != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["u", "v"])
+
+    current = space.settle(whole.coalesce(parts).mapInArrow(contract, "u long, v long"), "edges0")
+    if parts == 1:
+        space.release("edges0")
+        return _rooted(current)
     signature = _fingerprint(current)
     for step in range(1, max_rounds + 1):
         both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -114,8 +133,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         signature = found
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-        current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return _rooted(current)
+
+
+def _rooted(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+        stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
 
 

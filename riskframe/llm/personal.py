@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe.llm.common import map_texts
@@ -299,8 +300,6 @@ def personal_spans(
 
 def redactor(verdicts: dict[str, bool]) -> Callable:
     """Pandas UDF: the text with every span replaced by its kind in brackets; null stays null."""
-    import pandas as pd
-
     def redact(value: str | None) -> str | None:
         if not value:
             return value
