@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator, Mapping, Sequence
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -14,10 +14,9 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from riskframe.functions.ordering import feature_quantiles
 from riskframe.functions.scorecard import Scorecard
 from riskframe.operators.prep import hash_sample
+from riskframe.session import cut_lineage
 
 CRITERIA = ("percentile", "percentile_changes", "non_dom")
-#: Upper bound on the candidates one row may be expanded to.
-MAX_CANDIDATES = 100_000
 
 
 def action_grid(
@@ -58,7 +57,8 @@ def minimal_changes(
     """Cheapest grid moves that bring P(target) to the threshold.
 
     Rows already there are left out. A move's price is the largest percentile
-    shift among the changed features.
+    shift among the changed features; at the same price and number of changes the
+    smallest total shift wins, then the smallest new values.
 
     * ``percentile``: the cheapest counterfactual of each row.
     * ``percentile_changes``: the cheapest one for each number of changes, as
@@ -66,8 +66,11 @@ def minimal_changes(
     * ``non_dom``: all that no other one beats in every feature's shift.
 
     Returns (id, n_changes, cost, score, new_<feature> ...); a feature that keeps
-    its value has null. For a scorecard and the two price criteria the search is
-    a scan of price levels without any shuffle; other cases enumerate the moves.
+    its value has null, and a null feature cannot be moved. A scorecard is searched
+    in batches without any shuffle. Other scorers are searched in price bands that
+    double in width; only rows that a dearer move may still improve go on to the
+    next band. ``non_dom`` needs every move of such a scorer: per row the product
+    of the grid sizes of ``max_changes`` features.
     """
     if criterion not in CRITERIA:
         raise ValueError(f"criterion must be one of {CRITERIA}")
@@ -78,15 +81,14 @@ def minimal_changes(
         raise ValueError(f"not features of the scorer: {missing}")
     base = df.select(id, *scorer.features)
     open_rows = scorer.score(base, "__score").filter(~accepted(F.col("__score"), target, threshold))
-    if isinstance(scorer, Scorecard) and criterion != "non_dom":
+    if isinstance(scorer, Scorecard):
         return _monotone(
             open_rows, scorer, id, grid, target, max_changes, criterion, threshold, step_size
         )
-    found = _enumerated(
-        open_rows, scorer, id, grid, target, max_changes, criterion, threshold, step_size
-    )
+    options = (scorer, id, grid, target, max_changes, threshold, step_size)
     if criterion == "non_dom":
-        return found
+        return _undominated_moves(open_rows, *options)
+    found = _by_bands(open_rows, criterion, *options)
     return _by_price(found, id, grid, criterion, max_changes)
 
 
@@ -98,17 +100,28 @@ def _subsets(features: Sequence[str], max_changes: int) -> list[tuple[str, ...]]
     ]
 
 
+def _move_schema(rows: DataFrame, id: str, grid) -> StructType:
+    return StructType(
+        [
+            rows.schema[id],
+            StructField("n_changes", IntegerType()),
+            StructField("cost", DoubleType()),
+            StructField("score", DoubleType()),
+            *[StructField(f"new_{f}", DoubleType()) for f in grid],
+        ]
+    )
+
+
 def _monotone(
     rows, card, id, grid, target, max_changes, criterion, threshold, step_size
 ) -> DataFrame:
-    """Scan the price levels of each set of features, vectorised over the rows.
+    """Search the moves of a scorecard in batches of rows.
 
-    Moving every chosen feature as far as a price allows is the best use of that
-    price, since each feature acts in one known direction. So only the price
-    levels, half grid steps, have to be tried.
+    Each feature acts in one known direction, so moving every chosen feature as
+    far as a price allows tells whether that price suffices.
     """
     search = partial(
-        _scan_prices,
+        _scan_moves,
         card=card,
         id=id,
         grid={f: np.array(points, dtype=float) for f, points in grid.items()},
@@ -118,67 +131,172 @@ def _monotone(
         threshold=threshold,
         step_size=step_size,
     )
-    schema = StructType(
-        [
-            rows.schema[id],
-            StructField("n_changes", IntegerType()),
-            StructField("cost", DoubleType()),
-            StructField("score", DoubleType()),
-            *[StructField(f"new_{f}", DoubleType()) for f in grid],
-        ]
-    )
-    return rows.drop("__score").mapInPandas(search, schema)
+    return rows.drop("__score").mapInPandas(search, _move_schema(rows, id, grid))
 
 
-def _scan_prices(
+def _scan_moves(
     batches: Iterator[pd.DataFrame], card, id, grid, sets, target, criterion, threshold, step_size
 ) -> Iterator[pd.DataFrame]:
-    fields = [id, "n_changes", "cost", "score", *[f"new_{f}" for f in grid]]
-    reach = np.arange(1, 2 * max(len(points) for points in grid.values()) + 1) / 2
+    names = list(grid)
+    fields = [id, "n_changes", "cost", "score", *[f"new_{f}" for f in names]]
+    down = {f: (card.weights[f] > 0) == (target == 0) for f in grid}
+
+    def scores(values: Mapping) -> np.ndarray:
+        logit = float(card.intercept)
+        for f in card.features:
+            logit = logit + card.weights[f] * values[f]
+        return 1.0 / (1.0 + np.exp(-logit))
+
+    def accept(values: Mapping) -> np.ndarray:
+        score = scores(values)
+        return (score if target == 1 else 1.0 - score) >= threshold
+
     for batch in batches:
         for start in range(0, len(batch), 2048):
             part = batch.iloc[start : start + 2048].reset_index(drop=True)
-            spots, moved, ahead = {}, {}, {}
+            own = {f: part[f].to_numpy(dtype=float) for f in card.features}
+            place = {}
             for f, points in grid.items():
-                x = part[f].to_numpy(dtype=float)
-                below, upto = (np.searchsorted(points, x, side) for side in ("left", "right"))
-                spots[f] = place = ((below + upto + 1) / 2)[:, None]
-                down = card.weights[f] > 0 if target == 0 else card.weights[f] < 0
-                if down:
-                    at = np.maximum(np.ceil(place - reach), 1)
-                    ahead[f] = at < place
-                else:
-                    at = np.minimum(np.floor(place + reach), len(points))
-                    ahead[f] = at > place
-                moved[f] = (at, points[at.astype(int) - 1])
+                below, upto = (np.searchsorted(points, own[f], side) for side in ("left", "right"))
+                place[f] = (below + upto + 1) / 2
+            if criterion == "non_dom":
+                wanted = [(row, chosen, np.inf) for row in range(len(part)) for chosen in sets]
+            else:
+                levels = _price_levels(own, place, grid, down, sets, accept)
+                wanted = _worth_refining(levels, sets, criterion)
             found = []
-            for chosen in sets:
-                logit = np.full((len(part), len(reach)), float(card.intercept))
-                for f in card.features:
-                    value = moved[f][1] if f in chosen else part[f].to_numpy(dtype=float)[:, None]
-                    logit = logit + card.weights[f] * value
-                score = 1.0 / (1.0 + np.exp(-logit))
-                good = (score if target == 1 else 1.0 - score) >= threshold
-                for f in chosen:
-                    good &= ahead[f]
-                row = np.flatnonzero(good.any(axis=1))
-                level = good[row].argmax(axis=1)
-                shift = [np.abs(moved[f][0][row, level] - spots[f][row, 0]) for f in chosen]
-                solved = pd.DataFrame({"row": row, "n_changes": len(chosen)})
-                solved["cost"] = np.round(np.max(shift, axis=0) * step_size, 9)
-                solved["score"] = score[row, level]
-                for f in grid:
-                    solved[f"new_{f}"] = moved[f][1][row, level] if f in chosen else np.nan
-                found.append(solved)
-            if found:
-                best = _cheapest(pd.concat(found, ignore_index=True), list(grid), criterion)
-                best[id] = part[id].to_numpy()[best["row"]]
-                yield best[fields]
+            for row, chosen, reach in wanted:
+                here = {f: float(own[f][row]) for f in card.features}
+                options = [
+                    _options(here[f], place[f][row], grid[f], down[f], reach) for f in chosen
+                ]
+                shifts, values = _least_last(
+                    options, lambda new: accept({**here, **dict(zip(chosen, new))})
+                )
+                if not len(shifts):
+                    continue
+                if criterion != "non_dom":
+                    least = np.lexsort((*values.T[::-1], shifts.sum(axis=1)))[:1]
+                    shifts, values = shifts[least], values[least]
+                score = scores({**here, **dict(zip(chosen, values.T))})
+                wide = np.zeros((len(shifts), 2 * len(names)))
+                wide[:, len(names) :] = np.nan
+                for k, f in enumerate(chosen):
+                    wide[:, names.index(f)] = shifts[:, k]
+                    wide[:, len(names) + names.index(f)] = values[:, k]
+                found.append(
+                    np.column_stack([np.full(len(wide), row), np.full(len(wide), len(chosen)), score, wide])
+                )
+            if not found:
+                continue
+            cells = np.concatenate(found)
+            if criterion == "non_dom":
+                ends = np.flatnonzero(np.diff(cells[:, 0])) + 1
+                cells = np.concatenate(
+                    [c[undominated(c[:, 3 : 3 + len(names)])] for c in np.split(cells, ends)]
+                )
+            shifts = cells[:, 3 : 3 + len(names)]
+            best = pd.DataFrame(cells[:, 3 + len(names) :], columns=[f"new_{f}" for f in names])
+            best["row"], best["n_changes"] = cells[:, 0].astype(int), cells[:, 1].astype(int)
+            best["cost"] = np.round(shifts.max(axis=1) * step_size, 9)
+            best["total"], best["score"] = shifts.sum(axis=1), cells[:, 2]
+            if criterion != "non_dom":
+                best = _cheapest(best, names, criterion)
+            best[id] = part[id].to_numpy()[best["row"]]
+            yield best[fields]
+
+
+def _price_levels(own, place, grid, down, sets, accept) -> np.ndarray:
+    """Cheapest sufficient price in grid steps, per row and set of features; inf if none."""
+    reach = np.arange(1, 2 * max(len(points) for points in grid.values()) + 1) / 2
+    moved, ahead = {}, {}
+    for f, points in grid.items():
+        spot = place[f][:, None]
+        if down[f]:
+            at = np.clip(np.ceil(spot - reach), 1, len(points))
+        else:
+            at = np.clip(np.floor(spot + reach), 1, len(points))
+        moved[f] = points[at.astype(int) - 1]
+        # not yet past equal grid points: no change
+        ahead[f] = moved[f] < own[f][:, None] if down[f] else moved[f] > own[f][:, None]
+    out = np.full((len(next(iter(own.values()))), len(sets)), np.inf)
+    for k, chosen in enumerate(sets):
+        good = accept({f: moved[f] if f in chosen else own[f][:, None] for f in own})
+        for f in chosen:
+            good = good & ahead[f]
+        good = np.broadcast_to(good, (len(out), len(reach)))
+        solved = good.any(axis=1)
+        out[solved, k] = reach[good[solved].argmax(axis=1)]
+    return out
+
+
+def _worth_refining(levels: np.ndarray, sets, criterion: str) -> list[tuple]:
+    """(row, set, price) of the sets that share the lowest price of their row and size."""
+    out = []
+    sizes = np.array([len(chosen) for chosen in sets])
+    for row, prices in enumerate(levels if len(sets) else []):
+        floor = np.inf
+        groups = [sizes == n for n in np.unique(sizes)]
+        if criterion == "percentile":
+            groups = [sizes == n for n in np.unique(sizes[prices == prices.min()])[:1]]
+        for group in groups:
+            low = prices[group].min()
+            if low < floor:
+                out += [(row, sets[k], low) for k in np.flatnonzero(group & (prices == low))]
+                floor = low
+    return out
+
+
+def _options(x: float, place: float, points: np.ndarray, down: bool, reach: float) -> tuple:
+    """(shifts, values) of the helpful moves of one feature within a price, nearest first."""
+    at = np.arange(1, len(points) + 1)
+    shift = np.abs(at - place)
+    ok = (points < x if down else points > x) & (shift <= reach)
+    order = np.flatnonzero(ok)[:: -1 if down else 1]
+    return shift[order], points[order]
+
+
+def _least_last(options: list[tuple], accept) -> tuple[np.ndarray, np.ndarray]:
+    """For all moves of the first features, the nearest accepted move of the last one.
+
+    Returns (shifts, values), one row per combination that can be accepted at all.
+    The last feature's moves help the more the farther they go, so the nearest is
+    found by bisection, for all combinations at once.
+    """
+    *head, (shift, value) = options
+    none = np.empty((0, len(options)))
+    if any(not len(s) for s, _ in options):
+        return none, none
+    where = [w.ravel() for w in np.meshgrid(*[np.arange(len(s)) for s, _ in head], indexing="ij")]
+    size = len(where[0]) if where else 1
+    values = [v[w] for (_, v), w in zip(head, where)]
+    solved = np.flatnonzero(np.broadcast_to(accept([*values, np.full(size, value[-1])]), size))
+    values = [v[solved] for v in values]
+    low, high = np.zeros(len(solved), int), np.full(len(solved), len(value) - 1)
+    while (low < high).any():
+        middle = (low + high) // 2
+        good = accept([*values, value[middle]])
+        high = np.where(good, middle, high)
+        low = np.where(good, low, np.minimum(middle + 1, high))
+    shifts = [s[w[solved]] for (s, _), w in zip(head, where)]
+    return np.column_stack([*shifts, shift[high]]), np.column_stack([*values, value[high]])
+
+
+def undominated(shifts: np.ndarray) -> np.ndarray:
+    """Row numbers that no other row beats: nowhere larger and somewhere smaller."""
+    left = np.lexsort((*shifts.T, shifts.sum(axis=1)))
+    kept = []
+    while len(left):
+        best, left = left[0], left[1:]
+        kept.append(best)
+        gap = shifts[left] - shifts[best]
+        left = left[~((gap >= 0).all(axis=1) & (gap > 0).any(axis=1))]
+    return np.sort(np.array(kept, int))
 
 
 def _cheapest(found: pd.DataFrame, names: Sequence[str], criterion: str) -> pd.DataFrame:
-    """Choose among each row's solutions: by price, number of changes, then values."""
-    values = [f"new_{f}" for f in names]
+    """Choose among each row's solutions: by price, number of changes, total, then values."""
+    values = ["total", *[f"new_{f}" for f in names]]
     if criterion == "percentile":
         order = ["row", "cost", "n_changes", *values]
         return found.sort_values(order, na_position="first").drop_duplicates("row").copy()
@@ -188,94 +306,132 @@ def _cheapest(found: pd.DataFrame, names: Sequence[str], criterion: str) -> pd.D
     return best[floor.isna() | (best["cost"] < floor)].copy()
 
 
-def _candidates(grid: Mapping[str, Sequence[float]], max_changes: int) -> int:
-    return sum(
-        _product(len(grid[f]) for f in chosen) for chosen in _subsets(list(grid), max_changes)
-    )
-
-
-def _product(sizes) -> int:
-    out = 1
-    for s in sizes:
-        out *= s
-    return out
-
-
-def _enumerated(
-    rows, scorer, id, grid, target, max_changes, criterion, threshold, step_size
+def _accepted_moves(
+    staged: DataFrame, scorer, id, grid, target, max_changes, threshold, step_size, low, high
 ) -> DataFrame:
-    """Score every combination of grid values of every set of features."""
-    count = _candidates(grid, max_changes)
-    if count > MAX_CANDIDATES:
-        raise ValueError(f"{count} moves per row; use a larger step_size or fewer features")
+    """Accepted moves of more than ``low`` and at most ``high`` grid steps.
+
+    Rows bring their places on the grids and ``__most``, the number of changes they
+    may make. Returns (id, __set, __n, __i, __ups, solution): per feature the new place
+    (0: unmoved) and whether it lies above the old one.
+    """
     names = list(grid)
-    place = {f: grid_place(F.col(f), grid[f]) for f in names}
-    staged = rows.withColumns({f"__place_{f}": place[f] for f in names})
-    # choose a set of features, then a grid point for each of them
     masks = [sum(1 << names.index(f) for f in chosen) for chosen in _subsets(names, max_changes)]
-    moved = staged.withColumn("__set", F.explode(F.array(*[F.lit(m) for m in masks]))).withColumn(
-        "__n", F.bit_count("__set")
-    )
+    allowed = F.filter(F.array(*[F.lit(m) for m in masks]), lambda m: F.bit_count(m) <= F.col("__most"))
+    moved = staged.withColumn("__set", F.explode(allowed)).withColumn("__n", F.bit_count("__set"))
     for j, f in enumerate(names):
-        spots = F.when(
-            F.col("__set").bitwiseAND(1 << j) != 0,
-            F.sequence(F.lit(1), F.lit(len(grid[f]))),
-        ).otherwise(F.array(F.lit(0)))
-        moved = moved.withColumn(f"__i_{f}", F.explode(spots)).withColumn(
-            f"__i_{f}", F.when(F.col(f"__i_{f}") > 0, F.col(f"__i_{f}"))
+        place = F.col(f"__place_{f}")
+        first = F.greatest(F.lit(1), F.ceil(place - F.lit(high))).cast("int")
+        last = F.least(F.lit(len(grid[f])), F.floor(place + F.lit(high))).cast("int")
+        spots = F.when(F.col("__set").bitwiseAND(1 << j) != 0, F.sequence(first, last)).otherwise(
+            F.array(F.lit(0))
         )
-    for f in names:
         points = F.array(*[F.lit(float(v)) for v in grid[f]])
-        fresh = F.get(points, F.col(f"__i_{f}") - 1)
-        moved = moved.withColumn(f"__old_{f}", F.col(f)).withColumn(
-            f, F.coalesce(fresh, F.col(f).cast("double"))
-        )
-    # a move must change the value of every chosen feature
-    for f in names:
-        moved = moved.filter(F.col(f"__i_{f}").isNull() | (F.col(f) != F.col(f"__old_{f}")))
-    scored = scorer.score(moved.drop("__score"), "score").filter(
-        accepted(F.col("score"), target, threshold)
-    )
-    shift = {
-        f: F.coalesce(
-            F.abs(F.col(f"__i_{f}").cast("double") - F.col(f"__place_{f}")), F.lit(0.0)
+        moved = (
+            moved.withColumn(f"__i_{f}", F.explode(spots))
+            .withColumn(f"__i_{f}", F.when(F.col(f"__i_{f}") > 0, F.col(f"__i_{f}")))
+            .withColumn(f"__new_{f}", F.get(points, F.col(f"__i_{f}") - 1))
+            # a move must change the value of every chosen feature
+            .filter(F.col(f"__i_{f}").isNull() | (F.col(f"__new_{f}") != F.col(f)))
         )
-        * F.lit(step_size)
+    shift = [
+        F.coalesce(F.abs(F.col(f"__i_{f}").cast("double") - F.col(f"__place_{f}")), F.lit(0.0))
         for f in names
-    }
-    worst = F.greatest(*shift.values()) if len(names) > 1 else shift[names[0]]
+    ]
+    worst = F.greatest(*shift) if len(names) > 1 else shift[0]
+    moved = moved.filter(worst > F.lit(low)).withColumns(
+        {f: F.coalesce(f"__new_{f}", F.col(f).cast("double")) for f in names}
+    )
+    scored = scorer.score(moved, "score").filter(accepted(F.col("score"), target, threshold))
     solution = F.struct(
-        F.round(worst, 9).alias("cost"),
-        F.col("__n").alias("n_changes"),
-        F.round(sum(shift.values(), F.lit(0.0)), 9).alias("total"),
-        *[F.when(F.col(f"__i_{f}").isNotNull(), F.col(f)).alias(f"new_{f}") for f in names],
+        F.round(worst * F.lit(step_size), 9).alias("cost"),
+        F.col("__n").cast("int").alias("n_changes"),
+        sum(shift, F.lit(0.0)).alias("total"),
+        *[F.col(f"__new_{f}").alias(f"new_{f}") for f in names],
         F.col("score"),
-        F.array(*shift.values()).alias("shifts"),
+        F.array(*shift).alias("shifts"),
     )
-    if criterion != "non_dom":
-        # the cheapest per number of changes is all that is needed
-        best = scored.groupBy(id, "__n").agg(F.min(solution).alias("s"))
-        plain = F.struct(
-            "s.cost", "s.n_changes", *[F.col(f"s.new_{f}") for f in names], "s.score"
+    at = F.array(*[F.coalesce(f"__i_{f}", F.lit(0)) for f in names])
+    ups = F.array(*[F.col(f"__i_{f}") > F.col(f"__place_{f}") for f in names])
+    return scored.select(
+        id, "__set", "__n", at.alias("__i"), ups.alias("__ups"), solution.alias("solution")
+    )
+
+
+def _staged(rows: DataFrame, grid, max_changes: int) -> DataFrame:
+    return rows.drop("__score").withColumns(
+        {
+            **{f"__place_{f}": grid_place(F.col(f), points) for f, points in grid.items()},
+            "__most": F.lit(max_changes),
+        }
+    )
+
+
+def _by_bands(
+    rows, criterion, scorer, id, grid, target, max_changes, threshold, step_size
+) -> DataFrame:
+    """The cheapest moves per number of changes, price band by price band.
+
+    A row that is solved with n changes goes on only where fewer may be worth a
+    higher price: with sets of less than n features, and not at all for the plain
+    price criterion. At most about ``log2(1 / step_size)`` bands.
+    """
+    options = (scorer, id, grid, target, max_changes, threshold, step_size)
+    widest = max(len(points) for points in grid.values())
+    pending = cut_lineage(_staged(rows, grid, max_changes))
+    low, high, pieces = 0.0, 1.0, []
+    while True:
+        moves = _accepted_moves(pending, *options, low, high)
+        best = cut_lineage(moves.groupBy(id, "__n").agg(F.min("solution").alias("s")))
+        pieces.append(best)
+        if high >= widest:
+            break
+        solved = best.groupBy(id).agg((F.min("__n") - 1).alias("__fewer"))
+        if criterion == "percentile":
+            solved = solved.withColumn("__fewer", F.lit(0))
+        pending = cut_lineage(
+            pending.join(solved, id, "left")
+            .withColumn("__most", F.coalesce("__fewer", "__most"))
+            .drop("__fewer")
+            .filter("__most > 0")
         )
-        return best.groupBy(id).agg(F.collect_list(plain).alias("__found"))
-    # at most MAX_CANDIDATES entries per row
-    everything = scored.groupBy(id).agg(F.collect_list(solution).alias("__all"))
+        if pending.isEmpty():
+            break
+        low, high = high, 2 * high
+    plain = F.struct("s.cost", "s.n_changes", "s.total", *[f"s.new_{f}" for f in grid], "s.score")
+    found = reduce(DataFrame.unionByName, pieces)
+    return found.groupBy(id).agg(F.collect_list(plain).alias("__found"))
 
-    def beaten(s: Column) -> Column:
-        def beats(o: Column) -> Column:
-            pairs = F.zip_with(o["shifts"], s["shifts"], lambda a, b: a - b)
-            return ~F.exists(pairs, lambda d: d > 1e-12) & F.exists(pairs, lambda d: d < -1e-12)
 
-        return F.exists("__all", beats)
+def _undominated_moves(
+    rows, scorer, id, grid, target, max_changes, threshold, step_size
+) -> DataFrame:
+    """All accepted moves that no other one beats.
 
-    kept = everything.select(
-        id, F.explode(F.filter("__all", lambda s: ~beaten(s))).alias("s")
+    Of moves that differ only in how far the last changed feature goes one way,
+    the nearest is kept on the map side; the rest is swept per id.
+    """
+    options = (scorer, id, grid, target, max_changes, threshold, step_size)
+    widest = float(max(len(points) for points in grid.values()) + 1)
+    last = F.floor(F.log2("__set")).cast("int")
+    moves = _accepted_moves(_staged(rows, grid, max_changes), *options, 0.0, widest).select(
+        id,
+        "__set",
+        F.transform("__i", lambda i, j: F.when(j != last, i)).alias("__head"),
+        (F.get("__ups", last)).alias("__up"),
+        F.get("solution.shifts", last).alias("__tail"),
+        "solution",
     )
-    return kept.select(
-        id, "s.n_changes", "s.cost", "s.score", *[F.col(f"s.new_{f}") for f in names]
+    nearest = moves.groupBy(id, "__set", "__head", "__up").agg(F.min_by("solution", "__tail").alias("s"))
+    table = nearest.select(
+        id, "s.n_changes", "s.cost", "s.score", *[f"s.new_{f}" for f in grid], "s.shifts"
     )
 
+    def sweep(found: pd.DataFrame) -> pd.DataFrame:
+        return found.iloc[undominated(np.stack(found["shifts"].to_numpy()))].drop(columns="shifts")
+
+    return table.groupBy(id).applyInPandas(sweep, _move_schema(rows, id, grid))
+
 
 def _by_price(found: DataFrame, id: str, grid, criterion: str, max_changes: int) -> DataFrame:
     """Choose among each row's solutions: by price, number of changes, then values."""

@@ -99,7 +99,7 @@ def g08(spark, sf_dir):
     return rounded(surrogate(apps).explain(apps, "app_id"))
 
 
-def _changes(criterion: str, step: float):
+def _changes(criterion: str, step: float, max_changes: int = 2):
     def run(spark, sf_dir):
         apps = _apps(spark, sf_dir)
         grid = counterfactual.action_grid(apps, ["amount", "balance"], step)
@@ -109,7 +109,7 @@ def _changes(criterion: str, step: float):
             "app_id",
             grid,
             target=0,
-            max_changes=2,
+            max_changes=max_changes,
             criterion=criterion,
             step_size=step,
         )
@@ -301,14 +301,9 @@ priced AS (
   FROM moves
 ),
 solutions AS (
-  SELECT *, round(greatest(da, db), 9) AS cost FROM priced WHERE 1.0 - score >= 0.5
-),
-per_set AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY app_id, n, na IS NULL, nb IS NULL
-      ORDER BY cost, na, nb DESC) AS place FROM solutions) t
-  WHERE place = 1
-)"""
+  SELECT *, round(greatest(da, db), 9) AS cost, round(da + db, 9) AS total FROM priced WHERE 1.0 - score >= 0.5
+)
+"""
 
 
 MOVE_COLUMNS = (
@@ -449,7 +444,17 @@ FROM ranked r JOIN applications a ON r.app_id = a.app_id WHERE place <= 2""",
             _moves_sql(STEP),
             select=f"""SELECT {MOVE_COLUMNS} FROM (
   SELECT *, row_number() OVER (PARTITION BY app_id
-    ORDER BY cost, n, na NULLS FIRST, nb NULLS FIRST) AS pick FROM per_set) t
+    ORDER BY cost, n, total, na NULLS FIRST, nb NULLS FIRST) AS pick FROM solutions) t
+WHERE pick = 1""",
+        ),
+    ),
+    "g09_minimal_changes_at_defaults": (
+        _changes("percentile", 0.01, max_changes=3),
+        with_applications(
+            _moves_sql(0.01),
+            select=f"""SELECT {MOVE_COLUMNS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY app_id
+    ORDER BY cost, n, total, na NULLS FIRST, nb NULLS FIRST) AS pick FROM solutions) t
 WHERE pick = 1""",
         ),
     ),
@@ -461,7 +466,7 @@ WHERE pick = 1""",
 per_count AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY app_id, n
-      ORDER BY cost, na NULLS FIRST, nb NULLS FIRST) AS pick FROM per_set) t
+      ORDER BY cost, total, na NULLS FIRST, nb NULLS FIRST) AS pick FROM solutions) t
   WHERE pick = 1
 )""",
             select=f"""SELECT {MOVE_COLUMNS} FROM per_count p

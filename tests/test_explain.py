@@ -196,22 +196,83 @@ def test_surrogate_against_a_plain_ridge(df, scorers):
         LocalSurrogate(card, stats, method="logit")
 
 
-@pytest.mark.parametrize("criterion", ["percentile", "percentile_changes"])
+def plain_moves(df, card, grid, target, max_changes, step):
+    """Every accepted move of every open row, one by one."""
+    out = {}
+    for r in df.collect():
+        here = {n: r[n] for n in NAMES}
+
+        def p_target(values):
+            p = 1 / (1 + np.exp(-(card.intercept + sum(card.weights[n] * values[n] for n in NAMES))))
+            return p if target == 1 else 1 - p
+
+        if p_target(here) >= 0.5:
+            continue
+        place = {f: (sum(v < r[f] for v in g) + sum(v <= r[f] for v in g) + 1) / 2 for f, g in grid.items()}
+        for n in range(1, max_changes + 1):
+            for chosen in itertools.combinations(grid, n):
+                for at in itertools.product(*[range(len(grid[f])) for f in chosen]):
+                    new = {f: grid[f][k] for f, k in zip(chosen, at)}
+                    if any(new[f] == r[f] for f in chosen) or p_target({**here, **new}) < 0.5:
+                        continue
+                    shift = [abs(at[chosen.index(f)] + 1 - place[f]) if f in chosen else 0.0 for f in grid]
+                    values = [(f in new, new.get(f, 0.0)) for f in grid]
+                    out.setdefault(r["id"], []).append((max(shift), n, sum(shift), values, shift))
+    return out
+
+
+@pytest.mark.parametrize("criterion", ["percentile", "percentile_changes", "non_dom"])
 @pytest.mark.parametrize("target", [0, 1])
-def test_price_scan_against_enumeration(df, scorers, criterion, target):
-    card, model = scorers
+def test_minimal_changes_against_every_move(df, scorers, criterion, target):
     grid = counterfactual.action_grid(df, ["a", "b"], 0.1)
+    # equal grid points are no change for a row that already stands there
+    grid["b"] = sorted([*grid["b"], grid["b"][3], grid["b"][3]])
     options = dict(target=target, max_changes=2, criterion=criterion, step_size=0.1)
-    scan = rows(counterfactual.minimal_changes(df, card, "id", grid, **options), "id", "n_changes")
-    every = rows(counterfactual.minimal_changes(df, model, "id", grid, **options), "id", "n_changes")
-    assert scan and {k: v["cost"] for k, v in scan.items()} == {
-        k: pytest.approx(v["cost"]) for k, v in every.items()
-    }
-    for found in (scan, every):
-        for (id_, n), row in found.items():
-            accepted = row["score"] if target == 1 else 1 - row["score"]
-            assert accepted >= 0.5
-            assert n == sum(row[f"new_{f}"] is not None for f in "ab")
+    expected = set()
+    for id_, moves in plain_moves(df, scorers[0], grid, target, 2, 0.1).items():
+        moves.sort(key=lambda m: m[:4])
+        chosen, floor = moves[:1], np.inf
+        if criterion == "percentile_changes":
+            chosen = []
+            for n in (1, 2):
+                best = [m for m in moves if m[1] == n][:1]
+                chosen += [m for m in best if m[0] < floor]
+                floor = min([floor, *[m[0] for m in best]])
+        elif criterion == "non_dom":
+            chosen = [
+                m for m in moves
+                if not any(o[4] != m[4] and all(x <= y for x, y in zip(o[4], m[4])) for o in moves)
+            ]
+        for cost, n, _, values, _ in chosen:
+            expected.add((id_, n, round(cost * 0.1, 6), *[v if used else None for used, v in values]))
+    assert expected
+    for scorer in scorers:
+        found = counterfactual.minimal_changes(df, scorer, "id", grid, **options).collect()
+        got = [(r["id"], r["n_changes"], round(r["cost"], 6), r["new_a"], r["new_b"]) for r in found]
+        assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_three_changes_by_scan_and_by_bands(df, scorers):
+    grid = counterfactual.action_grid(df, NAMES, 0.1)
+    some = df.filter("id < 60")
+    for criterion in counterfactual.CRITERIA:
+        first, second = (
+            rows(
+                counterfactual.minimal_changes(some, s, "id", grid, criterion=criterion, step_size=0.1),
+                "id", *[f"new_{n}" for n in NAMES],
+            )
+            for s in scorers
+        )
+        assert first
+        close(first, second)
+
+
+def test_minimal_changes_edges(spark, scorers):
+    card, _ = scorers
+    empty = spark.createDataFrame([], "id int, a double, b double, c double")
+    gaps = spark.createDataFrame([(1, None, 1.0, 0.0)], "id int, a double, b double, c double")
+    for frame in (empty, gaps):
+        assert counterfactual.minimal_changes(frame, card, "id", {"a": [0.0], "b": [1.0]}).count() == 0
 
 
 def test_counterfactuals_really_flip(df, scorers):
