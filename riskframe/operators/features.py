@@ -10,11 +10,13 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import NumericType
 
 from riskframe.functions.lookup import attach_state, fits_broadcast
 from riskframe.functions.spec import FeatureSpec
@@ -85,14 +87,33 @@ def cardinalities(counts: DataFrame) -> DataFrame:
     return counts.groupBy("feature").agg(F.count("category").alias("n_categories"))
 
 
-def modes(counts: DataFrame) -> DataFrame:
-    """Most frequent category per feature; ties go to the smallest value."""
+def numeric_categories(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns whose categories are numbers, and are ordered as such."""
+    return [c for c in columns if isinstance(df.schema[c].dataType, NumericType)]
+
+
+def modes(counts: DataFrame, numeric: Sequence[str] = ()) -> DataFrame:
+    """Most frequent category per feature; ties go to the smallest value.
+
+    ``numeric`` names the features whose categories compare as numbers.
+    """
     known = counts.filter(F.col("category").isNotNull())
+    listed = F.col("feature").isin(list(numeric))
+    value = F.when(listed, F.expr("try_cast(category AS double)")).alias("value")
+    # tells integers apart that are equal as doubles
+    exact = F.when(listed, F.expr("try_cast(category AS decimal(38, 10))")).alias("exact")
     return known.groupBy("feature").agg(
-        F.min(F.struct((-F.col("n")).alias("rank"), F.col("category"))).alias("top")
+        F.min(F.struct((-F.col("n")).alias("rank"), value, exact, F.col("category"))).alias("top")
     ).select("feature", F.col("top.category").alias("mode"))
 
 
+def sorted_levels(values: Sequence[str], numeric: bool) -> list[str]:
+    """Categories written as text, in the order of the values they stand for; NaN last."""
+    if not numeric:
+        return sorted(values)
+    return sorted(values, key=lambda v: (v == "NaN", Decimal(0 if v == "NaN" else v)))
+
+
 def impute_numeric(df: DataFrame, means: dict[str, float]) -> DataFrame:
     """Null and NaN become the given mean."""
     return df.withColumns({c: _filled_number(c, m) for c, m in means.items()})
@@ -206,7 +227,8 @@ class FeatureEncoder(Estimator):
         counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             sizes = {r["feature"]: r["n_categories"] for r in cardinalities(counts).collect()}
-            state.modes = {r["feature"]: r["mode"] for r in modes(counts).collect()}
+            numeric = numeric_categories(df, spec.categorical)
+            state.modes = {r["feature"]: r["mode"] for r in modes(counts, numeric).collect()}
             for c in spec.categorical:
                 state.modes.setdefault(c, "")
                 wide = self.target_encode and sizes.get(c, 0) >= self.crit
@@ -222,7 +244,8 @@ class FeatureEncoder(Estimator):
                 for row in known.collect():
                     found[row["feature"]].append(row["category"])
                 state.levels = {
-                    c: sorted(values) or [state.modes[c]] for c, values in found.items()
+                    c: sorted_levels(values, c in numeric) or [state.modes[c]]
+                    for c, values in found.items()
                 }
             if not state.target:
                 return FeatureEncoderModel(state, _no_rates(spark))

@@ -170,6 +170,50 @@ def f09(spark, sf_dir):
     return encoder.encode(df)
 
 
+def coded(spark, sf_dir) -> DataFrame:
+    """Categories that are integers: negative and two-digit codes, and a tie for the mode."""
+    return applications(spark, sf_dir).select(
+        "app_id",
+        "y",
+        F.when(F.col("app_id") % 7 != 0, F.col("app_id") % 7 * 4 - 14).cast("int").alias("status"),
+        (F.col("app_id") % 2 * 8 + 2).cast("int").alias("plan"),
+    )
+
+
+CODED = """
+coded AS (
+  SELECT app_id, y, CASE WHEN app_id % 7 <> 0 THEN app_id % 7 * 4 - 14 END AS status,
+    app_id % 2 * 8 + 2 AS plan
+  FROM applications
+)"""
+
+
+def coded_spec() -> FeatureSpec:
+    return FeatureSpec(id="app_id", label="y", categorical=("status", "plan"))
+
+
+def f04_numbers(spark, sf_dir):
+    df = coded(spark, sf_dir)
+    columns = ["status", "plan"]
+    counts = features.category_counts(df, columns)
+    found = features.modes(counts, features.numeric_categories(df, columns))
+    return features.impute_category(
+        df.select("app_id", *columns), {r["feature"]: r["mode"] for r in found.collect()}
+    )
+
+
+def f05_numbers(spark, sf_dir):
+    df = coded(spark, sf_dir)
+    encoder = FeatureEncoder(coded_spec(), onehot=False, target_encode=False).fit(df)
+    return encoder.encode(df, onehot=False)
+
+
+def f09_numbers(spark, sf_dir):
+    """Of a two-level column the dummy of the larger number stays."""
+    df = coded(spark, sf_dir)
+    return FeatureEncoder(coded_spec(), target_encode=False, onehot_drop=True).fit(df).encode(df)
+
+
 def f10(spark, sf_dir):
     df = gaps(spark, sf_dir)
     return rounded(FeatureEncoder(SPEC).fit(df).encode(df))
@@ -216,6 +260,36 @@ FROM long GROUP BY feature""",
 FROM gaps""",
         ),
     ),
+    "f04_mode_imputation_of_numbers": (
+        f04_numbers,
+        with_applications(
+            CODED,
+            """
+top AS (
+  SELECT status FROM coded WHERE status IS NOT NULL
+  GROUP BY status ORDER BY count(*) DESC, status LIMIT 1
+)""",
+            select="""SELECT app_id, CAST(coalesce(c.status, top.status) AS VARCHAR) AS status,
+  CAST(plan AS VARCHAR) AS plan FROM coded c, top""",
+        ),
+    ),
+    "f05_ordinal_encoding_of_numbers": (
+        f05_numbers,
+        with_applications(
+            CODED,
+            """
+top AS (
+  SELECT status FROM coded WHERE status IS NOT NULL
+  GROUP BY status ORDER BY count(*) DESC, status LIMIT 1
+),
+levels AS (
+  SELECT status, row_number() OVER (ORDER BY status) - 1 AS code
+  FROM (SELECT DISTINCT status FROM coded WHERE status IS NOT NULL) t
+)""",
+            select="""SELECT app_id, l.code AS status, CAST(plan > 2 AS BIGINT) AS plan
+FROM coded c, top JOIN levels l ON l.status = coalesce(c.status, top.status)""",
+        ),
+    ),
     "f05_ordinal_encoding": (
         f05,
         with_applications(
@@ -305,6 +379,23 @@ FROM gaps, stats, spread""",
             "AS kind_1 FROM gaps",
         ),
     ),
+    "f09_one_hot_of_numbers": (
+        f09_numbers,
+        with_applications(
+            CODED,
+            """
+top AS (
+  SELECT status FROM coded WHERE status IS NOT NULL
+  GROUP BY status ORDER BY count(*) DESC, status LIMIT 1
+)""",
+            select="SELECT app_id, "
+            + ", ".join(
+                f"CAST(coalesce(c.status, top.status) = {code} AS DOUBLE) AS status_{i}"
+                for i, code in enumerate([-10, -6, -2, 2, 6, 10])
+            )
+            + ", CAST(plan = 10 AS DOUBLE) AS plan_1 FROM coded c, top",
+        ),
+    ),
     "f10_encoded_table": (
         f10,
         with_applications(

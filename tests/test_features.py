@@ -46,6 +46,22 @@ def test_routing_counts_categories_without_null(df):
     assert FeatureEncoder(SPEC, target_encode=False).fit(df).state.target == []
 
 
+def test_numeric_categories_are_ordered_as_numbers(spark):
+    codes = [-2, -1, 0, 2, 10, 10, 2, None]
+    table = spark.createDataFrame(
+        [(i, i % 2, v, None if v is None else float(v)) for i, v in enumerate(codes)],
+        "id int, y int, code int, part double",
+    )
+    spec = FeatureSpec("id", "y", categorical=("code", "part"))
+    state = FeatureEncoder(spec, target_encode=False).fit(table).state
+    assert state.levels["code"] == ["-2", "-1", "0", "2", "10"]
+    assert state.levels["part"] == ["-2.0", "-1.0", "0.0", "2.0", "10.0"]
+    assert state.modes == {"code": "2", "part": "2.0"}
+    assert features.sorted_levels(["NaN", "1.0E10", "Infinity", "-3.5"], True) == [
+        "-3.5", "1.0E10", "Infinity", "NaN"
+    ]
+
+
 def test_mode_ties_go_to_the_smallest_value(df):
     modes = FeatureEncoder(SPEC).fit(df).state.modes
     assert modes == {"two": "x", "three": "t", "code": "1"}
