@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: A lookup side is broadcast only below both of these measured limits.
 BROADCAST_ROWS = 200_000
@@ -13,13 +13,22 @@ HOT_PARTS = 1000
 
 
 def fits_broadcast(state: DataFrame, key: str, max_rows: int | None = None) -> bool:
-    """Measure a lookup side: row count and bytes held by its key."""
+    """Measure a lookup side: row count and bytes held by its key and its values."""
+    values = [c for c in state.columns if c != key]
+    row = state.select(F.count("*").alias("n"), held_bytes(key, *values).alias("b")).first()
+    return within_limits(row["n"], row["b"], max_rows)
+
+
+def held_bytes(*columns: str) -> Column:
+    """Aggregate: bytes of the columns written as text, whatever their types."""
+    text = F.to_json(F.struct(*[F.col(c) for c in columns]))
+    return F.coalesce(F.sum(F.octet_length(text)), F.lit(0))
+
+
+def within_limits(rows: int, held: int, max_rows: int | None = None) -> bool:
+    """Whether a side of that many rows and bytes may be broadcast."""
     max_rows = BROADCAST_ROWS if max_rows is None else max_rows
-    row = state.select(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0)).alias("b"),
-    ).first()
-    return row["n"] <= max_rows and row["b"] + 64 * row["n"] <= BROADCAST_BYTES
+    return rows <= max_rows and held + 64 * rows <= BROADCAST_BYTES
 
 
 def attach_state(
@@ -31,6 +40,7 @@ def attach_state(
     small: bool | None = None,
     hot_parts: int = HOT_PARTS,
     salts: int = 4096,
+    hot_keys: DataFrame | None = None,
 ) -> DataFrame:
     """Left join ``values`` of ``state`` onto ``df``; unmatched rows get nulls.
 
@@ -40,6 +50,9 @@ def attach_state(
     keys that dominate ``df`` are served by a broadcast of at most
     ``hot_parts`` rows, and only the others meet ``state`` in a shuffle. Hot and
     null keys take a salted key that matches nothing, so they spread evenly.
+
+    ``hot_keys`` (one column, at most some ``hot_parts`` rows) names those keys when
+    a fit has counted them already. Then ``df`` is not counted and may be a stream.
     """
     side = state.select(F.col(state_key).alias("__key"), *values)
     if small is None:
@@ -48,15 +61,16 @@ def attach_state(
         joined = df.join(F.broadcast(side), F.col(key).eqNullSafe(F.col("__key")), "left")
         return joined.drop("__key")
 
-    total = df.count()
-    hot_keys = (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("__hot"))
-        .count()
-        .filter(F.col("count") > F.lit(total / hot_parts))
-        .select("__hot")
-    )
-    hot = hot_keys.join(side, F.col("__hot") == F.col("__key"), "left").select(
+    if hot_keys is None:
+        total = df.count()
+        hot_keys = (
+            df.filter(F.col(key).isNotNull())
+            .groupBy(F.col(key).alias("__hot"))
+            .count()
+            .filter(F.col("count") > F.lit(total / hot_parts))
+            .select("__hot")
+        )
+    hot = hot_keys.toDF("__hot").join(side, F.col("__hot") == F.col("__key"), "left").select(
         "__hot", *[F.col(v).alias(f"__hot_{v}") for v in values]
     )
     hot = hot.union(

@@ -457,6 +457,9 @@ def _with_changes(n: int):
 
 # -- counterfactuals from donors ---------------------------------------------------
 
+#: Donors travel with the tasks, so their number is bounded.
+MAX_DONORS = 1000
+
 
 def median_deviations(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
     """Median absolute deviation from the median; 1 for a constant feature."""
@@ -469,8 +472,8 @@ def donor_rows(
     df: DataFrame, scorer, id: str, n: int = 50, threshold: float = 0.5, seed: int = 0
 ) -> dict[int, list[dict]]:
     """Per predicted class a reproducible sample of at most ``n`` rows (n <= 1000)."""
-    if n > 1000:
-        raise ValueError("at most 1000 donors per class")
+    if n > MAX_DONORS:
+        raise ValueError(f"at most {MAX_DONORS} donors per class")
     scored = scorer.score(df.select(id, *scorer.features), "__score").withColumn(
         "__class", (F.col("__score") >= F.lit(float(threshold))).cast("int")
     )
@@ -576,6 +579,42 @@ def diverse_counterfactuals(
     )
 
 
+def search_counterfactuals(
+    df: DataFrame,
+    scorer,
+    id: str,
+    mutable: Sequence[str],
+    scales: Mapping[str, float],
+    n_donors: int = 50,
+    n_cfs: int = 3,
+    sparsity_weight: float = 0.2,
+    threshold: float = 0.5,
+    seed: int = 0,
+) -> DataFrame:
+    """Like :func:`diverse_counterfactuals`, with an answer for every row.
+
+    Rows that no donor flips are tried again with four times the donors, up to
+    1000 per class. A row still left (also one without an id) comes back once,
+    with ``cf_rank`` 0 and nulls elsewhere.
+    """
+    found, left, n = None, df, min(n_donors, MAX_DONORS)
+    while True:
+        donors = donor_rows(df, scorer, id, n, threshold, seed)
+        part = cut_lineage(
+            diverse_counterfactuals(
+                left, scorer, id, mutable, donors, scales, n_cfs, sparsity_weight, threshold
+            )
+        )
+        found = part if found is None else found.unionByName(part)
+        left = left.join(part.select(id).distinct(), id, "left_anti")
+        if n >= MAX_DONORS or left.isEmpty():
+            break
+        n = min(4 * n, MAX_DONORS)
+    rest = {f.name: F.lit(None).cast(f.dataType) for f in found.schema if f.name != id}
+    rest["cf_rank"] = F.lit(0)
+    return found.unionByName(left.select(id, *[v.alias(k) for k, v in rest.items()]))
+
+
 def _lend(
     batches: Iterator[pd.DataFrame], card, id, names, pools, scales, n_cfs, sparsity_weight, threshold
 ) -> Iterator[pd.DataFrame]:

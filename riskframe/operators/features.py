@@ -2,7 +2,8 @@
 
 A fit is two aggregates whatever the number of columns: one over the numeric
 columns, one ``groupBy(feature, category)`` over the unpivoted categorical
-columns. A transform is a projection plus one lookup per target-encoded column.
+columns. A transform is a projection plus one lookup per target-encoded column and
+per one-hot column with many levels; it counts nothing, so it works on streams.
 """
 
 from __future__ import annotations
@@ -14,15 +15,16 @@ from decimal import Decimal
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import NumericType
 
-from riskframe.functions.lookup import attach_state, fits_broadcast
+from riskframe.functions.lookup import HOT_PARTS, attach_state, held_bytes, within_limits
 from riskframe.functions.spec import FeatureSpec
 from riskframe.session import cut_lineage
 
-#: One-hot and ordinal levels become literals in the plan, so they are bounded.
+#: Up to this many levels a one-hot column becomes one column per level, its levels
+#: literals in the plan; beyond it, a sparse vector column with its levels in a table.
 MAX_LEVELS = 1000
 
 
@@ -164,6 +166,8 @@ class EncoderState:
     normalize: bool = True
     use_onehot: bool = True
     onehot_drop: bool = False
+    #: Number of levels of the one-hot columns whose levels are a table.
+    wide: dict[str, int] = field(default_factory=dict)
 
 
 class FeatureEncoder(Estimator):
@@ -172,6 +176,10 @@ class FeatureEncoder(Estimator):
     Categorical columns with at least ``crit`` categories are target-encoded,
     the others one-hot encoded. Rows whose label is ``unlabeled`` take no part
     in the target means unless ``labeled_only`` is off.
+
+    A one-hot column with more than ``max_levels`` levels is encoded as one sparse
+    vector column under its own name, of one entry per level in their order; a
+    level that the fit has not seen is all zeros.
     """
 
     def __init__(
@@ -185,6 +193,7 @@ class FeatureEncoder(Estimator):
         k: float = 1.0,
         labeled_only: bool = True,
         unlabeled: int = -1,
+        max_levels: int = MAX_LEVELS,
     ):
         super().__init__()
         if k <= 0:
@@ -198,6 +207,7 @@ class FeatureEncoder(Estimator):
         self.k = k
         self.labeled_only = labeled_only
         self.unlabeled = unlabeled
+        self.max_levels = max(2, max_levels)
 
     def _fit(self, df: DataFrame) -> "FeatureEncoderModel":
         spec = self.spec
@@ -233,14 +243,16 @@ class FeatureEncoder(Estimator):
                 state.modes.setdefault(c, "")
                 wide = self.target_encode and sizes.get(c, 0) >= self.crit
                 (state.target if wide else state.onehot).append(c)
-            too_wide = [c for c in state.onehot if sizes.get(c, 0) > MAX_LEVELS]
-            if too_wide:
-                raise ValueError(f"too many categories to one-hot encode: {too_wide}")
-            if state.onehot:
+            state.wide = {c: sizes[c] for c in state.onehot if sizes.get(c, 0) > self.max_levels}
+            codes = None
+            if state.wide:
+                codes = cut_lineage(numbered_levels(counts, list(state.wide), numeric))
+            narrow = [c for c in state.onehot if c not in state.wide]
+            if narrow:
                 known = counts.filter(
-                    F.col("feature").isin(state.onehot) & F.col("category").isNotNull()
+                    F.col("feature").isin(narrow) & F.col("category").isNotNull()
                 ).select("feature", "category")
-                found: dict[str, list[str]] = {c: [] for c in state.onehot}
+                found: dict[str, list[str]] = {c: [] for c in narrow}
                 for row in known.collect():
                     found[row["feature"]].append(row["category"])
                 state.levels = {
@@ -248,7 +260,7 @@ class FeatureEncoder(Estimator):
                     for c, values in found.items()
                 }
             if not state.target:
-                return FeatureEncoderModel(state, _no_rates(spark))
+                return FeatureEncoderModel(state, _no_rates(spark), codes)
             if overall is None:
                 raise ValueError("target encoding needs a label column with labeled rows")
             state.overall = float(overall)
@@ -256,7 +268,40 @@ class FeatureEncoder(Estimator):
             rates = cut_lineage(_filled_rates(counts, {c: state.modes[c] for c in state.target}))
         finally:
             counts.unpersist()
-        return FeatureEncoderModel(state, rates)
+        return FeatureEncoderModel(state, rates, codes)
+
+
+def numbered_levels(counts: DataFrame, columns: Sequence[str], numeric: Sequence[str]) -> DataFrame:
+    """(feature, category, code, n): each category's position among those of its feature.
+
+    Sorted in ranges over all tasks; a range's codes start where the ranges below
+    it end, so no feature's levels meet in one task.
+    """
+    listed = F.col("feature").isin(list(numeric))
+    order = ["feature", "__value", "__exact", "category"]
+    sorted_ = (
+        counts.filter(F.col("feature").isin(list(columns)) & F.col("category").isNotNull())
+        .select(
+            "feature",
+            "category",
+            "n",
+            F.when(listed, F.expr("try_cast(category AS double)")).alias("__value"),
+            F.when(listed, F.expr("try_cast(category AS decimal(38, 10))")).alias("__exact"),
+        )
+        .repartitionByRange(*order)
+        .withColumn("__range", F.spark_partition_id())
+    )
+    # the cuts come from a sample, so they are kept before anything is counted in them
+    sorted_ = cut_lineage(sorted_)
+    before = W.partitionBy("feature").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sorted_.groupBy("feature", "__range").agg(F.count("*").alias("__size")).select(
+        "feature", "__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start")
+    )
+    inside = W.partitionBy("feature", "__range").orderBy(*order[1:])
+    ranked = sorted_.withColumn("__rank", F.row_number().over(inside))
+    return ranked.join(starts, ["feature", "__range"]).select(
+        "feature", "category", (F.col("__start") + F.col("__rank") - 1).alias("code"), "n"
+    )
 
 
 def _filled_rates(counts: DataFrame, modes: dict[str, str]) -> DataFrame:
@@ -279,20 +324,25 @@ def _no_rates(spark: SparkSession) -> DataFrame:
 class FeatureEncoderModel(Model):
     """Fitted encoder: ``transform`` adds the encoded columns to the id column."""
 
-    def __init__(self, state: EncoderState, rates: DataFrame):
+    def __init__(self, state: EncoderState, rates: DataFrame, codes: DataFrame | None = None):
         super().__init__()
         self.state = state
         self.rates = rates
+        self.codes = codes
         self._small: bool | None = None
+        self._sizes: dict[str, tuple[int, int, int]] | None = None
 
     @property
     def output_names(self) -> list[str]:
         """Names in order: dummies, numeric, target-encoded; without one-hot the
-        ordinal codes follow the numeric columns."""
+        ordinal codes follow the numeric columns. A wide one-hot column is one name."""
         s = self.state
         if not s.use_onehot:
             return self.plain_names
-        return [*[name for name, _, _ in self._dummies()], *s.numeric, *s.target]
+        dummies: dict[str, list[str]] = {c: [c] if c in s.wide else [] for c in s.onehot}
+        for name, c, _ in self._dummies():
+            dummies[c].append(name)
+        return [*[name for c in s.onehot for name in dummies[c]], *s.numeric, *s.target]
 
     @property
     def plain_names(self) -> list[str]:
@@ -303,6 +353,8 @@ class FeatureEncoderModel(Model):
     def _dummies(self) -> list[tuple[str, str, int]]:
         out = []
         for c in self.state.onehot:
+            if c in self.state.wide:
+                continue
             codes = list(range(len(self.state.levels[c])))
             if self.state.onehot_drop and len(codes) == 2:
                 codes = codes[1:]
@@ -337,21 +389,23 @@ class FeatureEncoderModel(Model):
         if clash:
             raise ValueError(f"kept columns would collide with encoded ones: {sorted(clash)}")
         scale = s.normalize if scale is None else scale
+        looked_up = [*s.target, *s.wide]
         staged = df
-        for i, c in enumerate(s.target):
+        # broadcast sides first: rows are still where they were read
+        for c in sorted(looked_up, key=lambda c: not self.small_rates(c)):
+            i = looked_up.index(c)
             filled = F.coalesce(F.col(c).cast("string"), F.lit(s.modes[c]))
-            side = self.rates.filter(F.col("feature") == c).select(
-                F.col("category").alias("__cat"),
-                F.col("n").alias(f"__n{i}"),
-                F.col("positives").alias(f"__p{i}"),
-            )
+            table = (self.codes if c in s.wide else self.rates).filter(F.col("feature") == c)
+            values = {f"__k{i}": "code"} if c in s.wide else {f"__n{i}": "n", f"__p{i}": "positives"}
             staged = attach_state(
                 staged.withColumn(f"__c{i}", filled),
-                side,
+                table.select(F.col("category").alias("__cat"), *[F.col(v).alias(k) for k, v in values.items()]),
                 f"__c{i}",
                 "__cat",
-                [f"__n{i}", f"__p{i}"],
-                small=self.small_rates(),
+                list(values),
+                small=self.small_rates(c),
+                # the fit has counted them
+                hot_keys=table.filter(F.col("n") > F.lit(self._measured()[c][2] / HOT_PARTS)).select("category"),
             )
         columns: dict[str, Column] = {}
         for c in s.numeric:
@@ -362,19 +416,44 @@ class FeatureEncoderModel(Model):
         codes = {
             c: ordinal_code(F.coalesce(F.col(c).cast("string"), F.lit(s.modes[c])), s.levels[c])
             for c in s.onehot
+            if c not in s.wide
         }
+        for c in s.wide:
+            codes[c] = F.coalesce(F.col(f"__k{looked_up.index(c)}"), F.lit(-1)).cast("bigint")
         if onehot:
             for name, c, code in self._dummies():
                 columns[name] = F.when(codes[c] == code, 1.0).otherwise(0.0)
+            columns.update({c: codes[c] for c in s.wide})
         else:
             columns.update(codes)
         for i, c in enumerate(s.target):
             columns[c] = smoothed_rate(
                 F.col(f"__p{i}"), F.col(f"__n{i}"), F.lit(s.overall), s.k
             )
-        return staged.select(
+        encoded = staged.select(
             *[F.col(c) for c in keep], *[columns[c].alias(c) for c in names]
         )
+        return self._spread(encoded) if onehot else encoded
+
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Codes of the wide one-hot columns as sparse vectors; -1 gives no entry."""
+        if not self.state.wide:
+            return df
+        staged = df
+        for c, n in self.state.wide.items():
+            # with the number of values at hand nothing is counted
+            known = {"ml_attr": {"type": "nominal", "num_vals": n}}
+            code = F.when(F.col(c) < 0, F.lit(n)).otherwise(F.col(c)).cast("double")
+            staged = staged.withColumn(f"__code_{c}", code).withMetadata(f"__code_{c}", known)
+        spread = OneHotEncoder(
+            inputCols=[f"__code_{c}" for c in self.state.wide],
+            outputCols=[f"__hot_{c}" for c in self.state.wide],
+            # the entry for unknown levels is the last one, and dropped
+            handleInvalid="keep",
+            dropLast=True,
+        )
+        done = spread.fit(staged).transform(staged)
+        return done.select(*[F.col(f"__hot_{c}").alias(c) if c in self.state.wide else F.col(c) for c in df.columns])
 
     def finish(self, df: DataFrame, scaled: bool = True) -> DataFrame:
         """From the plain space (``encode(onehot=False)``) to the model's columns."""
@@ -387,13 +466,27 @@ class FeatureEncoderModel(Model):
             for name, c, code in self._dummies():
                 columns[name] = F.when(F.col(c) == code, 1.0).otherwise(0.0)
         others = [c for c in df.columns if c not in self.plain_names]
-        return df.select(*others, *[columns[c].alias(c) for c in self.output_names])
-
-    def small_rates(self) -> bool:
-        """Whether the whole target-encoding table may be broadcast; measured once."""
-        if self._small is None:
-            self._small = not self.state.target or fits_broadcast(self.rates, "category")
-        return self._small
+        finished = df.select(*others, *[columns[c].alias(c) for c in self.output_names])
+        return self._spread(finished) if s.use_onehot else finished
+
+    def _measured(self) -> dict[str, tuple[int, int, int]]:
+        """Levels, their bytes and the rows that the fit counted, per looked-up column."""
+        if self._sizes is None:
+            self._sizes = {c: (0, 0, 0) for c in [*self.state.target, *self.state.wide]}
+            tables = [self.rates] * bool(self.state.target) + [self.codes] * bool(self.state.wide)
+            for table in tables:
+                found = table.groupBy("feature").agg(
+                    F.count("*").alias("levels"), held_bytes("category").alias("held"), F.sum("n").alias("rows")
+                )
+                self._sizes |= {r["feature"]: (r["levels"], r["held"], r["rows"]) for r in found.collect()}
+        return self._sizes
+
+    def small_rates(self, column: str | None = None) -> bool:
+        """Whether the table of one looked-up column, or of each, may be broadcast; measured once."""
+        if self._small is not None:
+            return self._small
+        sizes = self._measured()
+        return all(within_limits(*sizes[c][:2]) for c in ([column] if column else sizes))
 
     def assemble(
         self, df: DataFrame, keep: Sequence[str] | None = None, out: str = "features"
@@ -419,6 +512,8 @@ class FeatureEncoderModel(Model):
     def save(self, path: str) -> None:
         spark = self.rates.sparkSession
         self.rates.write.mode("overwrite").parquet(f"{path}/rates")
+        if self.state.wide:
+            self.codes.write.mode("overwrite").parquet(f"{path}/codes")
         text = json.dumps(self.state.__dict__)
         spark.createDataFrame([(text,)], "state string").coalesce(1).write.mode(
             "overwrite"
@@ -427,4 +522,6 @@ class FeatureEncoderModel(Model):
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "FeatureEncoderModel":
         text = spark.read.parquet(f"{path}/state").first()["state"]
-        return cls(EncoderState(**json.loads(text)), spark.read.parquet(f"{path}/rates"))
+        state = EncoderState(**json.loads(text))
+        codes = spark.read.parquet(f"{path}/codes") if state.wide else None
+        return cls(state, spark.read.parquet(f"{path}/rates"), codes)

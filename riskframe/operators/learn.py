@@ -71,7 +71,7 @@ ACCEPTED = {
     "logistic": {"C", "tol", "max_iter", "penalty", "class_weight"},
     "forest": {
         "n_estimators", "max_depth", "criterion", "min_samples_leaf", "max_features",
-        "class_weight",
+        "class_weight", "bootstrap",
     },
     "boosting": {
         "n_estimators", "learning_rate", "max_depth", "min_samples_leaf", "max_features",
@@ -228,6 +228,7 @@ class Classifier:
             impurity=params.get("criterion", "gini"),
             minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
             featureSubsetStrategy=_subset(params.get("max_features", "sqrt")),
+            bootstrap=bool(params.get("bootstrap", True)),
             seed=self.seed,
         )
         return (learner.setWeightCol(weight) if weight else learner).fit(df)
@@ -325,6 +326,8 @@ class FlowScorer:
 def scorecard_of(flow: FittedFlow) -> Scorecard:
     """A logistic flow as a scorecard over ``encode(df, scale=False)``."""
     state = flow.encoder.state
+    if state.wide and state.use_onehot:
+        raise ValueError(f"no scorecard over sparse columns: {sorted(state.wide)}")
     intercept, weights = float(flow.model.intercept), {}
     for name, weight in zip(flow.encoder.output_names, flow.model.coefficients):
         weight = float(weight)

@@ -214,6 +214,21 @@ def f09_numbers(spark, sf_dir):
     return FeatureEncoder(coded_spec(), target_encode=False, onehot_drop=True).fit(df).encode(df)
 
 
+def f09_wide(spark, sf_dir):
+    """Customers and nations as sparse vectors: the place of each row's only entry."""
+    df = applications(spark, sf_dir).select("app_id", "y", "cust_id", "nation")
+    spec = FeatureSpec(id="app_id", label="y", categorical=("cust_id", "nation"))
+    seen = df.filter(F.col("nation") != "FRANCE")
+    encoder = FeatureEncoder(spec, target_encode=False, max_levels=20).fit(seen)
+    out = encoder.encode(df)
+    for c in ("cust_id", "nation"):
+        vector = F.unwrap_udt(F.col(c))
+        out = out.withColumn(f"{c}_size", vector["size"]).withColumn(
+            f"{c}_place", F.try_element_at(vector["indices"], F.lit(1))
+        )
+    return out.drop("cust_id", "nation")
+
+
 def f10(spark, sf_dir):
     df = gaps(spark, sf_dir)
     return rounded(FeatureEncoder(SPEC).fit(df).encode(df))
@@ -396,6 +411,24 @@ top AS (
             + ", CAST(plan = 10 AS DOUBLE) AS plan_1 FROM coded c, top",
         ),
     ),
+    "f09_one_hot_of_many_levels": (
+        f09_wide,
+        with_applications(
+            """
+customers AS (
+  SELECT cust_id, row_number() OVER (ORDER BY cust_id) - 1 AS place
+  FROM (SELECT DISTINCT cust_id FROM applications WHERE nation <> 'FRANCE') t
+),
+nations AS (
+  SELECT nation, row_number() OVER (ORDER BY nation) - 1 AS place
+  FROM (SELECT DISTINCT nation FROM applications WHERE nation <> 'FRANCE') t
+)""",
+            select="""SELECT app_id, CAST((SELECT count(*) FROM customers) AS INTEGER) AS cust_id_size,
+  CAST(c.place AS INTEGER) AS cust_id_place,
+  CAST((SELECT count(*) FROM nations) AS INTEGER) AS nation_size, CAST(n.place AS INTEGER) AS nation_place
+FROM applications a LEFT JOIN customers c ON a.cust_id = c.cust_id LEFT JOIN nations n ON a.nation = n.nation""",
+        ),
+    ),
     "f10_encoded_table": (
         f10,
         with_applications(

@@ -1,18 +1,21 @@
 """Queries with fitted classifiers, class weights and hyperparameter search.
 
-Fitted models have no SQL twin: their rows are checked for count and shape, and
-``tests`` checks their quality.
+Models fitted on many features have no SQL twin: their rows are checked for count
+and shape, and ``tests`` checks their quality. On one feature the optimum can be
+said in SQL: Newton steps for logistic models, rates for a single split, the rank
+statistic for what a search finds. Those queries report fits in a few rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from riskframe.functions.hashing import arithmetic_rank_sql
 from riskframe.functions.spec import FeatureSpec
 from riskframe.operators import explain, fair, learn, measure, prep, rejects
 from riskframe.operators.features import numeric_stats
 from riskframe.operators.learn import Classifier
-from riskframe.plans.encoding import SPEC, gaps
+from riskframe.plans.encoding import GAPS, SPEC, gaps
 from riskframe.plans.fixtures import CARD, applications, rounded, with_applications
 
 FAIR_SPEC = FeatureSpec(
@@ -195,7 +198,209 @@ def g08_model(spark, sf_dir):
     return rounded(local.explain(plain, "app_id"), digits=4)
 
 
+# -- fits of one feature, with their SQL twins -------------------------------------
+
+AMOUNT = FeatureSpec(id="app_id", label="y", numeric=("amount",))
+KIND = FeatureSpec(id="app_id", label="y", categorical=("kind",))
+#: Run to the optimum, which is unique.
+EXACT = {"C": 1.0, "tol": 1e-12, "max_iter": 500}
+ONE_C = {"C": {"type": "float", "low": 1e-2, "high": 1e2, "log": True}}
+
+
+def _by_segment(scored: DataFrame, apps: DataFrame, *more: str) -> DataFrame:
+    """Rows and mean score per segment and label."""
+    named = scored.join(apps.select("app_id", "segment"), "app_id")
+    return rounded(
+        named.groupBy("segment", "y", *more).agg(
+            F.count("*").alias("n"), F.avg("score").alias("mean_score")
+        ),
+        digits=4,
+    )
+
+
+def l01_one(spark, sf_dir):
+    train, _, everyone = _parts(spark, sf_dir)
+    flow = learn.fit_flow(train, AMOUNT, Classifier("logistic", EXACT))
+    return _by_segment(flow.score(everyone, KEEP), everyone)
+
+
+def l06_one(spark, sf_dir):
+    """Hard labels at one half, counted."""
+    train, _, everyone = _parts(spark, sf_dir)
+    flow = learn.fit_flow(train, AMOUNT, Classifier("logistic", EXACT))
+    labelled = learn.hard_labels(flow.score(everyone, KEEP), 0.5)
+    return _by_segment(labelled, everyone, "pred")
+
+
+def e01_fit_one(spark, sf_dir):
+    train, _, everyone = _fair_parts(spark, sf_dir)
+    flow = learn.fit_flow(fair.reweigh(train), AMOUNT, Classifier("logistic", EXACT), weight="w")
+    return _by_segment(flow.score(everyone, KEEP), everyone)
+
+
+def r00_fit_one(spark, sf_dir):
+    """An accept model of one feature, fitted on all applications."""
+    apps = applications(spark, sf_dir)
+    marked = rejects.accept_labels(
+        apps.withColumn("y", F.when(F.col("rejected") == 1, -1).otherwise(F.col("y")))
+    )
+    spec = FeatureSpec(id="app_id", label="accepted", numeric=("amount",))
+    flow = learn.fit_flow(marked, spec, Classifier("logistic", EXACT))
+    return _by_segment(flow.score(marked, KEEP), apps)
+
+
+def _split_once(kind: str, params: dict):
+    """A learner allowed one split, on a column of two categories."""
+
+    def run(spark, sf_dir):
+        train, _, everyone = _parts(spark, sf_dir)
+        flow = learn.fit_flow(train, KIND, Classifier(kind, params, seed=7))
+        scored = flow.score(everyone, KEEP).join(everyone.select("app_id", "kind"), "app_id")
+        return rounded(scored.groupBy("kind", "y").agg(F.count("*").alias("n"), F.max("score").alias("score")))
+
+    return run
+
+
+def _found(spark, found: learn.SearchResult) -> DataFrame:
+    rows = [(len(found.trials), found.best_value, max(value for _, value in found.trials))]
+    return rounded(spark.createDataFrame(rows, "n_trials bigint, best_value double, highest double"))
+
+
+def l08_one(spark, sf_dir):
+    """Any penalty ranks one feature alike, so the best area under the curve is known."""
+    train, valid, _ = _parts(spark, sf_dir)
+    return _found(spark, learn.search_holdout("logistic", ONE_C, train, valid, AMOUNT, n_trials=2, seed=1, parallelism=2))
+
+
+def l09_one(spark, sf_dir):
+    train, _, _ = _parts(spark, sf_dir)
+    return _found(spark, learn.search_folds("logistic", ONE_C, train, AMOUNT, folds=3, n_trials=2, seed=1, parallelism=2))
+
+
+def l10_one(spark, sf_dir):
+    train, valid, _ = _parts(spark, sf_dir)
+    return _found(spark, learn.search_fast("logistic", ONE_C, train, valid, AMOUNT, n_trials=2, seed=1, parallelism=2))
+
+
+PARTS = f"""
+parts AS (
+  SELECT *, CASE WHEN draw < 2000 THEN 'test' WHEN draw < 4000 THEN 'valid' ELSE 'train' END AS part
+  FROM (SELECT *, {arithmetic_rank_sql('app_id', 42)} % 10000 AS draw FROM gaps) t
+)"""
+
+
+def _logistic_sql(rows: str, target: str = "y", weight: str = "1.0", select: str = "", group: str = "segment, y") -> str:
+    """Newton steps on (1, scaled amount), ridge 1 on the slope, from the fit rows."""
+    steps = with_applications(
+        GAPS,
+        PARTS,
+        f"""
+fitted AS (SELECT * FROM ({rows}) r),
+scale AS (SELECT avg(amount) AS m, stddev_pop(amount) AS s FROM fitted),
+d AS (SELECT (amount - m) / s AS x, CAST({target} AS DOUBLE) AS t, CAST({weight} AS DOUBLE) AS w FROM fitted, scale),
+newton AS (
+  SELECT 0 AS step, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1
+  UNION ALL
+  SELECT step + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01),
+    b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  FROM (
+    SELECT step, b0, b1, sum(w * (p - t)) AS g0, sum(w * (p - t) * x) + b1 AS g1,
+      sum(w * p * (1 - p)) AS h00, sum(w * p * (1 - p) * x) AS h01, sum(w * p * (1 - p) * x * x) + 1 AS h11
+    FROM (SELECT step, b0, b1, x, t, w, 1 / (1 + exp(-(b0 + b1 * x))) AS p
+          FROM newton, d WHERE step < 25) a
+    GROUP BY step, b0, b1) b
+),
+scored AS (
+  SELECT a.*, 1 / (1 + exp(-(b0 + b1 * (amount - m) / s))) AS score
+  FROM applications a, scale, (SELECT b0, b1 FROM newton WHERE step = 25) f
+)""",
+        select=f"""SELECT segment, {select or 'y'}, count(*) AS n, round(avg(score), 4) AS mean_score
+FROM scored GROUP BY {group}""",
+    )
+    return "WITH RECURSIVE" + steps.removeprefix("WITH")
+
+
+TRAIN = "SELECT * FROM parts WHERE part = 'train'"
+REWEIGHED = """SELECT p.app_id, p.amount, p.y, cz.n * 1.0 * cy.n / (ca.n * 1.0 * cc.n) AS w
+  FROM (SELECT p.*, a.z FROM parts p JOIN applications a ON a.app_id = p.app_id WHERE part = 'train') p
+  JOIN (SELECT z, count(*) AS n FROM parts q JOIN applications a USING (app_id) WHERE part = 'train' GROUP BY z) cz ON cz.z = p.z
+  JOIN (SELECT y, count(*) AS n FROM parts WHERE part = 'train' GROUP BY y) cy ON cy.y = p.y
+  JOIN (SELECT a.z, a.y, count(*) AS n FROM parts q JOIN applications a ON a.app_id = q.app_id
+        WHERE part = 'train' GROUP BY a.z, a.y) cc ON cc.z = p.z AND cc.y = p.y,
+  (SELECT count(*) AS n FROM parts WHERE part = 'train') ca"""
+
+
+def _one_split_sql(score: str) -> str:
+    return with_applications(
+        GAPS,
+        PARTS,
+        "rates AS (SELECT kind, avg(CAST(y AS DOUBLE)) AS rate FROM parts WHERE part = 'train' GROUP BY kind)",
+        select=f"""SELECT kind, y, count(*) AS n, round(max({score}), 6) AS score
+FROM parts JOIN rates USING (kind) GROUP BY kind, y""",
+    )
+
+
+def _search_sql(held: str) -> str:
+    """Mean over ``held`` (fold, amount, y) of the area under the curve; the slope is
+    positive, as larger amounts are riskier."""
+    return with_applications(
+        GAPS,
+        PARTS,
+        f"""
+held AS ({held}),
+ranked AS (
+  SELECT fold, y, rank() OVER (PARTITION BY fold ORDER BY amount)
+    + (count(*) OVER (PARTITION BY fold, amount) - 1) / 2.0 AS place
+  FROM held
+),
+areas AS (
+  SELECT fold, (sum(CASE WHEN y = 1 THEN place ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0)
+    / (sum(y) * 1.0 * (count(*) - sum(y))) AS area
+  FROM ranked GROUP BY fold
+)""",
+        select="""SELECT CAST(2 AS BIGINT) AS n_trials, round(CAST(avg(area) AS DOUBLE), 6) AS best_value,
+  round(CAST(avg(area) AS DOUBLE), 6) AS highest FROM areas""",
+    )
+
+
+VALID = "SELECT 0 AS fold, amount, y FROM parts WHERE part = 'valid'"
+FOLDS = f"""SELECT (row_number() OVER (PARTITION BY y
+    ORDER BY {arithmetic_rank_sql('app_id', 1)}, app_id) - 1) % 3 AS fold, amount, y
+  FROM parts WHERE part = 'train'"""
+
+
 QUERIES = {
+    "l01_logistic_regression_one_feature": (l01_one, _logistic_sql(TRAIN)),
+    "l02_random_forest_one_split": (
+        _split_once("forest", {"n_estimators": 1, "max_depth": 1, "max_features": 1.0, "bootstrap": False}),
+        _one_split_sql("rate"),
+    ),
+    # a first tree predicts the mean of labels -1 and 1, the score is its sigmoid at twice that
+    "l03_gradient_boosting_one_split": (
+        _split_once("boosting", {"n_estimators": 1, "max_depth": 1, "max_features": 1.0}),
+        _one_split_sql("1 / (1 + exp(-2 * (2 * rate - 1)))"),
+    ),
+    "l06_score_and_label_one_feature": (
+        l06_one,
+        _logistic_sql(
+            TRAIN,
+            select="y, CAST(score >= 0.5 AS INTEGER) AS pred",
+            group="segment, y, CAST(score >= 0.5 AS INTEGER)",
+        ),
+    ),
+    "l08_search_holdout_one_feature": (l08_one, _search_sql(VALID)),
+    "l09_search_folds_one_feature": (l09_one, _search_sql(FOLDS)),
+    "l10_search_fast_one_feature": (l10_one, _search_sql(VALID)),
+    "e01_reweighed_fit_one_feature": (e01_fit_one, _logistic_sql(REWEIGHED, weight="w")),
+    "r00_fitted_accept_model_one_feature": (
+        r00_fit_one,
+        _logistic_sql(
+            "SELECT amount, 1 - rejected AS accepted FROM applications",
+            target="accepted",
+            select="CASE WHEN rejected = 1 THEN -1 ELSE y END AS y",
+            group="segment, CASE WHEN rejected = 1 THEN -1 ELSE y END",
+        ),
+    ),
     "l01_logistic_regression": (_fitted("logistic", {"C": 1.0}), None),
     "l02_random_forest": (_fitted("forest", {"n_estimators": 20, "max_depth": 5}), None),
     "l03_gradient_boosting": (_fitted("boosting", {"n_estimators": 8, "max_depth": 3}), None),

@@ -1,8 +1,9 @@
 """Encode and score applications as they arrive.
 
 Encoding and scoring look at one row at a time once the state is fitted, so the
-batch operators run unchanged on a streaming DataFrame. The target-encoding
-table joins as the static side and has to be small enough to broadcast.
+batch operators run unchanged on a streaming DataFrame. The tables of the encoder
+join as the static side: broadcast when small, else in a shuffle of each batch
+with the categories that were frequent in the fit served by a broadcast.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from riskframe.operators.learn import FittedFlow
 def encode_stream(
     stream: DataFrame, encoder: FeatureEncoderModel, keep: Sequence[str] | None = None
 ) -> DataFrame:
-    if not encoder.small_rates():
-        raise ValueError("the target-encoding table is too big to join with a stream")
     return encoder.encode(stream, keep)
 
 
@@ -30,8 +29,6 @@ def score_stream(
 ) -> DataFrame:
     """``keep`` columns and the score of every arriving row."""
     if isinstance(scorer, FittedFlow):
-        if not scorer.encoder.small_rates():
-            raise ValueError("the target-encoding table is too big to join with a stream")
         return scorer.score(stream, keep, out)
     return scorer.score(stream, out).select(*keep, out)
 

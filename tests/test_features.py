@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskframe.functions.spec import FeatureSpec
-from riskframe.operators import features
+from riskframe.operators import features, learn
 from riskframe.operators.features import FeatureEncoder, FeatureEncoderModel
 from riskframe.session import scratch_path
 
@@ -189,3 +189,51 @@ def test_large_rates_take_the_shuffled_way(apps, monkeypatch):
     large = FeatureEncoder(spec).fit(apps)
     monkeypatch.setattr(large, "_small", False)
     assert sorted(large.encode(apps).collect()) == want
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_many_levels_become_a_sparse_vector(spark, small):
+    """Codes follow the levels' order, numbers as numbers; unknown levels have no entry."""
+    codes = [100, -2, -1, 0, 2, 10, 10, 2, 10, None]
+    table = spark.createDataFrame(
+        [(i, i % 2, v, f"t{v}", "u" if i % 3 else "v") for i, v in enumerate(codes)],
+        "id int, y int, code int, text string, two string",
+    ).repartition(3)
+    spec = FeatureSpec("id", "y", categorical=("code", "two", "text"))
+    narrow = FeatureEncoder(spec, target_encode=False).fit(table)
+    wide = FeatureEncoder(spec, target_encode=False, max_levels=3).fit(table)
+    assert wide.state.wide == {"code": 6, "text": 7}
+    assert wide.output_names == ["code", "two_0", "two_1", "text"]
+    wide._small = small
+    fresh = spark.createDataFrame(
+        [(20, 0, 7, "other", "u"), (21, 0, None, None, None)], table.schema
+    )
+    for df in (table, fresh):
+        want, got = rows(narrow.encode(df)), rows(wide.encode(df))
+        for id_, row in want.items():
+            assert got[id_]["code"].toArray().tolist() == [row[f"code_{i}"] for i in range(6)]
+            assert got[id_]["text"].toArray().tolist() == [row[f"text_{i}"] for i in range(7)]
+            assert got[id_]["two_0"] == row["two_0"]
+        # the plain space holds codes, and finishing it gives the vectors
+        plain = wide.encode(df, onehot=False)
+        assert rows(plain) == rows(narrow.encode(df, onehot=False))
+        assert rows(wide.finish(plain)) == got
+    vector = wide.assemble(table).first()["features"]
+    assert vector.size == 15
+    path = scratch_path(spark, "wide-encoder")
+    wide.save(path)
+    assert rows(FeatureEncoderModel.load(spark, path).encode(table)) == rows(wide.encode(table))
+    flow = learn.FittedFlow(wide, None)
+    with pytest.raises(ValueError, match="sparse"):
+        learn.scorecard_of(flow)
+
+
+def test_encoding_counts_nothing(spark, apps, monkeypatch):
+    """The frequent categories come from the fit, whatever the size of the rates."""
+    spec = FeatureSpec("app_id", "y", categorical=("segment", "nation"))
+    encoder = FeatureEncoder(spec).fit(apps)
+    monkeypatch.setattr(encoder, "_small", False)
+    encoder._measured()
+    monkeypatch.setattr(type(apps), "count", lambda self: pytest.fail("rows were counted"))
+    plan = encoder.encode(apps)._jdf.queryExecution().toString()
+    assert "count(1)" not in plan.split("== Physical Plan ==")[-1]

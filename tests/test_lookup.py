@@ -35,3 +35,11 @@ def test_size_is_measured(spark):
     assert not fits_broadcast(state, "key", max_rows=99)
     wide = state.select(F.repeat(F.col("key"), 1 << 20).alias("key"))
     assert not fits_broadcast(wide, "key")
+
+
+def test_large_values_are_measured_too(spark):
+    state = spark.range(3000).select(
+        F.col("id").alias("key"), F.array(F.repeat(F.lit("v"), 15_000), F.repeat(F.lit("w"), 15_000)).alias("value")
+    )
+    assert not fits_broadcast(state, "key")
+    assert fits_broadcast(state.limit(100), "key")

@@ -30,11 +30,15 @@ def test_encoding_a_stream(spark, apps):
     assert sorted(back.collect()) == sorted(encoder.encode(apps).collect())
 
 
-def test_large_state_is_refused(apps):
+def test_large_state_meets_a_stream_in_a_shuffle(spark, apps):
+    """Nothing is broadcast but the categories that were frequent in the fit."""
+    want = FeatureEncoder(FAIR_SPEC).fit(apps)
     encoder = FeatureEncoder(FAIR_SPEC).fit(apps)
     encoder._small = False
-    with pytest.raises(ValueError, match="too big"):
-        scoring.encode_stream(apps, encoder)
-    flow = learn.FittedFlow(encoder, None)
-    with pytest.raises(ValueError, match="too big"):
-        scoring.score_stream(apps, flow, ["app_id"])
+    path = scratch_path(spark, "large-test")
+    apps.repartition(2).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(apps.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    encoded = scoring.encode_stream(stream, encoder)
+    scoring.append_to(encoded, f"{path}/out", f"{path}/log").awaitTermination()
+    back = spark.read.parquet(f"{path}/out").select(encoded.columns)
+    assert sorted(back.collect()) == sorted(want.encode(apps).collect())
