@@ -202,6 +202,8 @@ def g08_model(spark, sf_dir):
 
 AMOUNT = FeatureSpec(id="app_id", label="y", numeric=("amount",))
 KIND = FeatureSpec(id="app_id", label="y", categorical=("kind",))
+#: Amounts above this are mostly risky: a forest keeps a split only if its leaves disagree.
+LARGE = 400_000
 #: Run to the optimum, which is unique.
 EXACT = {"C": 1.0, "tol": 1e-12, "max_iter": 500}
 ONE_C = {"C": {"type": "float", "low": 1e-2, "high": 1e2, "log": True}}
@@ -253,7 +255,8 @@ def _split_once(kind: str, params: dict):
     """A learner allowed one split, on a column of two categories."""
 
     def run(spark, sf_dir):
-        train, _, everyone = _parts(spark, sf_dir)
+        size = F.when(F.col("amount") > LARGE, "large").otherwise("small")
+        train, _, everyone = (part.withColumn("kind", size) for part in _parts(spark, sf_dir))
         flow = learn.fit_flow(train, KIND, Classifier(kind, params, seed=7))
         scored = flow.score(everyone, KEEP).join(everyone.select("app_id", "kind"), "app_id")
         return rounded(scored.groupBy("kind", "y").agg(F.count("*").alias("n"), F.max("score").alias("score")))
@@ -334,9 +337,10 @@ def _one_split_sql(score: str) -> str:
     return with_applications(
         GAPS,
         PARTS,
-        "rates AS (SELECT kind, avg(CAST(y AS DOUBLE)) AS rate FROM parts WHERE part = 'train' GROUP BY kind)",
+        f"sized AS (SELECT y, part, CASE WHEN amount > {LARGE} THEN 'large' ELSE 'small' END AS kind FROM parts)",
+        "rates AS (SELECT kind, avg(CAST(y AS DOUBLE)) AS rate FROM sized WHERE part = 'train' GROUP BY kind)",
         select=f"""SELECT kind, y, count(*) AS n, round(max({score}), 6) AS score
-FROM parts JOIN rates USING (kind) GROUP BY kind, y""",
+FROM sized JOIN rates USING (kind) GROUP BY kind, y""",
     )
 
 
