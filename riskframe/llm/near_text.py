@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,10 @@ def band_count(percent: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - match)) if match < 1 else 1
 
 
+def set_digest(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def registers(hashes: np.ndarray, count: int) -> np.ndarray:
     """HyperMinHash registers (uint16) of one set of shingle hashes.
 
@@ -85,8 +89,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 hashes = shingle_set(text, size, cache)
                 if len(hashes):
                     regs = registers(hashes, count)
-                    digest = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-                    out.append((len(hashes), digest, regs.tobytes(), band_keys(regs)))
+                    out.append((len(hashes), set_digest(hashes), regs.tobytes(), band_keys(regs)))
                 else:
                     out.append((0, None, None, None))
             return None, list(zip(*out))
@@ -106,6 +109,22 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return map_texts(docs, "doc_id", "text", "hashes binary", make).withColumnRenamed("doc_id", "id")
 
 
+def digested_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(digest, sorted shingle hashes as bytes) of each distinct set of the given documents."""
+
+    def make():
+        cache = WordHashes()
+
+        def kernel(texts: list) -> tuple:
+            sets = [shingle_set(t, size, cache) for t in texts]
+            return None, [[set_digest(s) for s in sets], [s.tobytes() for s in sets]]
+
+        return kernel
+
+    found = map_texts(docs, "doc_id", "text", "digest binary, hashes binary", make)
+    return found.groupBy("digest").agg(F.first("hashes").alias("hashes"))
+
+
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and estimated similarity allow the threshold.
 
@@ -238,6 +257,29 @@ def mixed_links(
     return work.mapInArrow(run, "a long, b long").distinct()
 
 
+def class_links(
+    classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, space: Workspace
+) -> DataFrame:
+    """Links (a, b) that join all classes (id, n_shingles, regs, bands) of a component.
+
+    ``sets_of`` gives (id, hashes) for a table of ids. Band buckets are searched in
+    two steps: first every class against its bucket's smallest one; then, where a
+    bucket still holds several components, all its classes, tile against tile.
+    """
+    banded = classes.select("id", F.explode("bands").alias("k"))
+    hubs = space.settle(
+        banded.groupBy("k").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n"), "hubs"
+    )
+    crowd = space.settle(banded.join(hubs.hint("merge"), "k").select("k", "id", "hub"), "crowd")
+    stars = crowd.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    tested = space.settle(plausible(stars, classes, percent), "tested")
+    sets = space.settle(sets_of(crowd.select("id").distinct()), "sets")
+    links = space.settle(verified(tested, sets, percent), "links")
+    first = space.settle(components(links), "first")
+    more = space.settle(mixed_links(crowd, first, classes, sets, percent, space), "more")
+    return first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Component of each document under links of Jaccard >= percent / 100.
 
@@ -272,19 +314,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
         .filter("a <> b")
     )
-    banded = classes.select("id", F.explode("bands").alias("k"))
-    hubs = space.settle(
-        banded.groupBy("k").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n"), "hubs"
-    )
-    crowd = space.settle(banded.join(hubs.hint("merge"), "k").select("k", "id", "hub"), "crowd")
-    stars = crowd.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    tested = space.settle(plausible(stars, classes, percent), "tested")
-    near = crowd.select(F.col("id").alias("doc_id")).distinct()
-    sets = space.settle(full_sets(docs.join(near.hint("merge"), "doc_id", "left_semi"), size).distinct(), "sets")
-    links = space.settle(verified(tested, sets, percent), "links")
-    first = space.settle(components(links), "first")
-    more = space.settle(mixed_links(crowd, first, classes, sets, percent, space), "more")
-    joined = first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more).union(repeated)
+    def sets_of(near: DataFrame) -> DataFrame:
+        ids = near.withColumnRenamed("id", "doc_id")
+        return full_sets(docs.join(ids.hint("merge"), "doc_id", "left_semi"), size).distinct()
+
+    joined = class_links(classes, sets_of, percent, space).union(repeated)
     final = space.settle(components(joined), "final")
     roots = space.settle(
         classes.join(final, classes["id"] == final["node"], "left").select(
@@ -310,3 +344,65 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_
     known = docs.filter(F.col(key).isNotNull())
     kept = known.join(gone, F.col(key) == F.col("__gone"), "left_anti").dropDuplicates([key])
     return kept.unionByName(docs.filter(F.col(key).isNull()))
+
+
+def keep_texts(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group of texts linked by Jaccard >= percent / 100.
+
+    Classes are the distinct shingle sets, whatever ids they stand under: rows that
+    share an id are linked by their texts only, so unlike texts under one id all
+    stay. A component keeps its smallest (id, set digest); of rows equal in both, the
+    one with the smallest hash of all columns. Rows without an id and texts without
+    words are all kept. All columns stay as they were.
+    """
+    space = Workspace(docs.sparkSession, "near-kept")
+    worded = F.coalesce(F.col(text).cast("string").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    known = docs.filter(F.col(key).isNotNull() & worded)
+    texts = known.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # numbered once and written, so that every later read sees the same number
+    classes = space.settle(
+        signatures(texts, size, percent)
+        .groupBy("digest")
+        .agg(
+            F.min("doc_id").alias("doc_id"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("regs").alias("regs"),
+            F.first("bands").alias("bands"),
+        )
+        .withColumn("id", F.monotonically_increasing_id()),
+        "classes",
+    )
+
+    def sets_of(near: DataFrame) -> DataFrame:
+        wanted = space.settle(classes.select("id", "doc_id", "digest").join(near.hint("merge"), "id"), "wanted")
+        some = texts.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+        return digested_sets(some, size).join(wanted.select("digest", "id").hint("merge"), "digest").select("id", "hashes")
+
+    final = space.settle(components(class_links(classes, sets_of, percent, space)), "final")
+    keepers = space.settle(
+        classes.join(final, classes["id"] == final["node"], "left")
+        .groupBy(F.coalesce("root", "id").alias("root"))
+        .agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+        .select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest")),
+        "keepers",
+    )
+    space.release("keepers")
+
+    @F.pandas_udf("binary")
+    def digest(values: pd.Series) -> pd.Series:
+        cache = WordHashes()
+        return pd.Series([set_digest(shingle_set(v, size, cache)) for v in values], dtype="object")
+
+    # equal rows meet on the map side first, so no id or text gathers in one task
+    rows = (
+        known.select(
+            F.col(key).cast("long").alias("__id"),
+            digest(F.col(text).cast("string")).alias("__digest"),
+            F.struct(*docs.columns).alias("__row"),
+            F.xxhash64(*docs.columns).alias("__order"),
+        )
+        .groupBy("__id", "__digest")
+        .agg(F.min_by("__row", "__order").alias("__row"))
+    )
+    kept = rows.join(keepers, ["__id", "__digest"], "left_semi").select("__row.*")
+    return kept.unionByName(docs.filter(F.col(key).isNull() | ~worded))

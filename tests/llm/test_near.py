@@ -70,6 +70,28 @@ def test_texts_against_all_pairs(spark):
     assert near_text.near_duplicates(df.limit(0), 3, 85).count() == 0
 
 
+def test_unlike_texts_under_one_id_all_stay(spark):
+    import corpus_pipeline
+
+    draw = random.Random(3)
+    x, y, z = (" ".join(f"{c}{draw.randrange(10_000)}" for _ in range(120)) for c in "xyz")
+    near_y = y + " tail"
+    rows = [(5, x, "a"), (5, y, "b"), (9, near_y, "c"), (7, z, "d"), (3, z.upper(), "e"), (5, y, "f"), (5, y, "b")]
+    rows += [(5, z + " end", "g"), (None, x, "h"), (4, None, "i"), (4, " ", "j"), (4, "", "k")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    seen = set()
+    for parts in (1, 4):
+        kept = corpus_pipeline.drop_copies(spark, df.repartition(parts), "")
+        assert kept.columns == df.columns and kept.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+        found = sorted((r["doc_id"] or 0, str(r["text"]), r["source"]) for r in kept.collect())
+        assert [(k, t) for k, t, _ in found] == sorted(
+            [(5, x), (5, y), (3, z.upper()), (0, x), (4, "None"), (4, " "), (4, "")]
+        )
+        seen.add(str(found))
+    assert len(seen) == 1  # the same row each time, however the rows are dealt
+    assert corpus_pipeline.drop_copies(spark, df.limit(0), "").count() == 0
+
+
 def test_vectors_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(near_vectors, "TILE", 16)
     draw = np.random.default_rng(4)
