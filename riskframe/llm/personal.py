@@ -77,6 +77,13 @@ FIRST_NAMES = frozenset(
     Carmen Pedro Pablo Lucía Elena Emma Paul Laura Alice Bob Daniel Martin""".split()
 )
 NOT_NAMES = frozenset("The A An And Of In To It Is For On As By Der Die Das Und Le La Les El Los Las Un Une".split())
+#: Capitalised words that stand after the name context words without being names.
+ROLES = frozenset(
+    """All Board Center Centre Colleague Colleagues Committee Company Customer Customers Department Desk Director
+    Editor Editors Email Everyone Form Friend Friends Guest Guests Help Here Information Kunde Kunden Ladies
+    Madam Management Manager Member Members Office Our Page Parents Press Reader Readers Sales Secretary Service
+    Services Sir Sirs Staff Street Support Team University Us User Users We You Your""".split()
+)
 CONTEXT = {
     "phone": re.compile(r"\b(?:tel|telephone|phone|call|mobile|fax|telefon|téléphone|teléfono|llame|appelez)\b", re.I),
     "card": re.compile(r"\b(?:card|visa|mastercard|credit|payment|karte|carte|tarjeta)\b", re.I),
@@ -103,22 +110,73 @@ CANDIDATES = {
     "birth": re.compile(r"(?<![0-9])([0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9])"),
     "tel": re.compile(r"(?<![0-9+.-])(\(?[0-9]{2,5}\)?[\x20/-][0-9]{3,4}[\x20-][0-9]{3,5})(?![0-9])"),
 }
-#: A text without any of these has no name candidate.
+#: A text without any of these has no titled name.
 NAMED = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr", "Señor", "name is", "ch heiße", "m'appelle", "e llamo")
+#: Runs of capitalised words, and the context words of a name right before one.
+WORD = r"[A-ZÀ-ÖØ-Þ](?:['’][A-ZÀ-ÖØ-Þ])?[a-zß-öø-ÿ]++(?:[-'’]?[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]++)*+(?!\w)"
+RUN = re.compile(rf"(?<![\w'’-]){WORD}(?:\x20(?:[A-Z]\.\x20)?{WORD})*+")
+RUN_WORD = re.compile(rf"(?:[A-Z]\.\x20)?({WORD})")
+LEAD_WORDS = ("name", "signed", "contact", "author", "dear", "regards", "m'appelle", "llamo")
+LEAD = re.compile(
+    rf"\b(?:{'|'.join(LEAD_WORDS)})(?:\x20(?:by|von|par|por|is|ist))?[\x20\t]*[:,;-]?\s{{0,4}}$", re.IGNORECASE
+)
+TITLES = frozenset("Mr Mrs Ms Dr Prof Herr Frau Mme Sr Sra Señor Señora".split())
+#: Words of a name, and characters before a run that its context word lies in.
+NAME_WORDS, LEAD_WINDOW = 3, 24
 #: A labeler says 1 (personal), 0 (not) or -1 (abstains).
 LABELERS = ("format", "validity", "gazetteer", "context", "against", "shape")
 WINDOW = 48
 
 
+def first_name(word: str) -> bool:
+    """Whether a word, or its part before a hyphen, is in the gazetteer."""
+    return word in FIRST_NAMES or word.split("-")[0] in FIRST_NAMES
+
+
+def name_spans(text: str) -> list[tuple[int, int]]:
+    """Spans that any labeler of names proposes, by start, none touching another: names
+    after a title, and capitalised runs from a gazetteer name or after a context word."""
+    titled = []
+    if any(word in text for word in NAMED):
+        titled = [m.span(1) for m in CANDIDATES["name"].finditer(text)]
+    lowered = text.lower()
+    led = any(word in lowered for word in LEAD_WORDS)
+    found, k = [], 0
+    for run in RUN.finditer(text):
+        words = [(m.group(1), m.start(1), m.end(1)) for m in RUN_WORD.finditer(text, run.start(), run.end())]
+        i = 0
+        while i < len(words):
+            word, start, _ = words[i]
+            before = text[max(0, start - LEAD_WINDOW) : start]
+            skipped = word in TITLES or word.lower() in LEAD_WORDS
+            if skipped or not (first_name(word) or (led and LEAD.search(before))):
+                i += 1
+                continue
+            # a context word or title belongs to the next name
+            last = i
+            while last + 1 < min(i + NAME_WORDS, len(words)):
+                if words[last + 1][0] in TITLES or words[last + 1][0].lower() in LEAD_WORDS:
+                    break
+                last += 1
+            end = words[last][2]
+            i = last + 1
+            while k < len(titled) and titled[k][1] <= start:
+                k += 1
+            if k == len(titled) or titled[k][0] >= end:
+                found.append((start, end))
+    return sorted(titled + found)
+
+
 def _votes(kind: str, value: str, text: str, start: int, end: int) -> tuple[int, ...]:
     before, around = text[max(0, start - WINDOW) : start], text[max(0, start - WINDOW) : end + WINDOW // 2]
     digits = DIGIT.findall(value)
     strict, valid, listed = -1, -1, -1
     if kind == "name":
         words = value.split(" ")
-        strict = 1 if len(words) >= 2 else -1
-        valid = 0 if any(w in NOT_NAMES for w in words) else -1
-        listed = 1 if words[0] in FIRST_NAMES else -1
+        plain = any(w in NOT_NAMES or w in ROLES for w in words)
+        strict = 0 if plain else 1 if len(words) >= 2 else -1
+        valid = 0 if plain else -1
+        listed = 1 if first_name(words[0]) else -1
     elif kind == "ssn":
         area, group, serial = value.split("-")
         strict = 1
@@ -151,19 +209,17 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     """
     found = []
     numeric = DIGIT.search(text) is not None
-    named = any(word in text for word in NAMED)
     taken = sorted((start, end) for start, _, end in base)
     for kind, pattern in CANDIDATES.items():
-        if not (named if kind == "name" else numeric):
+        if kind != "name" and not numeric:
             continue
         k, mark = 0, len(found)
-        for m in pattern.finditer(text):
-            start, end = m.span(1)
+        for start, end in name_spans(text) if kind == "name" else (m.span(1) for m in pattern.finditer(text)):
             while k < len(taken) and taken[k][1] <= start:
                 k += 1
             if k < len(taken) and taken[k][0] < end:
                 continue
-            votes = _votes(kind, m.group(1), text, start, end)
+            votes = _votes(kind, text[start:end], text, start, end)
             size = 0 if end - start < 10 else 1 if end - start < 16 else 2
             found.append((start, KINDS.index(kind), end, f"{kind}|{','.join(map(str, votes))}|{size}"))
         if len(found) > mark:  # later kinds don't touch earlier ones

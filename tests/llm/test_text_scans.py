@@ -91,3 +91,33 @@ def test_labelers_find_what_the_patterns_miss(spark):
     hidden = [r[0] for r in df.select(redact("text")).collect()]
     assert hidden[0] == "call [PHONE] [CARD] now" and None in hidden
     assert personal.personal_spans(df.limit(0)).count() == 0
+
+
+def test_untitled_names_are_proposed_and_judged(spark):
+    names = {
+        "Contact: Maria Lopez for details": "Maria Lopez", "signed, Peter Hansen": "Peter Hansen",
+        "Best regards,\nAnna J. Weber": "Anna J. Weber", "Yesterday Jean-Pierre Dupont left.": "Jean-Pierre Dupont",
+        "Author: Igor Petrov wrote it": "Igor Petrov", "Dear Laura, hello": "Laura",
+    }
+    clean = [
+        "Contact Customer Service today", "Dear Customers, we moved", "signed, The Board", "Dear Sir, hello",
+        "Yesterday Blue River Valley was quiet.", "The Great Wall and Sunday Market", "Contact: Support Team",
+    ]
+    texts = [*names, *clean]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "doc_id long, text string")
+    for row in personal.personal_spans(df).collect():
+        text = texts[row["doc_id"] % len(texts)]
+        start = text.find(names.get(text, "\0"))
+        want = f"name:{start}:{start + len(names[text])}" if text in names else ""
+        assert row["spans"] == want, text
+    redact = personal.redactor(personal.fit_span_classifier(df))
+    hidden = [r[0] for r in df.select(redact("text")).collect()]
+    assert hidden[0] == "Contact: [NAME] for details" and hidden[1] == "signed, [NAME]" and hidden[6] == clean[0]
+
+
+def test_proposed_names_take_linear_time_and_keep_titled_ones():
+    assert personal.name_spans("Mr Peter Hansen met Dr. Weber and Maria") == [(3, 15), (24, 29), (34, 39)]
+    assert personal.name_spans("Dear Dr. Weber, contact Mrs Maria Lopez") == [(9, 14), (28, 39)]
+    assert personal.name_spans("A" * 100_000 + "Maria") == []
+    assert len(personal.name_spans("Maria Lopez, " * 20_000)) == 20_000
+    assert personal.name_spans("Aa" * 100_000 + "-" + " Contact" * 20_000) == []
