@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -48,18 +49,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guessed_spans(text: str, base: list[tuple[int, int, int]], costly: float = COSTLY) -> list[tuple[int, int, int]]:
-    """Values in a credential context that cost at least ``10 ** costly`` guesses and touch no base span."""
+    """Values in a credential context that cost at least ``10 ** costly`` guesses and lie whole in no base span."""
     lowered = text.lower()
     if not any(word in lowered for word in CONTEXT_WORDS):
         return []
     taken = sorted((start, end) for start, _, end in base)
+    reach = list(accumulate((end for _, end in taken), max))
     found = []
     for m in CONTEXT.finditer(text):
         start, end = m.span(1)
         while end > start and text[end - 1] in ".:!?)]}":
             end -= 1
-        clear = not any(s < end and e > start for s, e in taken[max(0, bisect(taken, (start,)) - 3) :][:8])
-        if end - start >= 6 and clear:
+        before = bisect(taken, (start, len(text)))
+        whole = before > 0 and reach[before - 1] >= end
+        if end - start >= 6 and not whole:
             if log_guesses(text[start:end]) >= costly:
                 found.append((start, 3, end))
     return found
