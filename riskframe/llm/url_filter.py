@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskframe.functions.lookup import attach_state, fits_broadcast
 from riskframe.llm.boosted import Trees, bounded_sample
+from riskframe.llm.common import Workspace
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Host suffixes whose statistics the model carries: the commonest of the labelled sample.
-SUFFIXES = 500
 #: Rows a suffix statistic is drawn towards the overall share with.
 PULL = 20.0
 Rule = tuple[str, str, str]
@@ -71,19 +71,10 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def _rates(sample: DataFrame, part: str, overall: float) -> dict[str, float]:
-    rows = (
-        sample.groupBy(part).agg(F.count("*").alias("n"), F.sum("y").alias("blocked"))
-        .orderBy(F.desc("n"), part).limit(SUFFIXES).collect()
-    )
-    return {r[part]: (r["blocked"] + PULL * overall) / (r["n"] + PULL) for r in rows}
-
-
-def _looked_up(column: Column, rates: dict[str, float], default: float) -> Column:
-    if not rates:
-        return F.lit(default)
-    table = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, column), F.lit(default))
+def _rates(labelled: DataFrame, part: str, overall: float) -> DataFrame:
+    """(part, rate): block rate of every value among all labelled rows, drawn towards the overall one."""
+    drawn = (F.sum("y") + F.lit(PULL * overall)) / (F.count("*") + F.lit(PULL))
+    return labelled.groupBy(part).agg(drawn.alias(f"{part}_rate"))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url") -> DataFrame:
@@ -92,8 +83,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: s
     Returns the key, host, path, rule (null where none fits), verdict (allow or
     block: the rule's, else block where the trees see a chance of at least one
     half) and block_chance. The trees learn from the urls the rules have judged, a
-    bounded sample of them, on lexical features and on block rates of the top and
-    second-level suffix and of the first path part in that sample. Without labelled
+    bounded sample of them by key, on lexical features and on block rates of the top and
+    second-level suffix and of the first path part, counted for every value over all
+    of these urls and joined back. Without labelled
     urls of both verdicts the rest takes the one verdict seen, or allow. A null url
     has empty host and path; repeated rows and null keys stay; other columns are
     ignored; no rows give no rows.
@@ -110,16 +102,20 @@ def judge_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: s
         }
     )
     labelled = rows.filter("__hit IS NOT NULL").withColumn("y", (F.col("__hit.verdict") == "block").cast("int"))
-    sample = bounded_sample(labelled, "__url")
-    overall = sample.agg(F.avg("y")).first()[0]
+    overall = labelled.agg(F.avg("y")).first()[0]
     overall = 0.0 if overall is None else float(overall)
-    rates = {part: _rates(sample, part, overall) for part in ("__top", "__second", "__first")}
+    space = Workspace(pages.sparkSession, "url-rates")
+    rates = {p: space.settle(_rates(labelled, p, overall), p.strip("_")) for p in ("__top", "__second", "__first")}
+    small = {part: fits_broadcast(table, part) for part, table in rates.items()}
 
     def featured(df: DataFrame) -> DataFrame:
+        for part, table in rates.items():
+            df = attach_state(df, table, part, part, [f"{part}_rate"], small=small[part])
         values = [c.cast("double") for c in lexical(F.col("__url"), F.col("host"), F.col("path")).values()]
-        values += [_looked_up(F.col(part), table, overall) for part, table in rates.items()]
+        values += [F.coalesce(f"{part}_rate", F.lit(overall)) for part in rates]
         return df.withColumn("__features", F.array(*values))
 
+    sample = bounded_sample(labelled, key)
     trees = Trees(featured(sample).select("__features", "y"), "__features", "y")
     scored = trees.score(featured(rows), "__features", "block_chance")
     chosen = F.when(F.col("block_chance") >= 0.5, "block").otherwise("allow")
