@@ -132,6 +132,16 @@ def g10(spark, sf_dir):
     return rounded(borrowed(spark, sf_dir))
 
 
+def g12(spark, sf_dir):
+    apps = _apps(spark, sf_dir)
+    scales = counterfactual.median_deviations(apps, ["amount", "balance"])
+    return rounded(
+        counterfactual.search_counterfactuals(
+            apps, CARD_Z, "app_id", ["amount", "balance"], scales, seed=SEED
+        )
+    )
+
+
 def g11(spark, sf_dir):
     apps = _apps(spark, sf_dir)
     table = counterfactual.comparison_table(
@@ -514,4 +524,6 @@ sized AS (
 FROM sized WHERE altered = 1""",
         ),
     ),
+    # staged donors by id hash: no SQL twin
+    "g12_searched_counterfactuals": (g12, None),
 }

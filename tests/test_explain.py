@@ -398,3 +398,23 @@ def test_every_row_gets_an_answer_from_the_donors(df, scorers):
         every = counterfactual.donor_rows(df, scorer, "id", 1000)
         possible = counterfactual.diverse_counterfactuals(df, scorer, "id", ["b"], every, scales, n_cfs=1)
         assert {r["id"] for r in possible.collect()} == answered
+
+
+def test_rows_are_tried_against_all_donors(df, scorers, monkeypatch):
+    """Beyond the bound on donors that travel, all rows of the other class are searched in blocks."""
+    card, model = scorers
+    scales = counterfactual.median_deviations(df, ["a", "b"])
+    for scorer in (card, model):
+        every = counterfactual.donor_rows(df, scorer, "id", 1000)
+        possible = counterfactual.diverse_counterfactuals(df, scorer, "id", ["b"], every, scales, n_cfs=2).collect()
+        with monkeypatch.context() as bound:
+            bound.setattr(counterfactual, "MAX_DONORS", 2)
+            bound.setattr(
+                counterfactual, "donor_rows",
+                lambda *_: {c: sorted(every[c], key=lambda r: (r["b"], r["id"]), reverse=c == 0)[:1] for c in (0, 1)},
+            )
+            got = counterfactual.search_counterfactuals(df, scorer, "id", ["b"], scales, 2, 2).collect()
+            blocks = counterfactual._block_search(df, df, scorer, "id", ["b"], scales, 2, 0.2, 0.5).collect()
+        assert {r["id"] for r in got if r["cf_rank"] > 0} == {r["id"] for r in possible}
+        key = lambda r: (r["id"], r["cf_rank"], round(r["cost"], 6), r["n_changes"], round(r["new_b"], 6))
+        assert sorted(map(key, blocks)) == sorted(map(key, possible))
