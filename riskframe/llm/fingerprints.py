@@ -23,7 +23,7 @@ def words_of(text: Column) -> Column:
 
 
 def sketch_of(words: Column, threshold: str = THRESHOLD, size: int = SIZE) -> Column:
-    """Sorted distinct shingle hashes below the threshold.
+    """Sorted distinct shingle hashes below the threshold, which leaves them within a long.
 
     The threshold is the same for every text, so the sketch of a union is the
     union of the sketches, and a share of the kept hashes estimates the share of
@@ -41,12 +41,14 @@ def sketch_of(words: Column, threshold: str = THRESHOLD, size: int = SIZE) -> Co
             F.sequence(F.lit(0), n - size), lambda i: kept(F.concat_ws(" ", *[F.get(words, i + k) for k in range(size)]))
         ),
     ).otherwise(F.when(n > 0, F.array(kept(F.array_join(words, " ")))).otherwise(F.array().cast("array<string>")))
-    return F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < F.lit(threshold))))
+    small = F.filter(hashes, lambda h: h < F.lit(threshold))
+    return F.array_sort(F.array_distinct(F.transform(small, lambda h: F.conv(h, 16, 10).cast("long"))))
 
 
 def fingerprint_of(n_words: Column, sketch: Column) -> Column:
-    """Number of words, then the kept hashes: equal texts have equal ones."""
-    return F.concat(n_words.cast("string"), F.lit(":"), F.array_join(sketch, ","))
+    """Number of words, then the kept hashes in hexadecimal: equal texts have equal ones."""
+    shown = F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), DIGITS, "0")))
+    return F.concat(n_words.cast("string"), F.lit(":"), F.array_join(shown, ","))
 
 
 def likeness(n: Column, a: Column, m: Column, b: Column) -> Column:
@@ -116,7 +118,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     base = once(once(rows, w=words_of(F.col("t"))), words=F.size("w"), sketch=sketch_of(F.col("w"))).select(*result)
     none = base.filter("id IS NULL").select(
         *result, F.lit(None).cast("string").alias("lent"), F.lit(None).cast("int").alias("m"),
-        F.lit(None).cast("array<string>").alias("other"),
+        F.lit(None).cast("array<long>").alias("other"),
     )
     known = none
     if seen is not None:
