@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -23,16 +23,19 @@ LOCAL_EDGES = 200_000
 TEXTS_PER_CALL = 256
 
 
-def map_texts(df: DataFrame, key: str, text: str, schema: str, make: Callable[[], Callable]) -> DataFrame:
+def map_texts(
+    df: DataFrame, key: str, text: str, schema: str, make: Callable[[], Callable], carry: Sequence[str] = ()
+) -> DataFrame:
     """Run a kernel over whole texts, batch by batch, without a shuffle.
 
     ``make()`` is called once per task and returns ``kernel(texts) -> (rows,
     columns)``: for each output row the number of its text in the call (None: one
     row per text, in order), and one list per column. Result: the key column as it
-    came (nulls and all 64 bits), then the columns of ``schema``.
+    came (nulls and all 64 bits), the columns ``carry``, then those of ``schema``.
     """
+    kept = [df.schema[c] for c in carry]
     extra = StructType.fromDDL(schema)
-    full = StructType.fromDDL(f"{key} long, {schema}")
+    full = StructType([*StructType.fromDDL(f"{key} long"), *kept, *extra])
     kinds = to_arrow_schema(extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,15 +44,35 @@ def map_texts(df: DataFrame, key: str, text: str, schema: str, make: Callable[[]
             for start in range(0, batch.num_rows, TEXTS_PER_CALL):
                 part = batch.slice(start, TEXTS_PER_CALL)
                 rows, columns = kernel(part.column(1).to_pylist())
-                ids = part.column(0)
-                ids = ids if rows is None else ids.take(pa.array(rows, pa.int64()))
+                came = [part.column(0), *part.columns[2:]]
+                if rows is not None:
+                    taken = pa.array(rows, pa.int64())
+                    came = [c.take(taken) for c in came]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, *[pa.array(c, type=k.type) for c, k in zip(columns, kinds)]], names=full.names
+                    [*came, *[pa.array(c, type=k.type) for c, k in zip(columns, kinds)]], names=full.names
                 )
 
-    return df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("__text")).mapInArrow(
-        run, full
-    )
+    return df.select(
+        F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("__text"), *carry
+    ).mapInArrow(run, full)
+
+
+def text_function(kind: str, make: Callable[[], Callable]) -> Callable[[Column], Column]:
+    """A column function over whole texts: ``make()`` gives ``kernel(texts) -> values`` once per task.
+
+    The texts of a batch become Python objects a few at a time.
+    """
+    values = to_arrow_schema(StructType.fromDDL(f"v {kind}"))[0].type
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kernel = make()
+        for batch in batches:
+            parts = [batch.slice(start, TEXTS_PER_CALL) for start in range(0, len(batch), TEXTS_PER_CALL)]
+            done = [pa.array(kernel(part.to_pylist()), type=values) for part in parts]
+            yield pa.concat_arrays(done) if done else pa.array([], type=values)
+
+    return run
 
 
 class Workspace:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -76,8 +76,8 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (share - COLLISION) / (1 - COLLISION)
 
 
-def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """One compact row per document; the sets themselves are not kept."""
+def signatures(docs: DataFrame, size: int, percent: int, carry: Sequence[str] = ()) -> DataFrame:
+    """One compact row per document, with the columns ``carry``; the sets themselves are not kept."""
     count = ROWS * band_count(percent)
 
     def make():
@@ -96,33 +96,22 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
         return kernel
 
-    return map_texts(docs, "doc_id", "text", "n_shingles long, digest binary, regs binary, bands array<long>", make)
+    return map_texts(docs, "doc_id", "text", "n_shingles long, digest binary, regs binary, bands array<long>", make, carry)
 
 
-def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(id, sorted shingle hashes as bytes) of each given document."""
+def set_bytes(size: int) -> Callable:
+    """Kernel maker: the sorted shingle hashes of each text as bytes."""
 
     def make():
         cache = WordHashes()
         return lambda texts: (None, [[shingle_set(t, size, cache).tobytes() for t in texts]])
 
-    return map_texts(docs, "doc_id", "text", "hashes binary", make).withColumnRenamed("doc_id", "id")
-
-
-def digested_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(digest, sorted shingle hashes as bytes) of each distinct set of the given documents."""
-
-    def make():
-        cache = WordHashes()
-
-        def kernel(texts: list) -> tuple:
-            sets = [shingle_set(t, size, cache) for t in texts]
-            return None, [[set_digest(s) for s in sets], [s.tobytes() for s in sets]]
+    return make
 
-        return kernel
 
-    found = map_texts(docs, "doc_id", "text", "digest binary, hashes binary", make)
-    return found.groupBy("digest").agg(F.first("hashes").alias("hashes"))
+def full_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(id, sorted shingle hashes as bytes) of each given document."""
+    return map_texts(docs, "doc_id", "text", "hashes binary", set_bytes(size)).withColumnRenamed("doc_id", "id")
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -334,37 +323,38 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return member.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; one row of those repeating it.
-
-    Rows without an id are all kept. All columns stay as they were.
-    """
-    found = near_duplicates(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), size, percent)
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    known = docs.filter(F.col(key).isNotNull())
-    kept = known.join(gone, F.col(key) == F.col("__gone"), "left_anti").dropDuplicates([key])
-    return kept.unionByName(docs.filter(F.col(key).isNull()))
-
-
 def keep_texts(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for each group of texts linked by Jaccard >= percent / 100.
 
     Classes are the distinct shingle sets, whatever ids they stand under: rows that
     share an id are linked by their texts only, so unlike texts under one id all
     stay. A component keeps its smallest (id, set digest); of rows equal in both, the
-    one with the smallest hash of all columns. Rows without an id and texts without
-    words are all kept. All columns stay as they were.
+    one with the smallest hash of all columns; of rows equal in all columns, one.
+    Rows without an id and texts without words are all kept. All columns stay as they
+    were. No rows give no rows.
+
+    A text is shingled once for its signature, and once more where a bucket needs
+    the whole set. Everything in between works on small rows named by (id, 128-bit
+    hash of all columns); the documents meet the keepers' names in one join.
     """
     space = Workspace(docs.sparkSession, "near-kept")
     worded = F.coalesce(F.col(text).cast("string").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
-    known = docs.filter(F.col(key).isNotNull() & worded)
-    texts = known.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    nulls = F.concat(*[F.col(f"`{c}`").isNull().cast("int").cast("string") for c in docs.columns])
+    named = docs.withColumns(
+        {
+            "__id": F.col(key).cast("long"),
+            "__h1": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]),
+            "__h2": F.xxhash64(nulls, *[F.col(f"`{c}`") for c in reversed(docs.columns)]),
+        }
+    ).filter(F.col(key).isNotNull() & worded)
+    name = ["__id", "__h1", "__h2"]
+    texts = named.select(F.col("__id").alias("doc_id"), F.col(text).alias("text"), "__h1", "__h2")
+    signed = space.settle(signatures(texts, size, percent, ["__h1", "__h2"]).withColumnRenamed("doc_id", "__id"), "signed")
     # numbered once and written, so that every later read sees the same number
     classes = space.settle(
-        signatures(texts, size, percent)
-        .groupBy("digest")
+        signed.groupBy("digest")
         .agg(
-            F.min("doc_id").alias("doc_id"),
+            F.min(F.struct(*name)).alias("row"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("regs").alias("regs"),
             F.first("bands").alias("bands"),
@@ -374,35 +364,25 @@ def keep_texts(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "do
     )
 
     def sets_of(near: DataFrame) -> DataFrame:
-        wanted = space.settle(classes.select("id", "doc_id", "digest").join(near.hint("merge"), "id"), "wanted")
-        some = texts.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-        return digested_sets(some, size).join(wanted.select("digest", "id").hint("merge"), "digest").select("id", "hashes")
+        wanted = space.settle(classes.select("id", "row.*").join(near.hint("merge"), "id"), "wanted")
+        some = named.select(*name, F.col(text).alias("text")).join(wanted.hint("merge"), name)
+        found = map_texts(some, "id", "text", "hashes binary", set_bytes(size))
+        return found.groupBy("id").agg(F.first("hashes").alias("hashes"))  # rows equal in all columns
 
     final = space.settle(components(class_links(classes, sets_of, percent, space)), "final")
-    keepers = space.settle(
+    copies = signed.groupBy(*name).agg((F.count("*") > 1).alias("several")).filter("several")
+    first = (
         classes.join(final, classes["id"] == final["node"], "left")
         .groupBy(F.coalesce("root", "id").alias("root"))
-        .agg(F.min(F.struct("doc_id", "digest")).alias("first"))
-        .select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest")),
-        "keepers",
+        .agg(F.min(F.struct("row.__id", "digest", "row.__h1", "row.__h2")).alias("f"))
+        .select("f.__id", "f.__h1", "f.__h2")
     )
-    space.release("keepers")
-
-    @F.pandas_udf("binary")
-    def digest(values: pd.Series) -> pd.Series:
-        cache = WordHashes()
-        return pd.Series([set_digest(shingle_set(v, size, cache)) for v in values], dtype="object")
-
-    # equal rows meet on the map side first, so no id or text gathers in one task
-    rows = (
-        known.select(
-            F.col(key).cast("long").alias("__id"),
-            digest(F.col(text).cast("string")).alias("__digest"),
-            F.struct(*docs.columns).alias("__row"),
-            F.xxhash64(*docs.columns).alias("__order"),
-        )
-        .groupBy("__id", "__digest")
-        .agg(F.min_by("__row", "__order").alias("__row"))
+    keepers = space.settle(
+        first.join(copies, name, "left").select(*name, F.coalesce("several", F.lit(False)).alias("__several")), "keepers"
     )
-    kept = rows.join(keepers, ["__id", "__digest"], "left_semi").select("__row.*")
+    space.release("keepers")
+    met = named.join(keepers.hint("merge"), name)
+    kept = met.filter("NOT __several").select(*docs.columns)
+    if not keepers.filter("__several").isEmpty():
+        kept = kept.unionByName(met.filter("__several").dropDuplicates(name).select(*docs.columns))
     return kept.unionByName(docs.filter(F.col(key).isNull() | ~worded))

@@ -7,10 +7,9 @@ import re
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.llm.common import map_texts
+from riskframe.llm.common import map_texts, text_function
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "name", "ssn", "iban", "birth", "tel")
@@ -355,7 +354,8 @@ def personal_spans(
 
 
 def redactor(verdicts: dict[str, bool]) -> Callable:
-    """Pandas UDF: the text with every span replaced by its kind in brackets; null stays null."""
+    """Column function: the text with every span replaced by its kind in brackets; null stays null."""
+
     def redact(value: str | None) -> str | None:
         if not value:
             return value
@@ -369,8 +369,4 @@ def redactor(verdicts: dict[str, bool]) -> Callable:
             floor = end
         return "".join([*out, value[floor:]])
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t) for t in texts], dtype="object")
-
-    return run
+    return text_function("string", lambda: lambda texts: [redact(t) for t in texts])

@@ -5,16 +5,20 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Entries a task keeps of word hashes before it starts afresh.
-WORD_CACHE = 400_000
+#: Bytes of word hashes that a task keeps before it starts afresh, some hundred per entry besides the word.
+WORD_CACHE, PER_WORD = 24 << 20, 160
 
 
 class WordHashes(dict):
     """Word (bytes) to 64-bit hash; forgets everything beyond a size."""
 
+    held = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
+        self.held += len(word) + PER_WORD
+        if self.held > WORD_CACHE:
             self.clear()
+            self.held = len(word) + PER_WORD
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 

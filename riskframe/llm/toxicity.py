@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 import re
 
-import pandas as pd
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.llm.boosted import Trees, bounded_sample
-from riskframe.llm.common import map_texts
+from riskframe.llm.common import map_texts, text_function
 
 #: A small lexicon of insults and the second person, in four languages.
 INSULTS = frozenset(
@@ -159,15 +158,12 @@ class ToxicityModel:
     def filter(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """The rows of ``docs`` scored below one half, all columns as they were.
 
-        Texts stay where they are: features are attached to each row by a pandas
-        function, not joined by a key.
+        Texts stay where they are: features are attached to each row, not joined by a
+        key. Null and empty texts are scored as empty ones; repeated rows and null
+        keys are judged like others; no rows give no rows.
         """
         learned = self.learned
-
-        @F.pandas_udf("array<double>")
-        def features(texts: pd.Series) -> pd.Series:
-            return pd.Series([text_features(t or "", learned) for t in texts], dtype=object)
-
+        features = text_function("array<double>", lambda: lambda texts: [text_features(t or "", learned) for t in texts])
         names = {c: f"__in{i}" for i, c in enumerate(docs.columns)}
         rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
         rows = rows.withColumn("features", features(F.col(names[text]).cast("string")))
