@@ -592,81 +592,6 @@ def _by_rank(best: DataFrame, id: str, names: Sequence[str]) -> DataFrame:
     )
 
 
-def search_counterfactuals(
-    df: DataFrame,
-    scorer,
-    id: str,
-    mutable: Sequence[str],
-    scales: Mapping[str, float],
-    n_donors: int = 50,
-    n_cfs: int = 3,
-    sparsity_weight: float = 0.2,
-    threshold: float = 0.5,
-    seed: int = 0,
-) -> DataFrame:
-    """Like :func:`diverse_counterfactuals`, with an answer for every row.
-
-    Rows that no donor flips are tried again with four times the donors, up to
-    1000 per class, then against all rows of the opposite class, block by block. A
-    row that none of them flips (also one without an id) comes back once, with
-    ``cf_rank`` 0 and nulls elsewhere.
-    """
-    found, left, n = None, df, min(n_donors, MAX_DONORS)
-    while True:
-        donors = donor_rows(df, scorer, id, n, threshold, seed)
-        part = cut_lineage(
-            diverse_counterfactuals(
-                left, scorer, id, mutable, donors, scales, n_cfs, sparsity_weight, threshold
-            )
-        )
-        found = part if found is None else found.unionByName(part)
-        left = left.join(part.select(id).distinct(), id, "left_anti")
-        if n >= MAX_DONORS or left.isEmpty():
-            break
-        n = min(4 * n, MAX_DONORS)
-    tried = left.filter(F.col(id).isNotNull())
-    if not tried.isEmpty():
-        part = cut_lineage(_block_search(tried, df, scorer, id, mutable, scales, n_cfs, sparsity_weight, threshold))
-        found = found.unionByName(part)
-        left = left.join(part.select(id).distinct(), id, "left_anti")
-    rest = {f.name: F.lit(None).cast(f.dataType) for f in found.schema if f.name != id}
-    rest["cf_rank"] = F.lit(0)
-    return found.unionByName(left.select(id, *[v.alias(k) for k, v in rest.items()]))
-
-
-def _block_search(
-    left: DataFrame, df: DataFrame, scorer, id, mutable, scales, n_cfs, sparsity_weight, threshold
-) -> DataFrame:
-    """The best ``n_cfs`` copies of each row of ``left`` over all rows of ``df`` of the opposite class.
-
-    Distinct donors are dealt into blocks of about ``MAX_DONORS``; a row keeps the
-    best of each block, then the best of those.
-    """
-    names = [f for f in scorer.features if f in set(mutable)]
-
-    def classed(rows: DataFrame) -> DataFrame:
-        return scorer.score(rows.select(id, *scorer.features), "__score").withColumn(
-            "__class", (F.col("__score") >= F.lit(float(threshold))).cast("int")
-        )
-
-    donors = cut_lineage(
-        classed(df).filter(F.col("__class").isNotNull())
-        .select(F.col("__class").alias("__lender"), F.struct(*[F.col(f).cast("double").alias(f) for f in names]).alias("d"))
-        .distinct()
-    )
-    count = -(-donors.count() // MAX_DONORS)
-    blocks = cut_lineage(
-        donors.groupBy("__lender", F.pmod(F.xxhash64("d"), F.lit(count)).alias("__block"))
-        .agg(F.collect_list("d").alias("__donors"))
-    )
-    staged = classed(left).withColumns({f"__old_{f}": F.col(f).cast("double") for f in names}).drop("__score")
-    spread = staged.crossJoin(blocks).filter("__class + __lender = 1").withColumn("__d", F.explode("__donors"))
-    again, copy = _flipped(spread.drop("__donors", "__lender"), scorer, names, scales, sparsity_weight, threshold)
-    best = again.groupBy(id, "__block").agg(F.slice(F.sort_array(F.collect_list(copy)), 1, n_cfs).alias("best"))
-    best = best.groupBy(id).agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, n_cfs).alias("best"))
-    return _by_rank(best, id, names)
-
-
 def _lend(
     batches: Iterator[pd.DataFrame], card, id, names, pools, scales, n_cfs, sparsity_weight, threshold
 ) -> Iterator[pd.DataFrame]:

@@ -1,13 +1,14 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from riskframe.functions.scorecard import ModelScorer, Scorecard
-from riskframe.operators import counterfactual, explain, learn
+from riskframe.operators import counterfactual, donors, explain, learn
 from riskframe.operators.explain import LocalSurrogate
 from riskframe.operators.features import numeric_stats
 
@@ -383,38 +384,49 @@ def test_explaining_a_fitted_flow(apps):
     assert 1000 < low < high < 500000
 
 
-def test_every_row_gets_an_answer_from_the_donors(df, scorers):
-    """One donor first, then more; rows that none of them flips are marked."""
+@pytest.mark.parametrize("apart", [0.0, 0.4])
+def test_search_gives_what_all_donors_give(df, scorers, apart):
+    """Every row is answered as a plain scan of all donors answers it; rows that nothing flips are marked."""
     card, model = scorers
     scales = counterfactual.median_deviations(df, ["a", "b"])
+    odd = df.limit(1).select(F.lit(None).cast("long").alias("id"), *[F.col(c) for c in df.columns if c != "id"])
     for scorer in (card, model):
-        got = counterfactual.search_counterfactuals(df, scorer, "id", ["b"], scales, n_donors=1, n_cfs=2).collect()
-        answered = {r["id"] for r in got if r["cf_rank"] > 0}
-        marked = [r for r in got if r["cf_rank"] == 0]
-        assert answered.isdisjoint({r["id"] for r in marked})
-        assert len(answered) + len(marked) == df.count()
-        assert all(r["cost"] is None and r["new_b"] is None for r in marked)
-        # no row is marked that any row of the other class would flip
-        every = counterfactual.donor_rows(df, scorer, "id", 1000)
-        possible = counterfactual.diverse_counterfactuals(df, scorer, "id", ["b"], every, scales, n_cfs=1)
-        assert {r["id"] for r in possible.collect()} == answered
-
-
-def test_rows_are_tried_against_all_donors(df, scorers, monkeypatch):
-    """Beyond the bound on donors that travel, all rows of the other class are searched in blocks."""
-    card, model = scorers
-    scales = counterfactual.median_deviations(df, ["a", "b"])
-    for scorer in (card, model):
-        every = counterfactual.donor_rows(df, scorer, "id", 1000)
-        possible = counterfactual.diverse_counterfactuals(df, scorer, "id", ["b"], every, scales, n_cfs=2).collect()
-        with monkeypatch.context() as bound:
-            bound.setattr(counterfactual, "MAX_DONORS", 2)
-            bound.setattr(
-                counterfactual, "donor_rows",
-                lambda *_: {c: sorted(every[c], key=lambda r: (r["b"], r["id"]), reverse=c == 0)[:1] for c in (0, 1)},
-            )
-            got = counterfactual.search_counterfactuals(df, scorer, "id", ["b"], scales, 2, 2).collect()
-            blocks = counterfactual._block_search(df, df, scorer, "id", ["b"], scales, 2, 0.2, 0.5).collect()
-        assert {r["id"] for r in got if r["cf_rank"] > 0} == {r["id"] for r in possible}
-        key = lambda r: (r["id"], r["cf_rank"], round(r["cost"], 6), r["n_changes"], round(r["new_b"], 6))
-        assert sorted(map(key, blocks)) == sorted(map(key, possible))
+        for mutable in (["b"], ["a", "b"]):
+            every = counterfactual.donor_rows(df, scorer, "id", 1000)
+            copies = counterfactual.diverse_counterfactuals(df, scorer, "id", mutable, every, scales, n_cfs=10_000)
+            names = [f for f in scorer.features if f in mutable]
+            want = {}
+            for r in sorted(copies.collect(), key=lambda r: (r["id"], r["cf_rank"])):
+                chosen = want.setdefault(r["id"], [])
+                gaps = [sum(abs(r[f"new_{n}"] - c[f"new_{n}"]) / scales[n] for n in names) for c in chosen]
+                if len(chosen) < 3 and all(g > 0 and round(g / len(names), 9) >= apart for g in gaps):
+                    chosen.append(r)
+            got = donors.search_counterfactuals(
+                df.unionByName(odd.select(df.columns)), scorer, "id", mutable, scales, apart=apart, block_rows=8
+            ).collect()
+            key = lambda r: (r["cost"], r["n_changes"], *[r[f"new_{n}"] for n in names])
+            found = {}
+            for r in got:
+                found.setdefault(r["id"], {})[r["cf_rank"]] = r
+            assert set(found) == {r["id"] for r in df.collect()} | {None}
+            for k, answers in found.items():
+                plain = {i + 1: key(r) for i, r in enumerate(want.get(k, []))}
+                if plain:
+                    assert {i: key(r) for i, r in answers.items()} == plain
+                else:
+                    assert set(answers) == {0} and answers[0]["cost"] is None
+
+
+def test_blocks_are_bounded_from_below():
+    draw = np.random.default_rng(3)
+    points = draw.normal(size=(500, 3))
+    tree = donors.median_tree(points, 4)
+    leaf = donors.leaf_of(points, tree, 4)
+    assert np.bincount(leaf, minlength=16).max() < 40
+    ranges = pd.DataFrame(
+        [{f"{e}_{i}": f(points[leaf == k, i]) for e, f in (("low", min), ("high", max)) for i in range(3)} for k in range(16)]
+    )
+    old, scales = draw.normal(size=(20, 3)), np.array([1.0, 2.0, 0.5])
+    bound = donors.block_bounds(old, ranges, scales, 0.2)
+    cost = (np.abs(points[None] - old[:, None]) / scales + 0.2 * (points[None] != old[:, None])).sum(axis=2) / 3
+    assert all((bound[:, k] <= cost[:, leaf == k].min(axis=1) + 1e-12).all() for k in range(16))
