@@ -134,9 +134,15 @@ def _monotone(
     return rows.drop("__score").mapInPandas(search, _move_schema(rows, id, grid))
 
 
+#: Combinations of moves that are looked at together.
+CELLS = 2_000_000
+SCAN_ROWS = 4096
+
+
 def _scan_moves(
     batches: Iterator[pd.DataFrame], card, id, grid, sets, target, criterion, threshold, step_size
 ) -> Iterator[pd.DataFrame]:
+    """Rows of a batch together: one set of features after the other, as arrays."""
     names = list(grid)
     fields = [id, "n_changes", "cost", "score", *[f"new_{f}" for f in names]]
     down = {f: (card.weights[f] > 0) == (target == 0) for f in grid}
@@ -152,49 +158,41 @@ def _scan_moves(
         return (score if target == 1 else 1.0 - score) >= threshold
 
     for batch in batches:
-        for start in range(0, len(batch), 2048):
-            part = batch.iloc[start : start + 2048].reset_index(drop=True)
+        for start in range(0, len(batch), SCAN_ROWS):
+            part = batch.iloc[start : start + SCAN_ROWS].reset_index(drop=True)
             own = {f: part[f].to_numpy(dtype=float) for f in card.features}
             place = {}
             for f, points in grid.items():
                 below, upto = (np.searchsorted(points, own[f], side) for side in ("left", "right"))
                 place[f] = (below + upto + 1) / 2
             if criterion == "non_dom":
-                wanted = [(row, chosen, np.inf) for row in range(len(part)) for chosen in sets]
+                reach = np.full((len(part), len(sets)), np.inf)
+                wanted = np.ones_like(reach, dtype=bool)
             else:
-                levels = _price_levels(own, place, grid, down, sets, accept)
-                wanted = _worth_refining(levels, sets, criterion)
+                reach = _price_levels(own, place, grid, down, sets, accept)
+                wanted = _worth_refining(reach, sets, criterion)
             found = []
-            for row, chosen, reach in wanted:
-                here = {f: float(own[f][row]) for f in card.features}
-                options = [
-                    _options(here[f], place[f][row], grid[f], down[f], reach) for f in chosen
-                ]
-                shifts, values = _least_last(
-                    options, lambda new: accept({**here, **dict(zip(chosen, new))})
-                )
-                if not len(shifts):
-                    continue
-                if criterion != "non_dom":
-                    least = np.lexsort((*values.T[::-1], shifts.sum(axis=1)))[:1]
-                    shifts, values = shifts[least], values[least]
-                score = scores({**here, **dict(zip(chosen, values.T))})
-                wide = np.zeros((len(shifts), 2 * len(names)))
-                wide[:, len(names) :] = np.nan
-                for k, f in enumerate(chosen):
-                    wide[:, names.index(f)] = shifts[:, k]
-                    wide[:, len(names) + names.index(f)] = values[:, k]
-                found.append(
-                    np.column_stack([np.full(len(wide), row), np.full(len(wide), len(chosen)), score, wide])
-                )
+            for k, chosen in enumerate(sets):
+                rows = np.flatnonzero(wanted[:, k])
+                rows = rows[np.argsort(reach[rows, k], kind="stable")]  # alike in the number of moves
+                for piece in _pieces(rows, reach[rows, k], place, grid, chosen):
+                    row, shifts, values = _moves_of_set(
+                        piece, reach[piece, k], own, place, grid, down, chosen, accept, criterion != "non_dom"
+                    )
+                    if not len(row):
+                        continue
+                    score = scores({**{f: own[f][row] for f in own}, **dict(zip(chosen, values.T))})
+                    wide = np.zeros((len(row), 2 * len(names)))
+                    wide[:, len(names) :] = np.nan
+                    for j, f in enumerate(chosen):
+                        wide[:, names.index(f)] = shifts[:, j]
+                        wide[:, len(names) + names.index(f)] = values[:, j]
+                    found.append(np.column_stack([row, np.full(len(row), len(chosen)), score, wide]))
             if not found:
                 continue
             cells = np.concatenate(found)
             if criterion == "non_dom":
-                ends = np.flatnonzero(np.diff(cells[:, 0])) + 1
-                cells = np.concatenate(
-                    [c[undominated(c[:, 3 : 3 + len(names)])] for c in np.split(cells, ends)]
-                )
+                cells = cells[undominated(cells[:, 3 : 3 + len(names)], cells[:, 0])]
             shifts = cells[:, 3 : 3 + len(names)]
             best = pd.DataFrame(cells[:, 3 + len(names) :], columns=[f"new_{f}" for f in names])
             best["row"], best["n_changes"] = cells[:, 0].astype(int), cells[:, 1].astype(int)
@@ -206,6 +204,79 @@ def _scan_moves(
             yield best[fields]
 
 
+def _pieces(rows: np.ndarray, reach: np.ndarray, place, grid, chosen) -> Iterator[np.ndarray]:
+    """Rows in runs whose combinations of moves stay within ``CELLS``."""
+    start = 0
+    while start < len(rows):
+        size = len(rows) - start
+        while True:  # the last of a run has the largest reach
+            most = reach[start + size - 1]
+            each = 1
+            for f in chosen[:-1]:
+                each *= int(min(len(grid[f]), most + 1))
+            if size == 1 or size * each <= CELLS:
+                break
+            size = max(1, min(size // 2, CELLS // max(each, 1)))
+        yield rows[start : start + size]
+        start += size
+
+
+def _helpful(rows: np.ndarray, reach: np.ndarray, x: np.ndarray, place: np.ndarray, points: np.ndarray, down: bool):
+    """(counts, shifts, values): per row its helpful moves of one feature within a price,
+    nearest first, padded to the longest."""
+    x, place = x[rows], place[rows]
+    if down:
+        below = np.searchsorted(points, x, "left")
+        first, room = place - below, below
+    else:
+        upto = np.searchsorted(points, x, "right")
+        first, room = upto + 1 - place, len(points) - upto
+    within = np.floor(np.minimum(reach, 2 * len(points)) - first) + 1
+    counts = np.where(np.isnan(x), 0, np.clip(within, 0, room)).astype(int)
+    step = np.arange(max(1, counts.max(initial=0)))
+    at = below[:, None] - 1 - step if down else upto[:, None] + step
+    return counts, first[:, None] + step, points[np.clip(at, 0, len(points) - 1)]
+
+
+def _moves_of_set(rows, reach, own, place, grid, down, chosen, accept, only_best: bool):
+    """Accepted moves of one set of features: (row, shifts, values), one entry per move.
+
+    For all moves of the first features, the nearest accepted move of the last one:
+    its moves help the more the farther they go, so it is found by bisection, for all
+    rows and combinations at once. ``only_best`` keeps a row's smallest total shift,
+    then its smallest values.
+    """
+    options = [_helpful(rows, reach, own[f], place[f], grid[f], down[f]) for f in chosen]
+    *head, (last_count, last_shift, last_value) = options
+    sizes = [shift.shape[1] for _, shift, _ in head]
+    combos = [w.ravel() for w in np.meshgrid(*[np.arange(n) for n in sizes], indexing="ij")] if head else []
+    width = len(combos[0]) if combos else 1
+    possible = np.broadcast_to((last_count > 0)[:, None], (len(rows), width)).copy()
+    for (count, _, _), w in zip(head, combos):
+        possible &= w[None, :] < count[:, None]
+    r, c = np.nonzero(possible)
+    fixed = {f: own[f][rows[r]] for f in own}
+    for f, (_, _, value), w in zip(chosen, head, combos):
+        fixed[f] = value[r, w[c]]
+    far = last_count[r] - 1
+    solved = accept({**fixed, chosen[-1]: last_value[r, far]})
+    r, c, far = r[solved], c[solved], far[solved]
+    fixed = {f: v[solved] for f, v in fixed.items()}
+    low = np.zeros(len(r), int)
+    while (low < far).any():
+        middle = (low + far) // 2
+        good = accept({**fixed, chosen[-1]: last_value[r, middle]})
+        far = np.where(good, middle, far)
+        low = np.where(good, low, np.minimum(middle + 1, far))
+    shifts = np.column_stack([*[s[r, w[c]] for (_, s, _), w in zip(head, combos)], last_shift[r, far]])
+    values = np.column_stack([*[v[r, w[c]] for (_, _, v), w in zip(head, combos)], last_value[r, far]])
+    if only_best and len(r):
+        order = np.lexsort((*values.T[::-1], shifts.sum(axis=1), r))
+        first = order[np.unique(r[order], return_index=True)[1]]
+        r, shifts, values = r[first], shifts[first], values[first]
+    return rows[r], shifts, values
+
+
 def _price_levels(own, place, grid, down, sets, accept) -> np.ndarray:
     """Cheapest sufficient price in grid steps, per row and set of features; inf if none."""
     reach = np.arange(1, 2 * max(len(points) for points in grid.values()) + 1) / 2
@@ -230,68 +301,46 @@ def _price_levels(own, place, grid, down, sets, accept) -> np.ndarray:
     return out
 
 
-def _worth_refining(levels: np.ndarray, sets, criterion: str) -> list[tuple]:
-    """(row, set, price) of the sets that share the lowest price of their row and size."""
-    out = []
+def _worth_refining(levels: np.ndarray, sets, criterion: str) -> np.ndarray:
+    """Rows x sets: those that share the lowest price of their row and size."""
+    out = np.zeros(levels.shape, bool)
+    if not len(sets):
+        return out
     sizes = np.array([len(chosen) for chosen in sets])
-    for row, prices in enumerate(levels if len(sets) else []):
-        floor = np.inf
-        groups = [sizes == n for n in np.unique(sizes)]
-        if criterion == "percentile":
-            groups = [sizes == n for n in np.unique(sizes[prices == prices.min()])[:1]]
-        for group in groups:
-            low = prices[group].min()
-            if low < floor:
-                out += [(row, sets[k], low) for k in np.flatnonzero(group & (prices == low))]
-                floor = low
+    floor, done = np.full(len(levels), np.inf), np.zeros(len(levels), bool)
+    lowest = levels.min(axis=1)
+    for n in np.unique(sizes):
+        group = sizes == n
+        low = levels[:, group].min(axis=1)
+        if criterion == "percentile":  # only the fewest changes that reach the lowest price
+            go = ~done & (low == lowest) & np.isfinite(low)
+            done |= go
+        else:
+            go = low < floor
+            floor = np.minimum(floor, low)
+        out |= go[:, None] & group[None, :] & (levels == low[:, None])
     return out
 
 
-def _options(x: float, place: float, points: np.ndarray, down: bool, reach: float) -> tuple:
-    """(shifts, values) of the helpful moves of one feature within a price, nearest first."""
-    at = np.arange(1, len(points) + 1)
-    shift = np.abs(at - place)
-    ok = (points < x if down else points > x) & (shift <= reach)
-    order = np.flatnonzero(ok)[:: -1 if down else 1]
-    return shift[order], points[order]
-
-
-def _least_last(options: list[tuple], accept) -> tuple[np.ndarray, np.ndarray]:
-    """For all moves of the first features, the nearest accepted move of the last one.
+def undominated(shifts: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """Numbers of the moves that no other one of the same row beats: nowhere larger and
+    somewhere smaller.
 
-    Returns (shifts, values), one row per combination that can be accepted at all.
-    The last feature's moves help the more the farther they go, so the nearest is
-    found by bisection, for all combinations at once.
+    Moves are sorted by total; a move can only be beaten by one before it. Each sweep
+    keeps the first move left of every row and strikes out what it beats.
     """
-    *head, (shift, value) = options
-    none = np.empty((0, len(options)))
-    if any(not len(s) for s, _ in options):
-        return none, none
-    where = [w.ravel() for w in np.meshgrid(*[np.arange(len(s)) for s, _ in head], indexing="ij")]
-    size = len(where[0]) if where else 1
-    values = [v[w] for (_, v), w in zip(head, where)]
-    solved = np.flatnonzero(np.broadcast_to(accept([*values, np.full(size, value[-1])]), size))
-    values = [v[solved] for v in values]
-    low, high = np.zeros(len(solved), int), np.full(len(solved), len(value) - 1)
-    while (low < high).any():
-        middle = (low + high) // 2
-        good = accept([*values, value[middle]])
-        high = np.where(good, middle, high)
-        low = np.where(good, low, np.minimum(middle + 1, high))
-    shifts = [s[w[solved]] for (s, _), w in zip(head, where)]
-    return np.column_stack([*shifts, shift[high]]), np.column_stack([*values, value[high]])
-
-
-def undominated(shifts: np.ndarray) -> np.ndarray:
-    """Row numbers that no other row beats: nowhere larger and somewhere smaller."""
-    left = np.lexsort((*shifts.T, shifts.sum(axis=1)))
+    rows = np.zeros(len(shifts)) if rows is None else rows
+    left = np.lexsort((*shifts.T, shifts.sum(axis=1), rows))
     kept = []
     while len(left):
-        best, left = left[0], left[1:]
+        _, first, where = np.unique(rows[left], return_index=True, return_inverse=True)
+        best = left[first]
         kept.append(best)
-        gap = shifts[left] - shifts[best]
-        left = left[~((gap >= 0).all(axis=1) & (gap > 0).any(axis=1))]
-    return np.sort(np.array(kept, int))
+        gap = shifts[left] - shifts[best[where]]
+        beaten = (gap >= 0).all(axis=1) & (gap > 0).any(axis=1)
+        beaten[first] = True
+        left = left[~beaten]
+    return np.sort(np.concatenate(kept)) if kept else np.empty(0, int)
 
 
 def _cheapest(found: pd.DataFrame, names: Sequence[str], criterion: str) -> pd.DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe.functions.spec import FeatureSpec
-from riskframe.operators import fair, learn, measure, prep, rejects
+from riskframe.operators import constrained, fair, learn, measure, prep, rejects
 from riskframe.operators.features import FeatureEncoder
 from riskframe.operators.learn import Classifier, FittedFlow
 from riskframe.plans.fixtures import (
@@ -53,7 +53,8 @@ def fairness_methods(
     train: DataFrame, test: DataFrame, spec: FeatureSpec, classifier: Classifier = LOGISTIC
 ) -> DataFrame:
     """Predictions (model, id, y, z, pred) on ``test`` without intervention, with
-    reweighing, with constrained training and with group thresholds."""
+    reweighing, with constrained training (refitted and in-loop boosting) and with group
+    thresholds."""
     keep = [spec.id, spec.label, spec.sensitive]
     encoder = FeatureEncoder(spec).fit(train)
     weighed = fair.reweigh(train, spec.sensitive, spec.label)
@@ -61,17 +62,22 @@ def fairness_methods(
     encoded = cut_lineage(encoder.assemble(test, keep))
     base = classifier.fit(ready, label=spec.label, id=spec.id)
     reweighed = classifier.fit(ready, label=spec.label, weight="w", id=spec.id)
-    constrained, _ = fair.constrained_fit(
+    refitted, _ = fair.constrained_fit(
         ready, classifier, label=spec.label, group=spec.sensitive, id=spec.id,
         tolerance=0.02, rounds=4, step=4.0,
     )
+    boosted = constrained.constrained_boosting(
+        ready, label=spec.label, group=spec.sensitive, rounds=20, max_depth=3, tolerance=0.02, multiplier_step=2.0
+    )
     names = {spec.label: "y", spec.sensitive: "z"}
     fitted = learn.score_rows(base, ready).withColumnsRenamed(names)
     best = fair.threshold_search(fitted).first()
     parts = []
-    for name, model in (("baseline", base), ("reweighing", reweighed), ("constrained", constrained)):
+    for name, model in (("baseline", base), ("reweighing", reweighed), ("constrained", refitted)):
         scored = learn.score_rows(model, encoded).drop("features")
         parts.append(learn.hard_labels(scored).withColumn("model", F.lit(name)))
+    scored = boosted.score(encoded).drop("features")
+    parts.append(learn.hard_labels(scored).withColumn("model", F.lit("constrained_boosting")))
     if best["feasible"]:
         scored = learn.score_rows(base, encoded).drop("features").withColumnsRenamed(names)
         cut = fair.apply_thresholds(scored, best["threshold_0"], best["threshold_1"])

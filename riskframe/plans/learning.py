@@ -8,11 +8,13 @@ statistic for what a search finds. Those queries report fits in a few rows.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe.functions.hashing import arithmetic_rank_sql
+from riskframe.functions.scorecard import ModelScorer
 from riskframe.functions.spec import FeatureSpec
-from riskframe.operators import explain, fair, learn, measure, prep, rejects
+from riskframe.operators import constrained, explain, fair, learn, measure, prep, rejects, trees
 from riskframe.operators.features import numeric_stats
 from riskframe.operators.learn import Classifier
 from riskframe.plans.encoding import GAPS, SPEC, gaps
@@ -144,6 +146,56 @@ def e02(spark, sf_dir):
     return rounded(scored, digits=4)
 
 
+def e02_boosting(spark, sf_dir):
+    """Boosted trees whose error rates are pulled together between the groups."""
+    train, _, everyone = _fair_parts(spark, sf_dir)
+    encoder = learn.FeatureEncoder(FAIR_SPEC).fit(train)
+    keep = ["app_id", "y", "z"]
+    ready = learn.training_table(encoder.assemble(train, keep), "app_id")
+    model = constrained.constrained_boosting(ready, rounds=20, max_depth=3, tolerance=0.02, multiplier_step=2.0)
+    scored = model.score(encoder.assemble(everyone, keep)).drop("features")
+    return rounded(scored, digits=4)
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """One 0/1 feature, and a group that takes part of the large amounts."""
+    large = F.when(F.col("amount") > LARGE, 1.0).otherwise(0.0)
+    group = F.when((F.col("amount") > LARGE) & (F.col("app_id") % 3 == 0), 1).otherwise(F.col("z"))
+    return df.withColumns({"large": large, "z": group})
+
+
+BOOST_ROUNDS, BOOST_RATE, BOOST_STEP = 4, 0.8, 3.0
+
+
+def e02_boosting_one(spark, sf_dir):
+    """Margin and multipliers' effect on one 0/1 feature, after a few rounds."""
+    ready = VectorAssembler(inputCols=["large"], outputCol="features").transform(_sized(applications(spark, sf_dir)))
+    model = constrained.constrained_boosting(
+        ready, rounds=BOOST_ROUNDS, max_depth=1, learning_rate=BOOST_RATE, tolerance=0.0, multiplier_step=BOOST_STEP
+    )
+    scored = model.score(ready).groupBy("large", "z", "y").agg(F.count("*").alias("n"), F.max("score").alias("score"))
+    return rounded(scored)
+
+
+def g05_boosting(spark, sf_dir):
+    """Shapley values of a boosted tree's margin on two 0/1 features, 100 background rows."""
+    apps = _sized(applications(spark, sf_dir)).withColumn("z", F.col("z").cast("double"))
+    ready = VectorAssembler(inputCols=["large", "z"], outputCol="features").transform(apps)
+    model = constrained.constrained_boosting(ready, rounds=1, max_depth=2, learning_rate=1.0)
+    background = explain.background_rows(apps, ModelScorer(model, ["large", "z"]), "app_id", 100, 5)
+    return rounded(trees.tree_effects(apps, model, ["large", "z"], "app_id", background, margin=True))
+
+
+def g05_forest(spark, sf_dir):
+    """Shapley values of a fitted forest on encoded columns, 100 background rows."""
+    train, _, everyone = _fair_parts(spark, sf_dir)
+    flow = learn.fit_flow(train, FAIR_SPEC, Classifier("forest", {"n_estimators": 20, "max_depth": 5}, seed=7))
+    plain = flow.encoder.encode(everyone, ["app_id"])
+    scorer = ModelScorer(flow.model, flow.encoder.output_names)
+    background = explain.background_rows(plain, scorer, "app_id", 100, 5)
+    return rounded(trees.tree_effects(plain, flow.model, scorer.features, "app_id", background), digits=4)
+
+
 def accept_scored(spark, sf_dir) -> DataFrame:
     """Applications with hidden labels and a fitted accept model's P(accept)."""
     apps = applications(spark, sf_dir).withColumn(
@@ -367,6 +419,71 @@ areas AS (
     )
 
 
+SIZED = f"""
+sized AS (
+  SELECT app_id, y, CASE WHEN amount > {LARGE} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS large,
+    CASE WHEN amount > {LARGE} AND app_id % 3 = 0 THEN 1 ELSE z END AS z
+  FROM applications
+)"""
+
+
+def _boosting_sql() -> str:
+    """Newton steps per feature value under multipliers of (group, label), round by round."""
+    parts = [
+        SIZED,
+        "cells AS (SELECT large, z, y, CAST(count(*) AS DOUBLE) AS n FROM sized GROUP BY large, z, y)",
+        """f0 AS (SELECT large, ln(share / (1 - share)) AS f FROM (SELECT DISTINCT large FROM cells) c,
+  (SELECT sum(n) FILTER (y = 1) / sum(n) AS share FROM cells) s)""",
+        "m0 AS (SELECT DISTINCT z, y, CAST(0 AS DOUBLE) AS m FROM cells)",
+    ]
+    for k in range(BOOST_ROUNDS):
+        parts += [
+            f"""f{k + 1} AS (
+  SELECT large, any_value(f) + {BOOST_RATE} * sum(n * (1 + m) * (y - p)) / sum(n * (1 + m) * p * (1 - p)) AS f
+  FROM (SELECT c.*, f, m, 1 / (1 + exp(-f)) AS p FROM cells c JOIN f{k} USING (large) JOIN m{k} USING (z, y)) t
+  GROUP BY large
+)""",
+            f"""r{k + 1} AS (
+  SELECT z, y, sum(n) FILTER ((CASE WHEN f >= 0 THEN 1 ELSE 0 END) <> y) / sum(n) AS rate
+  FROM cells JOIN f{k + 1} USING (large) GROUP BY z, y
+)""",
+            f"""m{k + 1} AS (
+  SELECT z, y, greatest(0, m + {BOOST_STEP} * (coalesce(rate, 0) - min(coalesce(rate, 0)) OVER (PARTITION BY y))) AS m
+  FROM m{k} JOIN r{k + 1} USING (z, y)
+)""",
+        ]
+    return with_applications(
+        *parts,
+        select=f"""SELECT large, z, y, CAST(n AS BIGINT) AS n, round(1 / (1 + exp(-f)), 6) AS score
+FROM cells JOIN f{BOOST_ROUNDS} USING (large)""",
+    )
+
+
+#: Two features: the mean of both orders, over the background rows. A leaf holds the Newton step of its cell.
+TREE_EFFECTS_SQL = with_applications(
+    SIZED,
+    """rates AS (
+  SELECT large, z, (avg(CAST(y AS DOUBLE)) - any_value(share)) / any_value(share * (1 - share)) AS p
+  FROM sized, (SELECT avg(CAST(y AS DOUBLE)) AS share FROM sized) s GROUP BY large, z
+)""",
+    f"""background AS (
+  SELECT large, z FROM (SELECT large, z, row_number() OVER (ORDER BY {arithmetic_rank_sql('app_id', 5)}, app_id) AS place FROM sized) t
+  WHERE place <= 100
+)""",
+    """effects AS (
+  SELECT a.large, a.z, avg((xx.p - bx.p) + (xb.p - bb.p)) / 2 AS fl, avg((xx.p - xb.p) + (bx.p - bb.p)) / 2 AS fz
+  FROM (SELECT DISTINCT large, z FROM sized) a, background b
+  JOIN rates bb ON bb.large = b.large AND bb.z = b.z
+  JOIN rates xx ON xx.large = a.large AND xx.z = a.z
+  JOIN rates xb ON xb.large = a.large AND xb.z = b.z
+  JOIN rates bx ON bx.large = b.large AND bx.z = a.z
+  GROUP BY a.large, a.z
+)""",
+    select="""SELECT app_id, round(fl, 6) + 0.0 AS large, round(fz, 6) + 0.0 AS z
+FROM sized JOIN effects USING (large, z)""",
+)
+
+
 VALID = "SELECT 0 AS fold, amount, y FROM parts WHERE part = 'valid'"
 FOLDS = f"""SELECT (row_number() OVER (PARTITION BY y
     ORDER BY {arithmetic_rank_sql('app_id', 1)}, app_id) - 1) % 3 AS fold, amount, y
@@ -434,6 +551,10 @@ FROM applications a JOIN (SELECT y, count(*) AS n FROM applications GROUP BY y)
     "l12_search_custom_scorer": (l12, None),
     "e01_reweighed_fit": (e01_fit, None),
     "e02_constrained_fit": (e02, None),
+    "e02_constrained_boosting": (e02_boosting, None),
+    "e02_constrained_boosting_one_feature": (e02_boosting_one, _boosting_sql()),
+    "g05_shapley_values_of_boosting": (g05_boosting, TREE_EFFECTS_SQL),
+    "g05_shapley_values_of_forest": (g05_forest, None),
     "g01_partial_dependence_of_model": (g01_model, None),
     "g08_local_surrogate_of_model": (g08_model, None),
     "r00_fitted_accept_model": (r00_fit, None),
