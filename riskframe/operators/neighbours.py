@@ -1,10 +1,17 @@
-"""Exact nearest neighbours without pairing every row with every other.
+"""Nearest neighbours without pairing every row with every other, exact or by trees.
 
-Rows are cut into blocks of bounded size around sampled pivots. Each block first
+Exact: rows are cut into blocks of bounded size around sampled pivots. Each block first
 finds neighbours among its own rows, which gives every row a search radius; the
 triangle inequality then tells which other blocks can still hold a closer row,
 and only those block pairs are compared. Equal vectors are collapsed beforehand,
 so a crowd of copies costs one row.
+
+By trees: seeded random projections cut the rows at their medians into small
+leaves, again and again; rows that share a leaf are candidates and are ranked by
+their exact distances. Trees are added until the share of true neighbours found,
+measured against a scan of all rows for a sample, is as high as asked. The work is
+in proportion to the rows, while the exact search approaches all block pairs in
+many dimensions.
 """
 
 from __future__ import annotations
@@ -23,6 +30,11 @@ from riskframe.session import cut_lineage
 BLOCK_ROWS = 1024
 MAX_PIVOTS = 512
 DIGITS = 9
+#: Rows of a leaf, of a cell that one task cuts into leaves, and cells per tree at most.
+LEAF_ROWS, CELL_ROWS, MAX_DEPTH = 512, 8192, 12
+#: Rows that the upper cuts are taken from, and rows whose true neighbours are looked up.
+CUT_SAMPLE, PROBES = 20_000, 400
+TREES_PER_ROUND, MAX_TREES = 8, 64
 
 
 def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -72,15 +84,22 @@ def nearest_neighbours(
     k: int,
     block_rows: int = BLOCK_ROWS,
     max_pivots: int = MAX_PIVOTS,
+    recall: float | None = None,
 ) -> DataFrame:
     """(src, dst, distance): each row itself and its ``k - 1`` nearest others.
 
-    Distances are rounded to nine places; ties go to the lower id.
+    Distances are rounded to nine places; ties go to the lower id. With ``recall``
+    (a share, such as 0.9) the neighbours come from projection trees, of which there
+    are as many as that share of true neighbours takes; without, they are exact.
     """
     wanted = k - 1
     distinct = cut_lineage(distinct_vectors(df, id, vector, k))
     n = distinct.count()
-    pairs = _neighbour_vectors(distinct, n, wanted, block_rows, max_pivots) if wanted else None
+    pairs = None
+    if wanted and recall is not None:
+        pairs, _ = tree_neighbours(distinct, n, wanted, recall)
+    elif wanted:
+        pairs = _neighbour_vectors(distinct, n, wanted, block_rows, max_pivots)
 
     own = distinct.select("rep", F.lit(0.0).alias("distance"), "ids")
     if pairs is not None:
@@ -241,3 +260,135 @@ def _neighbour_vectors(
         .filter(F.col("place") <= k)
         .drop("place")
     )
+
+
+# -- projection trees ----------------------------------------------------------------
+
+
+def _gaps(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Squared distances by one matrix product; only for choosing candidates."""
+    return (left * left).sum(axis=1)[:, None] + (right * right).sum(axis=1)[None, :] - 2 * left @ right.T
+
+
+def _direction(d: int, *place: int) -> np.ndarray:
+    return np.random.default_rng(place).normal(size=d)
+
+
+def upper_cuts(points: np.ndarray, depth: int, tree: int, seed: int) -> np.ndarray:
+    """Medians of the seeded projections at the inner nodes of a complete tree."""
+    cuts = np.full((1 << depth) - 1, np.inf)
+    inside = {0: points}
+    for node in range(len(cuts)):
+        mine = inside.pop(node, points[:0])
+        if len(mine):
+            along = mine @ _direction(points.shape[1], seed, tree, node)
+            cuts[node] = np.median(along)
+            inside[2 * node + 1], inside[2 * node + 2] = mine[along <= cuts[node]], mine[along > cuts[node]]
+    return cuts
+
+
+def cell_of(points: np.ndarray, cuts: np.ndarray, depth: int, tree: int, seed: int) -> np.ndarray:
+    node = np.zeros(len(points), np.int64)
+    for _ in range(depth):
+        along = np.empty(len(points))
+        for k in np.unique(node):
+            mine = node == k
+            along[mine] = points[mine] @ _direction(points.shape[1], seed, tree, int(k))
+        node = 2 * node + 1 + (along > cuts[node])
+    return node - ((1 << depth) - 1)
+
+
+def leaves(points: np.ndarray, leaf_rows: int, *place: int) -> list[np.ndarray]:
+    """Row numbers of each leaf: halves at the median of a seeded projection, until small."""
+    out, open_ = [], [(np.arange(len(points)), 1)]
+    while open_:
+        mine, node = open_.pop()
+        if len(mine) <= leaf_rows:
+            out.append(mine)
+            continue
+        order = np.argsort(points[mine] @ _direction(points.shape[1], *place, node), kind="stable")
+        half = len(mine) // 2
+        open_ += [(mine[order[:half]], 2 * node), (mine[order[half:]], 2 * node + 1)]
+    return out
+
+
+def tree_neighbours(
+    distinct: DataFrame, n: int, k: int, recall: float = 0.9, leaf_rows: int = LEAF_ROWS,
+    max_trees: int = MAX_TREES, seed: int = 23,
+) -> tuple[DataFrame, float]:
+    """((rep, other, distance), measured share of true neighbours) for rows (rep, vec).
+
+    ``TREES_PER_ROUND`` trees are grown at a time. The upper cuts come from a sample of
+    ``CUT_SAMPLE`` rows; every row is dealt to a cell of each tree, a cell is cut into
+    leaves inside one task, and each row keeps the ``k`` nearest of its leaf. A row's
+    candidates of all trees are ranked by exact distances. Stops at ``recall``, or at
+    ``max_trees``; the share reached is returned either way.
+    """
+    name = distinct.schema["rep"].dataType.simpleString()
+    by_hash = distinct.select("rep", "vec").orderBy(hash_unit("rep", seed), "rep")
+    sample = np.array([r["vec"] for r in by_hash.limit(CUT_SAMPLE).collect()], dtype=float)
+    probes = by_hash.limit(PROBES).collect()
+    names, points = [r["rep"] for r in probes], np.array([r["vec"] for r in probes], dtype=float)
+    depth = max(0, min(MAX_DEPTH, math.ceil(math.log2(max(1, n / CELL_ROWS)))))
+    nearest = W.partitionBy("rep").orderBy("distance", "other")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= k).drop("place")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 2048):
+                part = batch.iloc[start : start + 2048]
+                others, vec = part["rep"].to_numpy(), _matrix(part["vec"])
+                gaps = _distances(points, vec)
+                gaps[np.array(names)[:, None] == others[None, :]] = np.inf
+                picked = _closest(gaps, others, min(k, len(others)))
+                near = np.take_along_axis(gaps, picked, axis=1)
+                row, rank = np.nonzero(np.isfinite(near))
+                yield pd.DataFrame(
+                    {"rep": np.array(names)[row], "other": others[picked[row, rank]], "distance": near[row, rank]}
+                )
+
+    pair = f"rep {name}, other {name}, distance double"
+    truth = cut_lineage(best(distinct.select("rep", "vec").mapInPandas(scan, pair)))
+    expected = truth.count()
+    found, reached = None, 0.0
+    for first in range(0, max_trees, TREES_PER_ROUND):
+        grown = range(first, min(first + TREES_PER_ROUND, max_trees))
+        cuts = {t: upper_cuts(sample, depth, t, seed) for t in grown}
+
+        def deal(batches: Iterator[pd.DataFrame], cuts=cuts) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    vec = _matrix(batch["vec"])
+                    for tree, cut in cuts.items():
+                        cell = cell_of(vec, cut, depth, tree, seed)
+                        yield batch.assign(tree=np.int32(tree), cell=cell.astype("int32"))
+
+        def rank(place: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("rep", ignore_index=True)  # the same leaves, however rows arrive
+            reps, vec = pdf["rep"].to_numpy(), _matrix(pdf["vec"])
+            out = []
+            for mine in leaves(vec, leaf_rows, seed, int(place[0]), int(place[1]), 1):
+                if len(mine) < 2:
+                    continue
+                gaps = _gaps(vec[mine], vec[mine])
+                np.fill_diagonal(gaps, np.inf)
+                take = min(k, len(mine) - 1)
+                near = np.argpartition(gaps, take - 1, axis=1)[:, :take]
+                row = np.repeat(mine, take)
+                other = mine[near.ravel()]
+                exact = vec[row] - vec[other]
+                distance = np.round(np.sqrt((exact * exact).sum(axis=1)), DIGITS)
+                out.append(pd.DataFrame({"rep": reps[row], "other": reps[other], "distance": distance}))
+            return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"rep": reps[:0], "other": reps[:0], "distance": []})
+
+        dealt = distinct.select("rep", "vec").mapInPandas(deal, f"rep {name}, vec array<double>, tree int, cell int")
+        fresh = dealt.groupBy("tree", "cell").applyInPandas(rank, pair)
+        pairs = fresh if found is None else found.unionByName(fresh)
+        found = cut_lineage(best(pairs.distinct()))
+        hits = found.join(F.broadcast(truth.select("rep", "other")), ["rep", "other"], "left_semi").count()  # PROBES x k rows
+        reached = hits / expected if expected else 1.0
+        if reached >= recall:
+            break
+    return found, reached

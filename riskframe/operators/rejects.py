@@ -138,9 +138,14 @@ def label_spreading(
     max_iter: int = 30,
     tol: float = 1e-3,
     neighbours: DataFrame | None = None,
+    recall: float | None = None,
 ) -> DataFrame:
     """Labels (id, y, w) for all rows, spread over the nearest-neighbour graph.
 
+    ``recall`` asks for neighbours from projection trees that find at least that share
+    of the true ones; without it they are exact, at a cost that nears all pairs in
+    many dimensions.
+
     The graph is directed: each row points at its ``k`` nearest rows, itself
     included. A round is ``F = alpha * S * F + (1 - alpha) * Y``; rounds stop
     when the total change falls below ``tol``, or after ``max_iter``.
@@ -148,7 +153,7 @@ def label_spreading(
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie between 0 and 1")
     if neighbours is None:
-        neighbours = nearest_neighbours(df, id, vector, k)
+        neighbours = nearest_neighbours(df, id, vector, k, recall=recall)
     edges = cut_lineage(spreading_edges(neighbours))
     given = df.select(
         F.col(id).alias("node"),

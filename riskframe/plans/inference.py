@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe.functions.scorecard import Scorecard
-from riskframe.operators import measure, rejects
+from riskframe.operators import measure, neighbours, rejects
+from riskframe.session import cut_lineage
 from riskframe.plans.fixtures import (
     applications,
     quantile_list,
@@ -95,6 +96,26 @@ def r06(spark, sf_dir):
     return spread.select("vec_id", "y", "w")
 
 
+def r06_trees(spark, sf_dir):
+    """Thirty rounds at most, over neighbours from projection trees."""
+    spread = rejects.label_spreading(vectors(spark, sf_dir), "vec_id", "embedding", recall=0.9)
+    return spread.select("vec_id", "y", "w")
+
+
+def r06_recall(spark, sf_dir):
+    """What the trees find of the true neighbours, as properties that hold or not."""
+    vecs = vectors(spark, sf_dir)
+    distinct = cut_lineage(neighbours.distinct_vectors(vecs, "vec_id", "embedding", 7))
+    found, share = neighbours.tree_neighbours(distinct, distinct.count(), 6, 0.9)
+    rows = found.groupBy("rep").agg(F.count("*").alias("n"), F.count_if(F.col("rep") == F.col("other")).alias("own"))
+    return rows.agg(
+        F.lit(share >= 0.9).alias("nine_in_ten_found"),
+        (F.count("*") == distinct.count()).alias("each_has_some"),
+        (F.max("n") <= 6).alias("six_at_most"),
+        (F.sum("own") == 0).alias("none_is_its_own"),
+    )
+
+
 def r07(spark, sf_dir):
     """Kickout of both scorecards at 0.5 against the first one."""
     apps = applications(spark, sf_dir)
@@ -225,6 +246,11 @@ UNION ALL SELECT app_id, 1, p_bad, round(p_bad, 6) FROM marked WHERE y = -1""",
         _extrapolated("p_bad > 0.8 OR p_bad < 0.15"),
     ),
     "r06_label_spreading": (r06, _spreading_sql(ROUNDS)),
+    "r06_label_spreading_by_trees": (r06_trees, None),
+    "r06_neighbours_by_trees": (
+        r06_recall,
+        "SELECT true AS nine_in_ten_found, true AS each_has_some, true AS six_at_most, true AS none_is_its_own",
+    ),
     "r07_kickout": (
         r07,
         with_scored(

@@ -157,3 +157,43 @@ def test_report_needs_the_base_model(spark):
     assert row["approval_rate"] == pytest.approx(2 / 3)
     assert row["positive_rate"] == pytest.approx(1 / 3)
     assert row["kickout"] is None  # the base model approves no bad applicant
+
+
+@pytest.mark.parametrize("deep", [False, True])
+def test_trees_find_the_neighbours(spark, monkeypatch, deep):
+    """Against a scan of all rows: enough true neighbours, exact distances, nothing that depends on the dealing."""
+    from riskframe.operators import neighbours
+
+    if deep:  # several cells per tree, small leaves, and few trees: more are grown
+        monkeypatch.setattr(neighbours, "CELL_ROWS", 200)
+        monkeypatch.setattr(neighbours, "TREES_PER_ROUND", 2)
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(900, 12)).round(4)
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)] + [(2000 + i, [float(x) for x in points[0]]) for i in range(9)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    everything = np.array([v for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    found = []
+    for parts in (2, 5):
+        distinct = neighbours.distinct_vectors(df.repartition(parts), "id", "v", 6).cache()
+        pairs, share = neighbours.tree_neighbours(distinct, 900, 5, 0.9, leaf_rows=64)
+        assert share >= 0.9
+        found.append(sorted((r["rep"], r["other"], r["distance"]) for r in pairs.collect()))
+    assert found[0] == found[1]
+    true = hits = 0
+    by_rep = {}
+    for a, b, gap in found[0]:
+        by_rep.setdefault(a, set()).add(b)
+        assert gap == pytest.approx(np.linalg.norm(points[a] - points[b]), abs=1e-8)
+    for a in range(0, 900, 7):
+        gaps = np.linalg.norm(points - points[a], axis=1)
+        gaps[a] = np.inf
+        want = set(np.argsort(gaps)[:5].tolist())
+        true, hits = true + 5, hits + len(want & by_rep[a])
+    assert hits >= 0.85 * true
+    listed = neighbours.nearest_neighbours(df, "id", "v", 6, recall=0.9).collect()
+    copies = [r for r in listed if r["src"] == 2003]
+    assert len(copies) == 6 and all(r["distance"] == 0 for r in copies)
+    assert {r["src"] for r in listed} == set(ids.tolist()) and len(everything) == 909
+    none = neighbours.nearest_neighbours(df.limit(1), "id", "v", 6, recall=0.9).collect()
+    assert len(none) == 1
