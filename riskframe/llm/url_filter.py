@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskframe.functions.lookup import attach_state, fits_broadcast
 from riskframe.llm.boosted import Trees, bounded_sample
@@ -11,6 +11,8 @@ from riskframe.llm.common import Workspace
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows a suffix statistic is drawn towards the overall share with.
 PULL = 20.0
+#: Parts of the labelled urls: each is described by the rates of the others.
+FOLDS, FOLD_SEED = 5, 31
 Rule = tuple[str, str, str]
 
 
@@ -71,10 +73,25 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def _rates(labelled: DataFrame, part: str, overall: float) -> DataFrame:
-    """(part, rate): block rate of every value among all labelled rows, drawn towards the overall one."""
-    drawn = (F.sum("y") + F.lit(PULL * overall)) / (F.count("*") + F.lit(PULL))
-    return labelled.groupBy(part).agg(drawn.alias(f"{part}_rate"))
+def _rates(labelled: DataFrame, part: str, overall: float, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """((part, rate), (fold and part, rate)): block rates of every value among all labelled
+    rows, and among those outside one fold, drawn towards the overall one."""
+
+    def drawn(bad: Column, n: Column) -> Column:
+        return (bad + F.lit(PULL * overall)) / (n + F.lit(PULL))
+
+    name = part.strip("_")
+    counts = space.settle(
+        labelled.groupBy(part, "__fold").agg(F.sum("y").alias("bad"), F.count("*").alias("n")), f"{name}-counts"
+    )
+    # FOLDS rows per value at most
+    total = Window.partitionBy(part)
+    outside = counts.select(
+        F.concat_ws("|", "__fold", part).alias("__at"),
+        drawn(F.sum("bad").over(total) - F.col("bad"), F.sum("n").over(total) - F.col("n")).alias(f"{part}_rate"),
+    )
+    whole = counts.groupBy(part).agg(drawn(F.sum("bad"), F.sum("n")).alias(f"{part}_rate"))
+    return space.settle(whole, name), space.settle(outside, f"{name}-outside")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url") -> DataFrame:
@@ -85,7 +102,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: s
     half) and block_chance. The trees learn from the urls the rules have judged, a
     bounded sample of them by key, on lexical features and on block rates of the top and
     second-level suffix and of the first path part, counted for every value over all
-    of these urls and joined back. Without labelled
+    of these urls and joined back; the trees see each labelled url with the rates of the
+    urls outside its own fold, so that no rate holds its own verdict. Without labelled
     urls of both verdicts the rest takes the one verdict seen, or allow. A null url
     has empty host and path; repeated rows and null keys stay; other columns are
     ignored; no rows give no rows.
@@ -105,18 +123,22 @@ def judge_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: s
     overall = labelled.agg(F.avg("y")).first()[0]
     overall = 0.0 if overall is None else float(overall)
     space = Workspace(pages.sparkSession, "url-rates")
-    rates = {p: space.settle(_rates(labelled, p, overall), p.strip("_")) for p in ("__top", "__second", "__first")}
-    small = {part: fits_broadcast(table, part) for part, table in rates.items()}
-
-    def featured(df: DataFrame) -> DataFrame:
-        for part, table in rates.items():
-            df = attach_state(df, table, part, part, [f"{part}_rate"], small=small[part])
+    labelled = labelled.withColumn("__fold", F.pmod(F.xxhash64(F.lit(FOLD_SEED), key), F.lit(FOLDS)))
+    rates = {p: _rates(labelled, p, overall, space) for p in ("__top", "__second", "__first")}
+    small = {p: (fits_broadcast(whole, p), fits_broadcast(outside, "__at")) for p, (whole, outside) in rates.items()}
+
+    def featured(df: DataFrame, learning: bool = False) -> DataFrame:
+        for part, tables in rates.items():
+            at = "__at" if learning else part
+            if learning:
+                df = df.withColumn("__at", F.concat_ws("|", "__fold", part))
+            df = attach_state(df, tables[learning], at, at, [f"{part}_rate"], small=small[part][learning])
         values = [c.cast("double") for c in lexical(F.col("__url"), F.col("host"), F.col("path")).values()]
         values += [F.coalesce(f"{part}_rate", F.lit(overall)) for part in rates]
         return df.withColumn("__features", F.array(*values))
 
     sample = bounded_sample(labelled, key)
-    trees = Trees(featured(sample).select("__features", "y"), "__features", "y")
+    trees = Trees(featured(sample, learning=True).select("__features", "y"), "__features", "y")
     scored = trees.score(featured(rows), "__features", "block_chance")
     chosen = F.when(F.col("block_chance") >= 0.5, "block").otherwise("allow")
     return scored.select(
