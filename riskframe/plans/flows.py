@@ -142,18 +142,21 @@ def _spread(rows: DataFrame, accept: FittedFlow, spec: FeatureSpec) -> DataFrame
     vectors = encoder.encode(rows, [spec.id, "y"]).select(
         spec.id, "y", F.array(*encoder.output_names).alias("__v")
     )
-    fresh = rejects.label_spreading(vectors, spec.id, "__v")
+    fresh = rejects.label_spreading(vectors, spec.id, "__v", recall=0.9)
     return rows.drop("y").join(fresh, spec.id)
 
 
 def compare_rejects(spark, sf_dir):
-    """Four methods on applications whose rejected labels are hidden."""
+    """All methods on applications whose rejected labels are hidden."""
     apps = applications(spark, sf_dir).withColumn(
         "y", F.when(F.col("rejected") == 1, -1).otherwise(F.col("y"))
     )
     split = prep.holdout_split(apps, "app_id", seed=42)
     train, test = split.filter("part <> 'test'"), split.filter("part = 'test'")
-    methods = ["upward", "softcutoff", "fuzzyparcelling", "extrapolation_all"]
+    methods = [
+        "upward", "downward", "softcutoff", "fuzzyparcelling", "extrapolation_positive",
+        "extrapolation_all", "extrapolation_confident", "spreading",
+    ]
     flows = reject_methods(train, FAIR_SPEC, methods)
     wide = None
     for name, flow in flows.items():
