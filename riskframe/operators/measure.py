@@ -7,11 +7,13 @@ All models are measured in the same pass. Label 1 means default (bad).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskframe.functions.ordering import range_bounds, running_totals
+from riskframe.functions.ordering import KEYS_PER_BUCKET, MAX_BUCKETS, range_bounds, running_totals
+from riskframe.session import cut_lineage
 
 
 # -- building blocks ---------------------------------------------------------
@@ -142,21 +144,49 @@ def score_counts(df: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     )
 
 
-def _curve(df: DataFrame, bounds: Sequence[float] | None) -> tuple[DataFrame, DataFrame]:
-    """Running class counts from the highest score down, and class sizes per
-    model. Both hang off one shuffle of the score counts."""
-    if bounds is None:
-        bounds, _ = range_bounds(df, "score")
-    counts = score_counts(df)
+def score_sketch(df: DataFrame) -> tuple[dict, list[float]]:
+    """({model: (positives, negatives)}, cut points of the score range) in one pass.
+
+    One row per model reaches the driver: its exact class sizes and quantiles of a
+    share of its scores, from which the cut points of all rows are put together.
+    """
+    looked_at = F.when(F.rand(17) < min(1.0, 10_000 / KEYS_PER_BUCKET), F.col("score").cast("double"))
+    probes = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
+    seen = df.select("model", "y", "score", looked_at.alias("__seen"))
+    rows = seen.groupBy("model").agg(
+        F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"),
+        F.count("score").alias("rows"), F.percentile_approx("__seen", probes, 5 * MAX_BUCKETS).alias("q"),
+    ).collect()
+    sizes = {r["model"]: (r["p"], r["n"]) for r in rows}
+    wanted = min(MAX_BUCKETS, math.ceil(sum(r["rows"] for r in rows) / KEYS_PER_BUCKET))
+    steps = sorted((q, r["rows"] / len(r["q"])) for r in rows for q in r["q"] or [])
+    bounds, passed, total = [], 0.0, sum(mass for _, mass in steps)
+    for q, mass in steps:
+        passed += mass
+        if len(bounds) + 1 < wanted and passed >= total * (len(bounds) + 1) / wanted:
+            bounds.append(q)
+    return sizes, sorted(set(bounds))
+
+
+def _size_of(sizes: Mapping, place: int) -> Column:
+    """A model's class size; models are few."""
+    out = F.lit(None).cast("long")
+    for model, found in sizes.items():
+        out = F.when(F.col("model").eqNullSafe(F.lit(model)), F.lit(found[place])).otherwise(out)
+    return out
+
+
+def _curve(df: DataFrame, bounds: Sequence[float] | None) -> tuple[DataFrame, dict]:
+    """Running class counts from the highest score down, and class sizes per model."""
+    sizes, found = score_sketch(df)
     curve = running_totals(
-        counts,
+        score_counts(df),
         "score",
         {"pos": "pos_above", "neg": "neg_above"},
         group=["model"],
         descending=True,
-        bounds=bounds,
+        bounds=found if bounds is None else bounds,
     )
-    sizes = counts.groupBy("model").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return curve, sizes
 
 
@@ -166,7 +196,11 @@ def score_curve(df: DataFrame, bounds: Sequence[float] | None = None) -> DataFra
     ``bounds`` are optional cut points of the score range, as found by
     :func:`riskframe.functions.ordering.range_bounds`.
     """
-    return _curve(df, bounds)[0]
+    if bounds is None:
+        bounds, _ = range_bounds(df, "score")
+    return running_totals(
+        score_counts(df), "score", {"pos": "pos_above", "neg": "neg_above"}, group=["model"], descending=True, bounds=bounds
+    )
 
 
 def _auc_of(curve: DataFrame) -> DataFrame:
@@ -193,12 +227,11 @@ def ks_cutoff(df: DataFrame, bounds: Sequence[float] | None = None) -> DataFrame
     threshold is null.
     """
     curve, sizes = _curve(df, bounds)
-    # one row per model
-    gaps = curve.join(F.broadcast(sizes), "model").select(
+    gaps = curve.select(
         "model",
         "score",
         F.round(
-            ratio(F.col("pos_above"), F.col("p")) - ratio(F.col("neg_above"), F.col("n")), 12
+            ratio(F.col("pos_above"), _size_of(sizes, 0)) - ratio(F.col("neg_above"), _size_of(sizes, 1)), 12
         ).alias("gap"),
     )
     best = gaps.groupBy("model").agg(
@@ -220,10 +253,9 @@ def fpr_cutoff(
     exceeds the limit. No admissible score gives 0.5.
     """
     curve, sizes = _curve(df, bounds)
-    rate = F.when(F.col("n") > 0, ratio(F.col("neg_above"), F.col("n"))).otherwise(0.0)
-    # one row per model
-    kept = curve.join(F.broadcast(sizes), "model").withColumn("rate", rate)
-    return kept.groupBy("model").agg(
+    negatives = _size_of(sizes, 1)
+    rate = F.when(negatives > 0, ratio(F.col("neg_above"), negatives)).otherwise(0.0)
+    return curve.withColumn("rate", rate).groupBy("model").agg(
         F.coalesce(
             F.min(F.when(F.col("rate") <= bad_rate, F.col("score"))), F.lit(0.5)
         ).alias("threshold")
@@ -245,9 +277,12 @@ def comparison_report(
     gets null AUC and Brier score.
     """
     known = ["pred"] if "pred" in df.columns else []
-    # rows meet once: all metrics follow from the class counts per score
-    counts = df.groupBy("model", "score", *known).agg(
-        F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
+    # rows meet once: all metrics follow from the class counts per score, which are
+    # written because two branches read them
+    counts = cut_lineage(
+        df.groupBy("model", "score", *known).agg(
+            F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
+        )
     )
     cut = threshold_predictions(counts.withColumnRenamed("pred", "__given"), thresholds, default)
     if known:
@@ -264,7 +299,7 @@ def comparison_report(
         )).alias("brier"),
     )
     if bounds is None:
-        bounds, _ = range_bounds(df, "score")
+        bounds, _ = range_bounds(counts, "score")
     scored = counts.filter(score.isNotNull())
     if known:
         scored = scored.groupBy("model", "score").agg(

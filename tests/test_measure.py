@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -140,3 +141,27 @@ def test_bucketed_curve_gives_the_same_report(spark, apps):
         cut = sorted(metric(long, bounds=bounds).collect())
         for a, b in zip(plain, cut):
             assert a[0] == b[0] and a[1:] == pytest.approx(b[1:])
+
+
+def test_cutoffs_read_the_facts_once_besides_the_sketch(spark, tmp_path, monkeypatch):
+    """Curve and class sizes need one table of counts, whatever the number of buckets."""
+    rng = np.random.default_rng(2)
+    rows = [(m, float(round(s, 3)), int(rng.random() < s)) for m in "ab" for s in rng.random(400)]
+    rows += [("b", None, 1), ("c", 0.5, 1)]
+    path = str(tmp_path / "facts")
+    spark.createDataFrame(rows, "model string, score double, y int").write.parquet(path)
+    facts = spark.read.parquet(path)
+    whole = {}
+    for keys in (measure.KEYS_PER_BUCKET, 50):
+        monkeypatch.setattr(measure, "KEYS_PER_BUCKET", keys)
+        sizes, bounds = measure.score_sketch(facts)
+        known = [r for r in rows if r[1] is not None]
+        assert sizes == {m: tuple(sum(r[0] == m and r[2] == y for r in rows) for y in (1, 0)) for m in "abc"}
+        assert (len(bounds) == 0) if keys > 1000 else 10 <= len(bounds) <= len(known) / 50 + 1
+        for make in (measure.ks_cutoff, measure.fpr_cutoff, measure.comparison_report):
+            found = make(facts)
+            result = sorted(tuple(r) for r in found.collect())
+            ran = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert "Final Plan" in ran and ran.count("FileScan") <= 1
+            assert whole.setdefault(make.__name__, result) == result
+
