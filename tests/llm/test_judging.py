@@ -144,6 +144,20 @@ def test_pipeline_against_its_parts(spark, sf_dir):
     kept = {k for k in order if find(k) == k}
     packed = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in packed} == kept
-    verdicts = personal.fit_span_classifier(docs.filter(docs["doc_id"].isin(list(kept))))
-    assert all(len(personal.all_spans(rows[k]["text"], verdicts)) == 2 for k in list(kept)[:5])
+    left = docs.filter(docs["doc_id"].isin(list(kept)))
+    verdicts = personal.fit_span_classifier(left)
+    hidden = {r["doc_id"]: r for r in corpus_pipeline.hide_personal(spark, left, sf_dir).collect()}
+    assert set(hidden) == kept
+    changed = 0
+    for k, r in hidden.items():
+        plain, out, floor = rows[k]["text"], "", 0
+        base, more = personal.all_spans(plain, verdicts)
+        for start, kind, end in sorted(base + more):
+            if start >= floor:
+                out += plain[floor:start] + f"[{personal.KINDS[kind].upper()}]"
+            floor = max(floor, end)
+        assert r["text"] == out + plain[floor:] and r["n_chars"] == len(r["text"])
+        changed += bool(base)
+        assert all(plain[s:e] not in r["text"] for s, kind, e in base if personal.KINDS[kind] == "email")
+    assert changed > 3
     assert near_text.band_count(80) == 31
