@@ -66,6 +66,8 @@ class ModelScorer:
 
 def score_vector(model, df: DataFrame, vector: str, out: str = "score") -> DataFrame:
     """Apply a fitted classifier to an assembled vector column."""
+    if hasattr(model, "score_vector"):  # a learner of this library
+        return model.score_vector(df, vector, out)
     probe = model.copy({model.featuresCol: vector})
     scored = probe.transform(df)
     scored = scored.withColumn(out, vector_to_array(F.col(probe.getProbabilityCol()))[1])

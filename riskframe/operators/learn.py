@@ -13,17 +13,16 @@ from dataclasses import dataclass
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.functions.hashing import hash_unit
 from riskframe.functions.scorecard import Scorecard, score_vector
 from riskframe.functions.spec import FeatureSpec
 from riskframe.operators.features import FeatureEncoder, FeatureEncoderModel
 from riskframe.operators.measure import auc_scorer, ks_cutoff
+from riskframe.operators.perceptron import fit_perceptron
 from riskframe.operators.prep import stratified_folds
 from riskframe.session import cut_lineage
 
@@ -77,7 +76,10 @@ ACCEPTED = {
         "n_estimators", "learning_rate", "max_depth", "min_samples_leaf", "max_features",
         "class_weight",
     },
-    "perceptron": {"hidden_layers", "learning_rate_init", "max_iter", "solver", "class_weight"},
+    "perceptron": {
+        "hidden_layers", "learning_rate_init", "learning_rate_decay_rate", "alpha", "max_iter",
+        "batches", "class_weight",
+    },
 }
 
 
@@ -128,23 +130,6 @@ def balanced_weights(
     return df.withColumn(out, weight)
 
 
-def replicate_by_weight(df: DataFrame, id: str, weight: str, seed: int = 0) -> DataFrame:
-    """Rows repeated in proportion to their weight, for learners without one.
-
-    The expected number of copies is weight / smallest positive weight, so every
-    row that counts is used at least once; the fraction is rounded by the row's own
-    hash and so is reproducible. Rows without a positive weight go.
-    """
-    least = df.filter(F.col(weight) > 0).agg(F.min(weight)).first()[0]
-    if least is None:
-        return df.limit(0)
-    share = F.col(weight) / F.lit(float(least))
-    copies = F.floor(share) + (hash_unit(id, seed) < share - F.floor(share)).cast("bigint")
-    return df.withColumn("__n", copies).filter("__n > 0").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n")))
-    ).drop("__n", "__copy")
-
-
 #: Below this many rows per task a training pass is mostly task overhead.
 ROWS_PER_TASK = 20_000
 
@@ -185,8 +170,8 @@ class Classifier:
         weight: str | None = None,
         id: str | None = None,
     ):
-        """The fitted ``pyspark.ml`` model. ``weight`` overrides a balanced class
-        weight; ``id`` is needed by the perceptron when rows are weighted."""
+        """The fitted model. ``weight`` overrides a balanced class weight; by ``id``
+        the perceptron deals rows to its batches."""
         if self.kind not in KINDS:
             raise ValueError(f"unknown classifier {self.kind!r}; known: {KINDS}")
         params = dict(self.params or {})
@@ -247,22 +232,20 @@ class Classifier:
         return (learner.setWeightCol(weight) if weight else learner).fit(df)
 
     def _perceptron(self, df, params, features, label, weight, id):
-        if weight:
-            if not id:
-                raise ValueError("a weighted perceptron needs the id column")
-            df = replicate_by_weight(df, id, weight, self.seed)
-        width = len(df.select(features).first()[0])
-        learner = MultilayerPerceptronClassifier(
-            featuresCol=features,
-            labelCol=label,
-            layers=[width, *params.get("hidden_layers", [64]), 2],
-            maxIter=int(params.get("max_iter", 100)),
-            stepSize=float(params.get("learning_rate_init", 0.03)),
-            # only gradient descent has a step size
-            solver=params.get("solver", "gd" if "learning_rate_init" in params else "l-bfgs"),
+        return fit_perceptron(
+            df,
+            features,
+            label,
+            weight,
+            id,
+            hidden=params.get("hidden_layers", [64]),
+            epochs=int(params.get("max_iter", 100)),
+            batches=int(params.get("batches", 1)),
+            learning_rate=float(params.get("learning_rate_init", 0.03)),
+            decay=float(params.get("learning_rate_decay_rate", 0.1)),
+            l2=float(params.get("alpha", 1e-4)),
             seed=self.seed,
         )
-        return learner.fit(df)
 
 
 def _subset(value) -> str:

@@ -8,13 +8,14 @@ statistic for what a search finds. Those queries report fits in a few rows.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe.functions.hashing import arithmetic_rank_sql
 from riskframe.functions.scorecard import ModelScorer
 from riskframe.functions.spec import FeatureSpec
-from riskframe.operators import constrained, explain, fair, learn, measure, prep, rejects, trees
+from riskframe.operators import constrained, explain, fair, learn, measure, perceptron, prep, rejects, trees
 from riskframe.operators.features import numeric_stats
 from riskframe.operators.learn import Classifier
 from riskframe.plans.encoding import GAPS, SPEC, gaps
@@ -83,6 +84,21 @@ SMALL_LOGISTIC = {
 }
 
 
+#: One hidden unit with a bend between the two values of its feature.
+UNIT_START = [(np.array([[0.5]]), np.array([-0.1])), (np.array([[0.8]]), np.array([-0.2]))]
+UNIT = {"epochs": 40, "learning_rate": 0.1, "decay": 0.5, "l2": 1e-3}
+
+
+def l04_one(spark, sf_dir):
+    """Full-batch steps of one hidden unit on a 0/1 feature, bad rows weighing threefold."""
+    sized = applications(spark, sf_dir).withColumn("large", (F.col("amount") > LARGE).cast("double"))
+    ready = VectorAssembler(inputCols=["large"], outputCol="features").transform(sized)
+    loaded = ready.withColumn("w", 1.0 + 2.0 * F.col("y"))
+    net = perceptron.fit_perceptron(loaded, weight="w", id="app_id", start=UNIT_START, **UNIT)
+    scored = net.score_vector(ready)
+    return rounded(scored.groupBy("large", "y").agg(F.count("*").alias("n"), F.max("score").alias("score")))
+
+
 def l08(spark, sf_dir):
     train, valid, everyone = _parts(spark, sf_dir)
     found = learn.search_holdout(
@@ -459,6 +475,50 @@ FROM cells JOIN f{BOOST_ROUNDS} USING (large)""",
     )
 
 
+def _unit_sql() -> str:
+    """Adam steps of one ReLU unit (u, a) below a sigmoid (v, c), from the counts of four cells."""
+    (u, a), (v, c) = [(float(w[0, 0]), float(b[0])) for w, b in UNIT_START]
+    names = "uavc"
+    moved = ", ".join(
+        f"{x} - rate * sqrt(1 - pow(0.999, k + 1)) / (1 - pow(0.9, k + 1)) * (0.9 * m{x} + 0.1 * g{x})"
+        f" / (sqrt(0.999 * s{x} + 0.001 * g{x} * g{x}) + 1e-7)"
+        for x in names
+    )
+    first = ", ".join(f"0.9 * m{x} + 0.1 * g{x}" for x in names)
+    second = ", ".join(f"0.999 * s{x} + 0.001 * g{x} * g{x}" for x in names)
+    start = ", ".join(f"CAST({value!r} AS DOUBLE) AS {x}" for x, value in zip(names, (u, a, v, c)))
+    zeros = ", ".join(f"CAST(0 AS DOUBLE) AS {kind}{x}" for kind in "ms" for x in names)
+    text = with_applications(
+        SIZED,
+        """cells AS (
+  SELECT CAST(sum(w) AS DOUBLE) AS n, CAST(sum(w) FILTER (large = 0) AS DOUBLE) AS n0, CAST(sum(w) FILTER (large = 1) AS DOUBLE) AS n1,
+    CAST(sum(w * y) FILTER (large = 0) AS DOUBLE) AS y0, CAST(sum(w * y) FILTER (large = 1) AS DOUBLE) AS y1
+  FROM (SELECT *, 1 + 2 * y AS w FROM sized) t
+)""",
+        f"""steps AS (
+  SELECT 0 AS k, {start}, {zeros}
+  UNION ALL
+  SELECT k + 1, {moved}, {first}, {second}
+  FROM (
+    SELECT *, v * d1 * b1 / n + 2 * {UNIT['l2']} * u AS gu, v * (d0 * b0 + d1 * b1) / n AS ga,
+      (d0 * h0 + d1 * h1) / n AS gv, (d0 + d1) / n AS gc,
+      {UNIT['learning_rate']} / (1 + {UNIT['decay']} * k / {float(UNIT['epochs'])}) AS rate
+    FROM (
+      SELECT *, n0 / (1 + exp(-(v * h0 + c))) - y0 AS d0, n1 / (1 + exp(-(v * h1 + c))) - y1 AS d1
+      FROM (
+        SELECT *, greatest(a, 0) AS h0, greatest(u + a, 0) AS h1,
+          CASE WHEN a > 0 THEN 1 ELSE 0 END AS b0, CASE WHEN u + a > 0 THEN 1 ELSE 0 END AS b1
+        FROM steps, cells WHERE k < {UNIT['epochs']}
+      ) h
+    ) d
+  ) g
+)""",
+        select=f"""SELECT large, y, count(*) AS n, round(max(1 / (1 + exp(-(v * greatest(u * large + a, 0) + c)))), 6) AS score
+FROM sized, steps WHERE k = {UNIT['epochs']} GROUP BY large, y""",
+    )
+    return "WITH RECURSIVE" + text.removeprefix("WITH")
+
+
 #: Two features: the mean of both orders, over the background rows. A leaf holds the Newton step of its cell.
 TREE_EFFECTS_SQL = with_applications(
     SIZED,
@@ -526,9 +586,10 @@ QUERIES = {
     "l02_random_forest": (_fitted("forest", {"n_estimators": 20, "max_depth": 5}), None),
     "l03_gradient_boosting": (_fitted("boosting", {"n_estimators": 8, "max_depth": 3}), None),
     "l04_perceptron": (
-        _fitted("perceptron", {"hidden_layers": [16], "max_iter": 20, "class_weight": "balanced"}),
+        _fitted("perceptron", {"hidden_layers": [16], "max_iter": 100, "class_weight": "balanced"}),
         None,
     ),
+    "l04_perceptron_one_unit": (l04_one, _unit_sql()),
     "l05_balanced_weights": (
         l05,
         with_applications(

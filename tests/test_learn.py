@@ -62,19 +62,6 @@ def test_weights_change_the_fit(parts):
     assert means[1] > means[0] + 0.1
 
 
-def test_replication_follows_the_weights(spark):
-    rows = [(i, 1.0 if i % 2 else 3.0) for i in range(2000)]
-    df = spark.createDataFrame(rows, "id int, w double")
-    copies = learn.replicate_by_weight(df, "id", "w")
-    assert copies.columns == ["id", "w"]
-    light, heavy = (copies.filter(F.col("w") == w).count() for w in (1.0, 3.0))
-    assert light == 1000 and heavy == 3000
-    uneven = df.withColumn("w", F.when(F.col("id") == 0, 0.0).otherwise(F.col("w") * 1.5 + F.col("id") % 3))
-    assert learn.replicate_by_weight(uneven, "id", "w").select("id").distinct().count() == 1999
-    again = learn.replicate_by_weight(df.repartition(17), "id", "w")
-    assert again.groupBy("id").count().exceptAll(copies.groupBy("id").count()).count() == 0
-
-
 def test_balanced_weights_sum_alike(spark):
     df = spark.createDataFrame([(0,), (0,), (0,), (1,)], "y int")
     got = {r["y"]: r["w"] for r in learn.balanced_weights(df).collect()}
