@@ -21,7 +21,7 @@ from pyspark.sql.types import NumericType
 
 from riskframe.functions.lookup import HOT_PARTS, attach_state, held_bytes, within_limits
 from riskframe.functions.spec import FeatureSpec
-from riskframe.session import cut_lineage
+from riskframe.session import Shelf, cut_lineage
 
 #: Up to this many levels a one-hot column becomes one column per level, its levels
 #: literals in the plan; beyond it, a sparse vector column with its levels in a table.
@@ -51,20 +51,26 @@ def numeric_stats(
     row = df.agg(*cells).first()
     stats = {}
     for i, c in enumerate(columns):
-        mean = row[f"m{i}"] if row[f"m{i}"] is not None else 0.0
-        spread = row[f"s{i}"] or 0.0
-        # imputed rows sit on the mean and only widen the denominator
-        filled = spread * (row[f"k{i}"] / row["n"]) ** 0.5 if row["n"] else 0.0
-        stats[c] = (float(mean), float(filled) if filled > 0 else 1.0)
+        stats[c] = _centre_and_scale(row[f"m{i}"], row[f"s{i}"], row[f"k{i}"], row["n"])
     named = set(row.__fields__) - {"n"} - {f"{k}{i}" for k in "msk" for i in range(len(columns))}
     stats.update({name: row[name] for name in named})
     return stats
 
 
+def _centre_and_scale(mean, spread, known: int, n: int) -> tuple[float, float]:
+    # imputed rows sit on the mean and only widen the denominator
+    filled = (spread or 0.0) * (known / n) ** 0.5 if n else 0.0
+    return float(mean or 0.0), float(filled) if filled > 0 else 1.0
+
+
 def category_counts(
-    df: DataFrame, columns: Sequence[str], label: str | None = None, unlabeled: int | None = None
+    df: DataFrame,
+    columns: Sequence[str],
+    label: str | None = None,
+    unlabeled: int | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """(feature, category, n, n_labeled, positives) for all categorical columns.
+    """(*by, feature, category, n, n_labeled, positives) for all categorical columns.
 
     Partial aggregation collapses each category on the map side, so one frequent
     category costs one row per task. Null is kept as a category of its own; rows
@@ -74,10 +80,10 @@ def category_counts(
     target = F.col(label).cast("double") if label else F.lit(None).cast("double")
     if label and unlabeled is not None:
         target = F.when(F.col(label) != unlabeled, target)
-    long = df.select(target.alias("__y"), *texts).unpivot(
-        ["__y"], list(columns), "feature", "category"
+    long = df.select(*by, target.alias("__y"), *texts).unpivot(
+        [*by, "__y"], list(columns), "feature", "category"
     )
-    return long.groupBy("feature", "category").agg(
+    return long.groupBy(*by, "feature", "category").agg(
         F.count("*").alias("n"),
         F.count("__y").alias("n_labeled"),
         F.coalesce(F.sum("__y"), F.lit(0.0)).alias("positives"),
@@ -209,16 +215,33 @@ class FeatureEncoder(Estimator):
         self.unlabeled = unlabeled
         self.max_levels = max(2, max_levels)
 
-    def _fit(self, df: DataFrame) -> "FeatureEncoderModel":
-        spec = self.spec
+    def target(self) -> Column:
+        """The label as a number, null where a row takes no part in target means."""
+        if not self.spec.label:
+            return F.lit(None).cast("double")
+        value = F.col(self.spec.label).cast("double")
+        return F.when(F.col(self.spec.label) != self.unlabeled, value) if self.labeled_only else value
+
+    def counts(self, df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         unlabeled = self.unlabeled if self.labeled_only else None
-        target = F.lit(None).cast("double")
-        if spec.label:
-            target = F.col(spec.label).cast("double")
-            if unlabeled is not None:
-                target = F.when(F.col(spec.label) != unlabeled, target)
-        stats = numeric_stats(df, spec.numeric, [F.avg(target).alias("__overall")])
+        return category_counts(df, self.spec.categorical, self.spec.label, unlabeled, by)
+
+    def _fit(self, df: DataFrame) -> "FeatureEncoderModel":
+        stats = numeric_stats(df, self.spec.numeric, [F.avg(self.target()).alias("__overall")])
         overall = stats.pop("__overall")
+        if not self.spec.categorical:
+            return self.learned(df, stats, overall, None)
+        counts = self.counts(df).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self.learned(df, stats, overall, counts)
+        finally:
+            counts.unpersist()
+
+    def learned(
+        self, df: DataFrame, stats: dict, overall: float | None, counts: DataFrame | None
+    ) -> "FeatureEncoderModel":
+        """The model that these aggregates give; ``df`` is only asked for its types."""
+        spec, spark = self.spec, df.sparkSession
         state = EncoderState(
             id=spec.id,
             numeric=list(spec.numeric),
@@ -229,48 +252,82 @@ class FeatureEncoder(Estimator):
             use_onehot=self.onehot,
             onehot_drop=self.onehot_drop,
         )
-        spark = df.sparkSession
-        if not spec.categorical:
+        if counts is None:
             return FeatureEncoderModel(state, _no_rates(spark))
-
-        counts = category_counts(df, spec.categorical, spec.label, unlabeled)
-        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            sizes = {r["feature"]: r["n_categories"] for r in cardinalities(counts).collect()}
-            numeric = numeric_categories(df, spec.categorical)
-            state.modes = {r["feature"]: r["mode"] for r in modes(counts, numeric).collect()}
-            for c in spec.categorical:
-                state.modes.setdefault(c, "")
-                wide = self.target_encode and sizes.get(c, 0) >= self.crit
-                (state.target if wide else state.onehot).append(c)
-            state.wide = {c: sizes[c] for c in state.onehot if sizes.get(c, 0) > self.max_levels}
-            codes = None
-            if state.wide:
-                codes = cut_lineage(numbered_levels(counts, list(state.wide), numeric))
-            narrow = [c for c in state.onehot if c not in state.wide]
-            if narrow:
-                known = counts.filter(
-                    F.col("feature").isin(narrow) & F.col("category").isNotNull()
-                ).select("feature", "category")
-                found: dict[str, list[str]] = {c: [] for c in narrow}
-                for row in known.collect():
-                    found[row["feature"]].append(row["category"])
-                state.levels = {
-                    c: sorted_levels(values, c in numeric) or [state.modes[c]]
-                    for c, values in found.items()
-                }
-            if not state.target:
-                return FeatureEncoderModel(state, _no_rates(spark), codes)
-            if overall is None:
-                raise ValueError("target encoding needs a label column with labeled rows")
-            state.overall = float(overall)
-            # fitted state: kept as a table of its own, not as the plan that made it
-            rates = cut_lineage(_filled_rates(counts, {c: state.modes[c] for c in state.target}))
-        finally:
-            counts.unpersist()
+        sizes = {r["feature"]: r["n_categories"] for r in cardinalities(counts).collect()}
+        numeric = numeric_categories(df, spec.categorical)
+        state.modes = {r["feature"]: r["mode"] for r in modes(counts, numeric).collect()}
+        for c in spec.categorical:
+            state.modes.setdefault(c, "")
+            wide = self.target_encode and sizes.get(c, 0) >= self.crit
+            (state.target if wide else state.onehot).append(c)
+        state.wide = {c: sizes[c] for c in state.onehot if sizes.get(c, 0) > self.max_levels}
+        codes = None
+        if state.wide:
+            codes = cut_lineage(numbered_levels(counts, list(state.wide), numeric))
+        narrow = [c for c in state.onehot if c not in state.wide]
+        if narrow:
+            known = counts.filter(
+                F.col("feature").isin(narrow) & F.col("category").isNotNull()
+            ).select("feature", "category")
+            found: dict[str, list[str]] = {c: [] for c in narrow}
+            for row in known.collect():
+                found[row["feature"]].append(row["category"])
+            state.levels = {
+                c: sorted_levels(values, c in numeric) or [state.modes[c]]
+                for c, values in found.items()
+            }
+        if not state.target:
+            return FeatureEncoderModel(state, _no_rates(spark), codes)
+        if overall is None:
+            raise ValueError("target encoding needs a label column with labeled rows")
+        state.overall = float(overall)
+        # fitted state: kept as a table of its own, not as the plan that made it
+        rates = cut_lineage(_filled_rates(counts, {c: state.modes[c] for c in state.target}))
         return FeatureEncoderModel(state, rates, codes)
 
 
+class FoldedFit:
+    """An encoder fitted without each fold in turn, from aggregates counted once.
+
+    Two passes over ``df``, whose column ``fold`` numbers the parts: moments per
+    (fold, column) and counts per (fold, feature, category), the latter kept on
+    ``shelf``. What a fit without a fold needs is the sum over the other folds, so
+    no fit reads a row.
+    """
+
+    def __init__(self, encoder: FeatureEncoder, df: DataFrame, shelf: Shelf, fold: str = "fold"):
+        self.encoder, self.df, self.fold = encoder, df, fold
+        cells = [F.count("*").alias("n"), F.avg(encoder.target()).alias("ym"), F.count(encoder.target()).alias("yk")]
+        for i, c in enumerate(encoder.spec.numeric):
+            value = F.col(c).cast("double")
+            value = F.when(~F.isnan(value), value)
+            cells += [F.avg(value).alias(f"m{i}"), F.var_pop(value).alias(f"v{i}"), F.count(value).alias(f"k{i}")]
+        self.moments = df.groupBy(fold).agg(*cells).collect()  # one row per fold
+        self.counts = shelf.keep(encoder.counts(df, [fold])) if encoder.spec.categorical else None
+
+    def without(self, number: int | None) -> "FeatureEncoderModel":
+        """The model of all folds but ``number``; of all of them for None."""
+        used = [r for r in self.moments if number is None or r[self.fold] != number]
+        n = sum(r["n"] for r in used)
+        stats = {}
+        for i, c in enumerate(self.encoder.spec.numeric):
+            known = [(r[f"k{i}"], r[f"m{i}"], r[f"v{i}"]) for r in used if r[f"k{i}"]]
+            size = sum(k for k, _, _ in known)
+            mean = sum(k * m for k, m, _ in known) / size if size else 0.0
+            square = sum(k * (v + (m - mean) ** 2) for k, m, v in known)
+            stats[c] = _centre_and_scale(mean, (square / size) ** 0.5 if size else 0.0, size, n)
+        labeled = sum(r["yk"] for r in used)
+        overall = sum(r["yk"] * r["ym"] for r in used if r["yk"]) / labeled if labeled else None
+        counts = self.counts
+        if counts is not None:
+            if number is not None:
+                counts = counts.filter(F.col(self.fold) != number)
+            sums = [F.sum(c).alias(c) for c in ("n", "n_labeled", "positives")]
+            counts = counts.groupBy("feature", "category").agg(*sums)
+        return self.encoder.learned(self.df, stats, overall, counts)
+
+
 def numbered_levels(counts: DataFrame, columns: Sequence[str], numeric: Sequence[str]) -> DataFrame:
     """(feature, category, code, n): each category's position among those of its feature.
 

@@ -7,7 +7,7 @@ import random
 import time
 import warnings
 from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
 from pyspark.ml.classification import (
@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskframe.functions.scorecard import Scorecard, score_vector
 from riskframe.functions.spec import FeatureSpec
-from riskframe.operators.features import FeatureEncoder, FeatureEncoderModel
+from riskframe.operators.features import FeatureEncoder, FeatureEncoderModel, FoldedFit
 from riskframe.operators.measure import auc_scorer, ks_cutoff
 from riskframe.operators.perceptron import fit_perceptron
 from riskframe.operators.prep import stratified_folds
-from riskframe.session import cut_lineage
+from riskframe.session import Shelf, cut_lineage
 
 KINDS = ("logistic", "forest", "boosting", "perceptron")
 
@@ -134,19 +134,20 @@ def balanced_weights(
 ROWS_PER_TASK = 20_000
 
 
-def training_table(df: DataFrame, id: str) -> DataFrame:
-    """A table ready for the many small jobs of an iterative learner.
+def training_table(df: DataFrame, id: str, shelf: Shelf | None = None) -> DataFrame:
+    """A table ready for the many small jobs of an iterative learner, on ``shelf`` if given.
 
     It is written to the shared folder once, so that every iteration ships a short
     plan, and spread over the cores where that pays: a small input read as one
     file would train on a single core, a large one is not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    kept = cut_lineage(df)
+    keep = shelf.keep if shelf else cut_lineage
+    kept = keep(df)
     have = kept.rdd.getNumPartitions()
     wanted = max(1, min(cores, math.ceil(kept.count() / ROWS_PER_TASK)))
     if have < wanted:
-        return cut_lineage(kept.repartition(wanted, id))
+        return keep(kept.repartition(wanted, id))
     # many near-empty partitions; a large table has more rows than that in each
     return kept.coalesce(wanted) if wanted < cores and have > wanted else kept
 
@@ -335,8 +336,9 @@ def fit_flow(
     """
     encoder = FeatureEncoder(spec, **dict(encoder_options or {})).fit(train)
     keep = [spec.id, spec.label, *([weight] if weight else [])]
-    ready = training_table(encoder.assemble(train, keep), spec.id)
-    model = classifier.fit(ready, label=spec.label, weight=weight, id=spec.id)
+    with Shelf(train.sparkSession, "fit") as shelf:
+        ready = training_table(encoder.assemble(train, keep), spec.id, shelf)
+        model = classifier.fit(ready, label=spec.label, weight=weight, id=spec.id)
     return FittedFlow(encoder, model)
 
 
@@ -372,34 +374,66 @@ def _value(scored: DataFrame, scorer: Scorer | str, threshold: str = "half") ->
 
 
 def _run_trials(
-    trial: Callable[[dict], float],
+    trial: Callable[[dict], tuple[float, object]],
     space: Mapping,
     n_trials: int | None,
     timeout: float | None,
     seed: int,
     parallelism: int,
-) -> list[tuple[dict, float]]:
-    """Draw all points from one seed and run them as concurrent Spark jobs."""
+) -> tuple[list[tuple[dict, float]], int, object]:
+    """All trials, the place of the best one (the first of equals) and what it made.
+
+    Points are drawn from one seed in one order. ``parallelism`` trials run as
+    concurrent Spark jobs, a new one as soon as one ends; the model of a trial is
+    dropped once a better one is known.
+    """
     if n_trials is None and timeout is None:
         n_trials = 100
     rng = random.Random(seed)
     started = time.monotonic()
-    results: list[tuple[dict, float]] = []
+    points: list[dict] = []
+    values: dict[int, float] = {}
+    best, made = None, None
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        while n_trials is None or len(results) < n_trials:
-            if timeout is not None and time.monotonic() - started > timeout and results:
+        running: dict = {}
+        while True:
+            while len(running) < max(1, parallelism):
+                if n_trials is not None and len(points) >= n_trials:
+                    break
+                if timeout is not None and points and time.monotonic() - started > timeout:
+                    break
+                points.append(draw(space, rng))
+                running[pool.submit(trial, points[-1])] = len(points) - 1
+            if not running:
                 break
-            size = max(1, parallelism)
-            if n_trials is not None:
-                size = min(size, n_trials - len(results))
-            points = [draw(space, rng) for _ in range(size)]
-            results += list(zip(points, pool.map(trial, points)))
-    return results
+            for done in wait(running, return_when=FIRST_COMPLETED).done:
+                i = running.pop(done)
+                values[i], model = done.result()
+                if best is None or (values[i], -i) > (values[best], -best):
+                    best, made = i, model
+    return [(p, values[i]) for i, p in enumerate(points)], best, made
 
 
-def _pick(trials: list[tuple[dict, float]]) -> tuple[dict, float]:
-    best = max(range(len(trials)), key=lambda i: (trials[i][1], -i))
-    return trials[best]
+def _search_encoded(
+    kind, space, train, valid, spec, n_trials, timeout, seed, parallelism, scorer, weight,
+    encoder_options, threshold,
+) -> SearchResult:
+    """Trials on rows encoded once; the best trial's model is the result's."""
+    space = suggest_space(kind) if space == "suggest" else space
+    encoder = FeatureEncoder(spec, **dict(encoder_options or {})).fit(train)
+    keep = [spec.id, spec.label, *([spec.sensitive] if spec.sensitive else [])]
+    extra = [weight] if weight else []
+    with Shelf(train.sparkSession, "search") as shelf:
+        fitted = training_table(encoder.assemble(train, [*keep, *extra]), spec.id, shelf)
+        checked = training_table(encoder.assemble(valid, keep), spec.id, shelf)
+
+        def trial(params: dict) -> tuple[float, object]:
+            model = Classifier(kind, params, seed).fit(fitted, label=spec.label, weight=weight, id=spec.id)
+            scored = score_rows(model, checked).drop("features")
+            return _value(_named(scored, spec), scorer, threshold), model
+
+        trials, best, model = _run_trials(trial, space, n_trials, timeout, seed, parallelism)
+    return SearchResult(*trials[best], trials, FittedFlow(encoder, model))
 
 
 def search_holdout(
@@ -416,20 +450,15 @@ def search_holdout(
     weight: str | None = None,
     encoder_options: Mapping | None = None,
 ) -> SearchResult:
-    """Each trial fits encoder and classifier on ``train`` and is scored on
-    ``valid``; the best one is refitted with the same seed and weights."""
-    space = suggest_space(kind) if space == "suggest" else space
-    keep = [spec.id, spec.label, *([spec.sensitive] if spec.sensitive else [])]
-
-    def trial(params: dict) -> float:
-        flow = fit_flow(train, spec, Classifier(kind, params, seed), weight, encoder_options)
-        scored = flow.score(valid, keep)
-        return _value(_named(scored, spec), scorer)
+    """Each trial is fitted on ``train`` and scored on ``valid``.
 
-    trials = _run_trials(trial, space, n_trials, timeout, seed, parallelism)
-    params, value = _pick(trials)
-    flow = fit_flow(train, spec, Classifier(kind, params, seed), weight, encoder_options)
-    return SearchResult(params, value, trials, flow)
+    What the encoder learns depends on no trial, so it is fitted once. A custom
+    scorer sees ``pred`` cut at one half.
+    """
+    return _search_encoded(
+        kind, space, train, valid, spec, n_trials, timeout, seed, parallelism, scorer, weight,
+        encoder_options, "half",
+    )
 
 
 def search_folds(
@@ -446,40 +475,41 @@ def search_folds(
     weight: str | None = None,
     encoder_options: Mapping | None = None,
 ) -> SearchResult:
-    """Mean score over stratified folds; the encoder is refitted per fold."""
+    """Mean score over stratified folds, each encoded by what the others taught.
+
+    The raw rows are stored once with their fold, and the encoders come from counts
+    per fold (:class:`FoldedFit`). Learners keep their own copy of what they read, so
+    a fit encodes its rows as it reads them.
+    """
     if weight is not None:
         raise ValueError("row weights need a validation set; use search_holdout")
     space = suggest_space(kind) if space == "suggest" else space
-    dealt = cut_lineage(stratified_folds(train, spec.id, spec.label, folds, seed))
     keep = [spec.id, spec.label, *([spec.sensitive] if spec.sensitive else [])]
-
-    def encoded_fold(i: int) -> tuple[DataFrame, DataFrame]:
-        """Fold ``i`` held out, both sides encoded by what the others taught."""
-        inside, held = dealt.filter(F.col("fold") != i), dealt.filter(F.col("fold") == i)
-        encoder = FeatureEncoder(spec, **dict(encoder_options or {})).fit(inside)
-        return (
-            training_table(encoder.assemble(inside, keep), spec.id),
-            training_table(encoder.assemble(held, keep), spec.id),
+    used = list(dict.fromkeys([*keep, *spec.numeric, *spec.categorical]))
+    with Shelf(train.sparkSession, "folds") as shelf:
+        dealt = training_table(
+            stratified_folds(train.select(*used), spec.id, spec.label, folds, seed), spec.id, shelf
         )
+        learned = FoldedFit(FeatureEncoder(spec, **dict(encoder_options or {})), dealt, shelf)
+        # folds of a trial run side by side once trials do
+        with ThreadPoolExecutor(max_workers=folds if parallelism > 1 else 1) as pool:
+            encoders = list(pool.map(learned.without, [*range(folds), None]))
 
-    # folds of a trial run side by side once trials do
-    with ThreadPoolExecutor(max_workers=folds if parallelism > 1 else 1) as pool:
-        parts = list(pool.map(encoded_fold, range(folds)))
+            def fold_value(params: dict, i: int) -> float:
+                inside = encoders[i].assemble(dealt.filter(F.col("fold") != i), keep)
+                model = Classifier(kind, params, seed).fit(inside, label=spec.label, id=spec.id)
+                held = encoders[i].assemble(dealt.filter(F.col("fold") == i), keep)
+                return _value(_named(score_rows(model, held).drop("features"), spec), scorer)
 
-        def fold_value(params: dict, i: int) -> float:
-            inside, held = parts[i]
-            model = Classifier(kind, params, seed).fit(inside, label=spec.label, id=spec.id)
-            scored = score_rows(model, held).drop("features")
-            return _value(_named(scored, spec), scorer)
+            def trial(params: dict) -> tuple[float, object]:
+                values = list(pool.map(lambda i: fold_value(params, i), range(folds)))
+                return sum(values) / len(values), None
 
-        def trial(params: dict) -> float:
-            values = list(pool.map(lambda i: fold_value(params, i), range(folds)))
-            return sum(values) / len(values)
-
-        trials = _run_trials(trial, space, n_trials, timeout, seed, parallelism)
-    params, value = _pick(trials)
-    flow = fit_flow(train, spec, Classifier(kind, params, seed), None, encoder_options)
-    return SearchResult(params, value, trials, flow)
+            trials, best, _ = _run_trials(trial, space, n_trials, timeout, seed, parallelism)
+        params, value = trials[best]
+        ready = training_table(encoders[-1].assemble(dealt, keep), spec.id, shelf)
+        model = Classifier(kind, params, seed).fit(ready, label=spec.label, id=spec.id)
+    return SearchResult(params, value, trials, FittedFlow(encoders[-1], model))
 
 
 def search_fast(
@@ -496,30 +526,12 @@ def search_fast(
     weight: str | None = None,
     encoder_options: Mapping | None = None,
 ) -> SearchResult:
-    """Encode once, then fit only the classifier per trial.
-
-    A custom scorer sees ``pred`` cut at the trial's own KS threshold.
-    """
-    space = suggest_space(kind) if space == "suggest" else space
-    encoder = FeatureEncoder(spec, **dict(encoder_options or {})).fit(train)
-    keep = [spec.id, spec.label, *([spec.sensitive] if spec.sensitive else [])]
-    extra = [weight] if weight else []
-    fitted = training_table(encoder.assemble(train, [*keep, *extra]), spec.id)
-    checked = training_table(encoder.assemble(valid, keep), spec.id)
-
-    def trial(params: dict) -> float:
-        model = Classifier(kind, params, seed).fit(
-            fitted, label=spec.label, weight=weight, id=spec.id
-        )
-        scored = score_rows(model, checked).drop("features")
-        return _value(_named(scored, spec), scorer, threshold="ks")
-
-    trials = _run_trials(trial, space, n_trials, timeout, seed, parallelism)
-    params, value = _pick(trials)
-    model = Classifier(kind, params, seed).fit(
-        fitted, label=spec.label, weight=weight, id=spec.id
-    )
-    return SearchResult(params, value, trials, FittedFlow(encoder, model))
+    """As :func:`search_holdout`, but a custom scorer sees ``pred`` cut at the trial's
+    own KS threshold."""
+    return _search_encoded(
+        kind, space, train, valid, spec, n_trials, timeout, seed, parallelism, scorer, weight,
+        encoder_options, "ks",
+    )
 
 
 def _named(scored: DataFrame, spec: FeatureSpec) -> DataFrame:

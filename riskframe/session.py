@@ -38,6 +38,27 @@ def drop_table(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Shelf:
+    """Tables written in passing under the shared folder and deleted together."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.paths = spark, label, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read again: its lineage ends in files that outlive executors."""
+        path = scratch_path(self.spark, self.label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> "Shelf":
+        return self
+
+    def __exit__(self, *_) -> None:
+        while self.paths:
+            drop_table(self.spark, self.paths.pop())
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, unlike a local one."""
     spark = df.sparkSession

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskframe.functions.spec import FeatureSpec
 from riskframe.operators import learn, measure, prep
 from riskframe.plans.learning import FAIR_SPEC, SMALL_LOGISTIC
+from riskframe.session import Shelf
 
 SPEC = FAIR_SPEC
 KEEP = ["app_id", "y"]
@@ -127,6 +128,43 @@ def test_search_over_folds_and_with_a_time_limit(parts):
     assert len(short.trials) == 1
 
 
+def test_folded_encoders_equal_fits_per_fold(spark, apps):
+    odd = apps.withColumns({
+        "amount": F.when(F.col("app_id") % 7 == 0, None).otherwise(F.col("amount")),
+        "balance": F.when(F.col("app_id") % 11 == 0, float("nan")).otherwise(F.col("balance")),
+        "segment": F.when(F.col("app_id") % 5 == 0, None).otherwise(F.col("segment")),
+        "y": F.when(F.col("app_id") % 13 == 0, -1).otherwise(F.col("y")),
+    })
+    spec = FeatureSpec("app_id", "y", None, ("amount", "balance"), ("segment", "nation", "kind"))
+    odd = odd.withColumn("kind", F.when(F.col("z") == 1, "p").otherwise("o"))
+    dealt = prep.stratified_folds(odd, "app_id", "y", 3, seed=1).cache()
+    encoder = learn.FeatureEncoder(spec)
+    with Shelf(spark, "test") as shelf:
+        folded = learn.FoldedFit(encoder, dealt, shelf)
+        for number in (0, 1, 2, None):
+            part = dealt if number is None else dealt.filter(F.col("fold") != number)
+            want, got = encoder.fit(part), folded.without(number)
+            assert (got.state.levels, got.state.modes, got.state.target) == (
+                want.state.levels, want.state.modes, want.state.target)
+            assert got.state.overall == pytest.approx(want.state.overall, rel=1e-12)
+            for name in ("means", "scales"):
+                assert getattr(got.state, name) == pytest.approx(getattr(want.state, name), rel=1e-12)
+            rows = [{r["app_id"]: r["features"] for r in m.assemble(dealt, ["app_id"]).collect()} for m in (want, got)]
+            assert rows[0].keys() == rows[1].keys()
+            assert all(rows[1][k].toArray() == pytest.approx(v.toArray(), abs=1e-9) for k, v in rows[0].items())
+        assert shelf.paths
+    assert not shelf.paths
+
+
+def test_trials_start_as_others_end_and_keep_the_best():
+    space = {"v": {"type": "float", "low": 0.0, "high": 1.0}}
+    for parallelism in (1, 4):
+        trials, best, made = learn._run_trials(
+            lambda p: (round(p["v"], 1), p["v"]), space, 30, None, 3, parallelism)
+        assert len(trials) == 30 and best == max(range(30), key=lambda i: (trials[i][1], -i))
+        assert made == trials[best][0]["v"]
+
+
 def test_custom_scorer_sees_labels_at_the_ks_cutoff(parts):
     train, valid = parts
     seen = []
