@@ -58,6 +58,10 @@ class ModelScorer:
     model: object
     features: Sequence[str]
 
+    def ready(self, df: DataFrame, replaced: Sequence[str]) -> tuple[DataFrame, object, list[str]]:
+        """Rows, model and the number columns that the model reads, ``replaced`` among them."""
+        return df, self.model, list(self.features)
+
     def score(self, df: DataFrame, out: str = "score") -> DataFrame:
         vector = f"__vec_{out}"
         assembled = VectorAssembler(inputCols=list(self.features), outputCol=vector)

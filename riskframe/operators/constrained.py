@@ -39,6 +39,10 @@ class ConstrainedBoosting:
         scored = self.margin(df, features, "__margin")
         return scored.withColumn(out, _chance(F.col("__margin"))).drop("__margin")
 
+    def score_vector(self, df: DataFrame, vector: str, out: str = "score") -> DataFrame:
+        """Like ``score``, as a scorer of any feature columns asks for it."""
+        return self.score(df, vector, out)
+
 
 def _predicted(tree, df: DataFrame, features: str, out: str) -> DataFrame:
     return tree.copy({tree.featuresCol: features, tree.predictionCol: out}).transform(df)

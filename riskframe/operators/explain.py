@@ -16,12 +16,14 @@ from functools import partial
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from riskframe.functions.ordering import exact_quantiles, feature_quantiles
 from riskframe.functions.scorecard import Scorecard
 from riskframe.operators.prep import hash_sample
+from riskframe.operators.trees import TREE_MODELS, tree_on_points
 
 MAX_BACKGROUND = 10_000
 
@@ -66,18 +68,18 @@ def feature_grid(
 
 
 def _on_grid(df: DataFrame, scorer, overrides: Sequence[Mapping[str, float]]) -> DataFrame:
-    """Mean score per point as (point, average)."""
-    if isinstance(scorer, Scorecard) and len(overrides) <= 64:
-        cells = [
-            F.avg(scorer.expr({f: F.lit(float(v)) for f, v in point.items()})).alias(f"a{i}")
-            for i, point in enumerate(overrides)
-        ]
-        wide = df.agg(*cells)
-        pairs = [
-            F.struct(F.lit(i).alias("point"), F.col(f"a{i}").alias("average"))
-            for i in range(len(overrides))
-        ]
-        return wide.select(F.explode(F.array(*pairs)).alias("e")).select("e.point", "e.average")
+    """Mean score per point as (point, average).
+
+    Of a scorecard or a tree model no row is copied: a task adds up its rows' scores
+    at every point. Any other model scores each row once per point.
+    """
+    if isinstance(scorer, Scorecard):
+        return _summed(df, scorer.features, _card_on_points(scorer, overrides))
+    rows, model, names = scorer.ready(df, list(overrides[0]))
+    if isinstance(model, LogisticRegressionModel) and model.numClasses == 2:
+        return _summed(rows, names, _card_on_points(Scorecard.from_logistic(model, names), overrides))
+    if isinstance(model, TREE_MODELS):
+        return _summed(rows, names, tree_on_points(model, names, overrides))
     points = F.array(
         *[
             F.struct(
@@ -95,6 +97,49 @@ def _on_grid(df: DataFrame, scorer, overrides: Sequence[Mapping[str, float]]) ->
     )
 
 
+def _card_on_points(card: Scorecard, overrides: Sequence[Mapping[str, float]]):
+    """A function from rows to their scores at every point, as a matrix."""
+    names, fixed = card.features, set(overrides[0])
+    moved = np.array([sum(card.weights[f] * float(v) for f, v in p.items()) for p in overrides])
+    own = np.array([0.0 if f in fixed else card.weights[f] for f in names])
+    kept = own != 0.0
+    start = card.intercept
+
+    def scores(x: np.ndarray) -> np.ndarray:
+        rest = start + x[:, kept] @ own[kept]
+        return 1.0 / (1.0 + np.exp(-(rest[:, None] + moved[None, :])))
+
+    return scores
+
+
+def _summed(df: DataFrame, features: Sequence[str], scores) -> DataFrame:
+    """(point, average) from a function that gives a block of rows' scores at every point.
+
+    A batch leaves one sum and one count per point. A row whose score is not a number
+    counts nowhere, as in an average that skips nulls.
+    """
+    names = list(features)
+
+    def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = batch[names].to_numpy(dtype=float)
+            for i in range(0, len(x), 1024):
+                found = scores(x[i : i + 1024])
+                known = ~np.isnan(found)
+                yield pd.DataFrame(
+                    {
+                        "point": np.arange(found.shape[1], dtype=np.int32),
+                        "total": np.where(known, found, 0.0).sum(axis=0),
+                        "n": known.sum(axis=0).astype(np.int64),
+                    }
+                )
+
+    plain = df.select(*[F.col(f).cast("double").alias(f) for f in names])
+    sums = plain.mapInPandas(add_up, "point int, total double, n long")
+    whole = sums.groupBy("point").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return whole.select("point", F.try_divide("total", "n").alias("average"))
+
+
 def partial_dependence(
     df: DataFrame,
     scorer,
@@ -474,30 +519,52 @@ def _target(score: np.ndarray, method: str, threshold: float) -> np.ndarray:
 
 
 def _ridge_rows(rows, features, stats, categorical, points, answers, to_target, width, ridge):
-    """Intercept and coefficients of every row of a batch."""
-    n, d = len(rows), len(features)
-    x = np.broadcast_to(points, (n, *points.shape)).copy()
-    own = np.empty((n, d))
+    """Intercept and coefficients of every row of a batch.
+
+    Rows of equal category codes see the same points, so their weighted moments are
+    one product: kernel weights (rows x points) times the points' outer products.
+    """
+    own = np.empty((len(rows), len(features)))
     for j, f in enumerate(features):
         value = rows[f].to_numpy(dtype=float)
         if f in categorical:
-            x[:, :, j] = points[None, :, j] == value[:, None]
-            own[:, j] = 1.0
+            own[:, j] = value
         else:
             mean, spread = stats[f]
             own[:, j] = (value - mean) / spread
-    x = np.concatenate([own[:, None, :], x], axis=1)
     here = to_target(rows["__score"].to_numpy(dtype=float))
-    y = np.concatenate([here[:, None], np.broadcast_to(answers, (n, len(answers)))], axis=1)
-    gap = x - own[:, None, :]
-    weight = np.sqrt(np.exp(-(gap * gap).sum(axis=2) / width**2))
-    total = weight.sum(axis=1)
-    x_mean = np.einsum("nm,nmd->nd", weight, x) / total[:, None]
-    y_mean = (weight * y).sum(axis=1) / total
-    centred = x - x_mean[:, None, :]
-    weighted = centred * weight[:, :, None]
-    gram = np.einsum("nmd,nme->nde", weighted, centred) + ridge * np.eye(d)
-    moment = np.einsum("nmd,nm->nd", weighted, y - y_mean[:, None])
+    coded = [j for j, f in enumerate(features) if f in categorical]
+    if not coded:
+        return _shared_design(own, here, points, answers, width, ridge)
+    codes, group = np.unique(own[:, coded], axis=0, return_inverse=True)
+    out = np.empty((len(rows), len(features) + 1))
+    own[:, coded] = 1.0
+    for g, code in enumerate(codes):
+        x = points.copy()
+        x[:, coded] = points[:, coded] == code
+        member = np.ravel(group) == g
+        out[member] = _shared_design(own[member], here[member], x, answers, width, ridge)
+    return out
+
+
+def _shared_design(own, here, x, answers, width, ridge):
+    """Ridge fits around the rows of ``own``, each on the points ``x`` and itself."""
+    d = x.shape[1]
+    upper = np.triu_indices(d)
+
+    def moments(x, y):
+        return np.column_stack([np.ones(len(x)), x, y, y[:, None] * x, x[:, upper[0]] * x[:, upper[1]]])
+
+    gap = (own * own).sum(axis=1)[:, None] - 2.0 * own @ x.T + (x * x).sum(axis=1)[None, :]
+    weight = np.exp(-np.maximum(gap, 0.0) / (2.0 * width**2))
+    # a row weighs its own point with 1
+    total = weight @ moments(x, answers) + moments(own, here)
+    n, sum_x, sum_y = total[:, 0], total[:, 1 : d + 1], total[:, d + 1]
+    x_mean, y_mean = sum_x / n[:, None], sum_y / n
+    moment = total[:, d + 2 : 2 * d + 2] - sum_x * y_mean[:, None]
+    gram = np.empty((len(own), d, d))
+    gram[:, upper[0], upper[1]] = total[:, 2 * d + 2 :]
+    gram[:, upper[1], upper[0]] = total[:, 2 * d + 2 :]
+    gram += ridge * np.eye(d) - sum_x[:, :, None] * x_mean[:, None, :]
     beta = np.linalg.solve(gram, moment[:, :, None])[:, :, 0]
-    intercept = y_mean - (beta * x_mean).sum(axis=1)
-    return np.column_stack([intercept, beta])
+    return np.column_stack([y_mean - (beta * x_mean).sum(axis=1), beta])

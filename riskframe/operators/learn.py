@@ -296,6 +296,18 @@ class FlowScorer:
         scale = None if self.scaled else False
         return self.flow.encoder.encode(df, keep, scale=scale, onehot=False)
 
+    def ready(self, df: DataFrame, replaced: Sequence[str]) -> tuple[DataFrame, object, list[str]]:
+        """Rows, model and the number columns that the model reads, ``replaced`` among them.
+
+        The model is None where a replaced feature is not one of those columns as it
+        stands: spread over several, scaled on the way, or beside a sparse one.
+        """
+        encoder = self.flow.encoder
+        names = list(encoder.output_names)
+        if not self.scaled or encoder.state.wide or not set(replaced) <= set(names):
+            return df, None, []
+        return encoder.finish(df, True), self.flow.model, names
+
     def score(self, df: DataFrame, out: str = "score") -> DataFrame:
         encoder = self.flow.encoder
         # the plain columns come back unchanged next to the score

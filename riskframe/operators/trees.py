@@ -20,6 +20,11 @@ from riskframe.operators.constrained import ConstrainedBoosting
 TABLED = 10
 
 
+TREE_MODELS = (
+    DecisionTreeClassificationModel, GBTClassificationModel, RandomForestClassificationModel, ConstrainedBoosting,
+)
+
+
 @dataclass
 class Box:
     """A leaf: its value and, per feature on its path, the interval (low, high] it asks for."""
@@ -157,3 +162,39 @@ def tree_effects(
 
     schema = StructType([df.schema[id], *[StructField(n, DoubleType()) for n in names]])
     return df.select(id, *names).mapInPandas(explain, schema)
+
+
+def tree_on_points(model, features: Sequence[str], overrides: Sequence[Mapping[str, float]]):
+    """A function from rows to P(y=1) at every point, some features replaced by the point's values.
+
+    A row reaches a leaf box by its other features, a point by the replaced ones. Points
+    that lie in the same boxes share one column, so rows are multiplied with the distinct
+    patterns of points, however fine the grid. NaN goes to the right, as in the trees.
+    """
+    base, boxes, link = boxes_of(model)
+    place = {f: j for j, f in enumerate(features)}
+    at = np.full((len(overrides), len(place)), np.nan)
+    for i, point in enumerate(overrides):
+        for f, v in point.items():
+            at[i, place[f]] = float(v)
+    replaced = {place[f] for f in overrides[0]}
+
+    def side(box: Box, mine: bool) -> Box:
+        return Box(box.value, {j: span for j, span in box.sides.items() if (j in replaced) == mine})
+
+    def inside(parts: list[Box], x: np.ndarray) -> np.ndarray:
+        hits = [part.holds(x) == (1 << len(part.sides)) - 1 for part in parts]
+        return np.array(hits, bool).reshape(len(parts), len(x))
+
+    values = np.array([box.value for box in boxes])
+    patterns, which = np.unique(inside([side(b, True) for b in boxes], at).T, axis=0, return_inverse=True)
+    worth = (patterns * values).T  # boxes x patterns
+    which = np.ravel(which)
+    rest = [side(b, False) for b in boxes]
+
+    def scores(x: np.ndarray) -> np.ndarray:
+        summed = base + inside(rest, x).T.astype(float) @ worth
+        chance = summed if link is None else 1.0 / (1.0 + np.exp(-link * summed))
+        return chance[:, which]
+
+    return scores

@@ -13,7 +13,7 @@ from riskframe.operators.explain import LocalSurrogate
 from riskframe.operators.features import numeric_stats
 from riskframe.plans.fixtures import CARD, CARD_Z, applications, rounded, with_applications
 
-BACKGROUND = 20
+BACKGROUND = 100
 SEED = 5
 STEP = 0.05
 #: Mean scaled distance between two counterfactuals of a row, at least.
@@ -36,16 +36,11 @@ def g01_levels(spark, sf_dir):
 
 
 def g02(spark, sf_dir):
-    table = explain.partial_dependence(
-        _apps(spark, sf_dir), CARD, ["amount", "balance"], resolution=10
-    )
-    return rounded(table)
+    return rounded(explain.partial_dependence(_apps(spark, sf_dir), CARD, ["amount", "balance"]))
 
 
 def g03(spark, sf_dir):
-    curves = explain.individual_curves(
-        _apps(spark, sf_dir), CARD, "app_id", "amount", resolution=10, rebase=True
-    )
+    curves = explain.individual_curves(_apps(spark, sf_dir), CARD, "app_id", "amount", rebase=True)
     return rounded(curves)
 
 
@@ -95,7 +90,7 @@ def g07(spark, sf_dir):
 
 def surrogate(apps: DataFrame) -> LocalSurrogate:
     stats = numeric_stats(apps, CARD.features)
-    return LocalSurrogate(CARD, stats, n_samples=64, seed=SEED)
+    return LocalSurrogate(CARD, stats, n_samples=1000, seed=SEED)
 
 
 def g08(spark, sf_dir):
@@ -244,7 +239,7 @@ EFFECT_COLUMNS = (
 def _surrogate_sql() -> str:
     """Two-feature weighted ridge regression, solved by Cramer's rule."""
     points = LocalSurrogate(
-        CARD, {f: (0.0, 1.0) for f in CARD.features}, n_samples=64, seed=SEED
+        CARD, {f: (0.0, 1.0) for f in CARD.features}, n_samples=1000, seed=SEED
     ).points
     values = ", ".join(f"({i}, CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE))"
                        for i, (a, b) in enumerate(points.tolist()))
@@ -401,8 +396,8 @@ FROM applications, (SELECT DISTINCT z AS g FROM applications) levels GROUP BY g"
     "g02_two_feature_dependence": (
         g02,
         with_applications(
-            _grid_sql("amount", 10),
-            _grid_sql("balance", 10),
+            _grid_sql("amount", 20),
+            _grid_sql("balance", 20),
             select=f"""SELECT round(a.g, 6) AS amount, round(b.g, 6) + 0.0 AS balance,
   round(avg({CARD.sql({"amount": "a.g", "balance": "b.g"})}), 6) AS average
 FROM applications, grid_amount a, grid_balance b GROUP BY a.g, b.g""",
@@ -411,7 +406,7 @@ FROM applications, grid_amount a, grid_balance b GROUP BY a.g, b.g""",
     "g03_individual_curves": (
         g03,
         with_applications(
-            _grid_sql("amount", 10),
+            _grid_sql("amount", 20),
             select=f"""SELECT app_id, round(p.g, 6) AS value,
   round({CARD.sql({"amount": "p.g"})} - {CARD.sql({"amount": "s.g"})}, 6) + 0.0 AS score
 FROM applications, grid_amount p, grid_amount s WHERE s.k = 0""",

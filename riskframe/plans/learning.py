@@ -260,9 +260,7 @@ def g08_model(spark, sf_dir):
     codes = [*encoder.state.onehot, *encoder.state.target]
     background = explain.background_rows(plain, scorer, "app_id", 100, seed=3)
     stats = numeric_stats(plain, encoder.state.numeric)
-    local = explain.LocalSurrogate(
-        scorer, stats, background, categorical=codes, n_samples=200, seed=3
-    )
+    local = explain.LocalSurrogate(scorer, stats, background, categorical=codes, seed=3)
     return rounded(local.explain(plain, "app_id"), digits=4)
 
 

@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from riskframe.functions.scorecard import ModelScorer
+from riskframe.functions.spec import FeatureSpec
 from riskframe.operators import constrained, explain, fair, learn, trees
 
 NAMES = ["a", "b", "c"]
@@ -143,3 +144,54 @@ def test_violations():
     gaps, over = constrained.error_gaps(rates, {"fpr", "fnr"}, 0.05)
     assert gaps == {"fpr": pytest.approx(0.2), "fnr": 0.0}
     assert over == {(0, 0): pytest.approx(-0.05), (1, 0): pytest.approx(0.15), (1, 1): pytest.approx(-0.05)}
+
+
+def test_dependence_of_tree_models_equals_brute_force(df, monkeypatch):
+    """20 x 20 points and one feature, without a copy of any row."""
+    grids = {"a": np.linspace(-2, 2, 20).tolist(), "b": np.linspace(-1.5, 1.5, 20).tolist()}
+    x = np.array(df.select(*NAMES).collect(), float)
+    for model, _ in models(df):
+        scorer = ModelScorer(model, NAMES)
+        monkeypatch.setattr(ModelScorer, "score", None)  # not asked
+        base, boxes, link = trees.boxes_of(model)
+
+        def chance(rows):
+            total = base + sum(b.value * (b.holds(rows) == (1 << len(b.sides)) - 1) for b in boxes)
+            return total if link is None else 1 / (1 + np.exp(-link * total))
+
+        got = {(r["a"], r["b"]): r["average"] for r in explain.partial_dependence(df, scorer, ["a", "b"], grids).collect()}
+        assert len(got) == 400
+        for (a, b), average in got.items():
+            moved = x.copy()
+            moved[:, 0], moved[:, 1] = a, b
+            assert average == pytest.approx(chance(moved).mean(), abs=1e-12)
+        monkeypatch.undo()
+        at = float(x[7, 2])
+        fixed = scorer.score(df.select("a", "b", F.lit(at).alias("c"))).agg(F.avg("score")).first()[0]
+        one = explain.partial_dependence(df, scorer, ["c"], {"c": [at, 9.0]}).collect()
+        assert {r["c"]: r["average"] for r in one}[at] == pytest.approx(fixed, abs=1e-12)
+
+
+def test_dependence_of_flows_and_logistic_models(df):
+    spec = FeatureSpec("id", "y", None, ("a", "b"), ("c",))
+    marked = df.withColumn("c", F.concat(F.lit("k"), F.col("c").cast("int")))
+    for kind, params in (("forest", {"n_estimators": 4, "max_depth": 3}), ("logistic", {"C": 1.0})):
+        scorer = learn.FlowScorer(learn.fit_flow(marked, spec, learn.Classifier(kind, params)))
+        plain = scorer.encode(marked)
+        points = explain.partial_dependence(plain, scorer, ["a"], {"a": [-0.5, 0.25, 1.0]}).collect()
+        assert len(points) == 3
+        for r in points:
+            moved = scorer.score(plain.withColumn("a", F.lit(r["a"])))
+            assert r["average"] == pytest.approx(moved.agg(F.avg("score")).first()[0], abs=1e-9)
+        codes = explain.partial_dependence(plain, scorer, ["c"], {"c": [0.0, 1.0]}).collect()
+        assert len(codes) == 2
+
+
+def test_dependence_of_odd_rows(spark, df):
+    """Rows with a missing feature count for no point; without rows the averages are null."""
+    card = explain.Scorecard(0.5, {"a": 1.0, "b": -2.0})
+    odd = spark.createDataFrame([(1.0, 2.0), (None, 2.0), (3.0, None)], "a double, b double")
+    got = {r["a"]: r["average"] for r in explain.partial_dependence(odd, card, ["a"], {"a": [0.0, 1.0]}).collect()}
+    assert got == {v: pytest.approx(1 / (1 + math.exp(-(0.5 + v - 4.0)))) for v in (0.0, 1.0)}
+    none = explain.partial_dependence(odd.limit(0), card, ["a"], {"a": [0.0, 1.0]}).collect()
+    assert none == []
