@@ -48,7 +48,7 @@ def op4_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_spans.secret_spans(read(spark, sf_dir, "documents"))
+    return secret_spans.secret_spans(read(spark, sf_dir, "documents"), vocabulary=tokenizer_path())
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

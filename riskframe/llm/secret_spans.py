@@ -10,7 +10,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 
 from riskframe.llm.common import map_texts
-from riskframe.llm.guesses import log_guesses
+from riskframe.llm.guesses import COMMON, Ranks, log_guesses, with_vocabulary
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(
@@ -48,7 +48,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def guessed_spans(text: str, base: list[tuple[int, int, int]], costly: float = COSTLY) -> list[tuple[int, int, int]]:
+def guessed_spans(
+    text: str, base: list[tuple[int, int, int]], costly: float = COSTLY, ranks: Ranks = COMMON
+) -> list[tuple[int, int, int]]:
     """Values in a credential context that cost at least ``10 ** costly`` guesses and lie whole in no base span."""
     lowered = text.lower()
     if not any(word in lowered for word in CONTEXT_WORDS):
@@ -63,7 +65,7 @@ def guessed_spans(text: str, base: list[tuple[int, int, int]], costly: float = C
         before = bisect(taken, (start, len(text)))
         whole = before > 0 and reach[before - 1] >= end
         if end - start >= 6 and not whole:
-            if log_guesses(text[start:end]) >= costly:
+            if log_guesses(text[start:end], ranks) >= costly:
                 found.append((start, 3, end))
     return found
 
@@ -73,9 +75,14 @@ def written(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{kinds[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
 
-def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", costly: float = COSTLY) -> DataFrame:
+def secret_spans(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", costly: float = COSTLY, vocabulary: str | None = None
+) -> DataFrame:
     """Secrets of each whole text, one row per document.
 
+    ``vocabulary`` is the path of a byte-level BPE file whose words join the fixed
+    ones, ranked by their ids; every executor reads it at that path.
+
     Returns the key, n_assign, n_access, n_hex, base_sha256 (of the base spans as
     text) and spans (base and guess-cost spans). Positions are code points, ends
     exclusive. Null and empty texts have no spans: zeros, the digest of the empty
@@ -84,6 +91,8 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", costl
     """
 
     def make():
+        ranks = with_vocabulary(vocabulary) if vocabulary else COMMON
+
         def kernel(texts: list) -> tuple:
             out = []
             for value in texts:
@@ -91,7 +100,7 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", costl
                 base = base_spans(value)
                 count = [sum(kind == k for _, kind, _ in base) for k in range(3)]
                 digest = hashlib.sha256(written(base, KINDS).encode()).hexdigest()
-                out.append((*count, digest, written(base + guessed_spans(value, base, costly), KINDS)))
+                out.append((*count, digest, written(base + guessed_spans(value, base, costly, ranks), KINDS)))
             return None, list(zip(*out))
 
         return kernel
