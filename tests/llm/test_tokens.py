@@ -77,3 +77,52 @@ def test_plan_uses_few_bins_and_places_every_rank():
         assert all(a[1] == b[0] for a, b in zip(ranks, ranks[1:]))
     used = max(start + n for runs in placed.values() for _, n, start, _ in runs)
     assert used <= 1.01 * sum(k * v for k, v in counts.items()) / 128 + 1
+
+
+def plain_bins(pieces, capacity):
+    """Longest first, one by one: the gap that leaves the smallest sum of squares, a bin only where none has room."""
+    gaps, used = Counter(), 0
+    for length in sorted(pieces, reverse=True):
+        def after(gap):
+            moved = gaps.copy()
+            moved[gap] -= 1
+            if gap > length:
+                moved[gap - length] += 1
+            return sum(n * n for n in moved.values()) - sum(n * n for n in gaps.values())
+
+        fits = [g for g, n in gaps.items() if n > 0 and g >= length]
+        if not fits:
+            used += 1
+            gaps[capacity] += 1
+            fits = [capacity]
+        gap = min(sorted(fits), key=after)
+        gaps[gap] -= 1
+        if gap > length:
+            gaps[gap - length] += 1
+    return used
+
+
+def bins_of(counts, capacity):
+    placed = packing.plan(counts, capacity)
+    return max(start + n for runs in placed.values() for _, n, start, _ in runs)
+
+
+def test_plan_takes_as_many_bins_as_the_rule_piece_by_piece():
+    draw = random.Random(4)
+    adverse = Counter({70: 300, 50: 300, 30: 300})
+    thirds = Counter({69: 200, 68: 200, 102: 150, 35: 100})
+    mixed = Counter(draw.randint(1, 204) for _ in range(1500))
+    for counts in (adverse, thirds, mixed):
+        assert bins_of(counts, 204) <= 1.01 * plain_bins(list(counts.elements()), 204)
+    # steps do not grow with the counts, nor does the share of bins above the least possible
+    large = Counter({k: 1000 * n for k, n in mixed.items()})
+    assert bins_of(large, 204) <= 1001 * bins_of(mixed, 204)
+    assert sum(map(len, packing.plan(large, 204).values())) < 200_000
+
+
+def test_clashing_columns_of_encoding_and_packing(spark, library):
+    df = spark.createDataFrame([(1, "hello", 9, "x"), (2, None, 9, "x")], "doc_id long, text string, n_tokens int, sequence_id string")
+    got = {r["doc_id"]: r["n_tokens"] for r in bpe.round_trip(df, tokenizer_path()).collect()}
+    assert got == {1: len(library.encode("hello").ids), 2: 0}
+    packed = packing.pack_documents(df, tokenizer_path(), capacity=8).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in packed) == [(1, got[1] + 1), (2, 1)]
