@@ -202,6 +202,14 @@ def g05_boosting(spark, sf_dir):
     return rounded(trees.tree_effects(apps, model, ["large", "z"], "app_id", background, margin=True))
 
 
+def g01_boosting(spark, sf_dir):
+    """Dependence of a boosted tree's probability on one of two 0/1 features."""
+    apps = _sized(applications(spark, sf_dir)).withColumn("z", F.col("z").cast("double"))
+    ready = VectorAssembler(inputCols=["large", "z"], outputCol="features").transform(apps)
+    model = constrained.constrained_boosting(ready, rounds=1, max_depth=2, learning_rate=1.0)
+    return rounded(explain.partial_dependence(apps, ModelScorer(model, ["large", "z"]), ["large"]))
+
+
 def g05_forest(spark, sf_dir):
     """Shapley values of a fitted forest on encoded columns, 100 background rows."""
     train, _, everyone = _fair_parts(spark, sf_dir)
@@ -306,6 +314,25 @@ def e01_fit_one(spark, sf_dir):
     return _by_segment(flow.score(everyone, KEEP), everyone)
 
 
+def _mean_of_fit(scored: DataFrame) -> DataFrame:
+    """At the optimum, the weighted mean score of the fit rows is their weighted rate of label 1."""
+    weighed = [(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(out) for c, out in (("y", "rate"), ("score", "mean_score"))]
+    return rounded(scored.agg(F.count("*").alias("n"), *weighed), digits=5)
+
+
+def l01_mean(spark, sf_dir):
+    train, _, _ = _parts(spark, sf_dir)
+    flow = learn.fit_flow(train, SPEC, Classifier("logistic", EXACT))
+    return _mean_of_fit(flow.score(train, KEEP).withColumn("w", F.lit(1.0)))
+
+
+def e01_mean(spark, sf_dir):
+    train, _, _ = _fair_parts(spark, sf_dir)
+    weighed = fair.reweigh(train)
+    flow = learn.fit_flow(weighed, FAIR_SPEC, Classifier("logistic", EXACT), weight="w")
+    return _mean_of_fit(flow.score(weighed, [*KEEP, "w"]))
+
+
 def r00_fit_one(spark, sf_dir):
     """An accept model of one feature, fitted on all applications."""
     apps = applications(spark, sf_dir)
@@ -542,6 +569,25 @@ FROM sized JOIN effects USING (large, z)""",
 )
 
 
+TREE_DEPENDENCE_SQL = with_applications(
+    SIZED,
+    """margins AS (
+  SELECT large, z, any_value(ln(share / (1 - share)))
+    + (avg(CAST(y AS DOUBLE)) - any_value(share)) / any_value(share * (1 - share)) AS m
+  FROM sized, (SELECT avg(CAST(y AS DOUBLE)) AS share FROM sized) s GROUP BY large, z
+)""",
+    select="""SELECT CAST(large AS DOUBLE) AS large, round(sum(n / (1 + exp(-m))) / sum(n), 6) AS average
+FROM margins JOIN (SELECT z, count(*) AS n FROM sized GROUP BY z) c USING (z) GROUP BY large""",
+)
+
+
+def _mean_sql(rows: str, weight: str = "1.0") -> str:
+    rate = f"round(sum({weight} * y) / sum({weight}), 5)"
+    return with_applications(
+        GAPS, PARTS, select=f"SELECT count(*) AS n, {rate} AS rate, {rate} AS mean_score FROM ({rows}) r"
+    )
+
+
 VALID = "SELECT 0 AS fold, amount, y FROM parts WHERE part = 'valid'"
 FOLDS = f"""SELECT (row_number() OVER (PARTITION BY y
     ORDER BY {arithmetic_rank_sql('app_id', 1)}, app_id) - 1) % 3 AS fold, amount, y
@@ -571,6 +617,9 @@ QUERIES = {
     "l09_search_folds_one_feature": (l09_one, _search_sql(FOLDS)),
     "l10_search_fast_one_feature": (l10_one, _search_sql(VALID)),
     "e01_reweighed_fit_one_feature": (e01_fit_one, _logistic_sql(REWEIGHED, weight="w")),
+    "l01_logistic_mean_of_fit": (l01_mean, _mean_sql(TRAIN)),
+    "e01_reweighed_mean_of_fit": (e01_mean, _mean_sql(REWEIGHED, "w")),
+    "g01_partial_dependence_of_boosting": (g01_boosting, TREE_DEPENDENCE_SQL),
     "r00_fitted_accept_model_one_feature": (
         r00_fit_one,
         _logistic_sql(
