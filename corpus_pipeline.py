@@ -15,13 +15,19 @@ from riskframe.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents not predicted toxic. Each row is scored where it stands; a null id stays."""
+    """Documents not predicted toxic. Each row is scored where it stands; a null id stays.
+
+    Null and empty texts are scored as texts without words. Every stage makes no rows of none.
+    """
     model = toxicity.ToxicityModel(docs, read(spark, sf_dir, "labels"))
     return model.filter(docs)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail no base rule and whose posterior quality is at least one half."""
+    """Documents that fail no base rule and whose posterior quality is at least one half.
+
+    Null and empty texts fail; repeated rows are judged alike; a null id stays as it is.
+    """
     return quality.keep_good(docs)
 
 
@@ -34,7 +40,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind in brackets; n_chars is the new length."""
+    """Personal data replaced by its kind in brackets; n_chars is the new length.
+
+    Every row stays, null ids and repeats too; a null text stays null and keeps its n_chars.
+    """
     redact = personal.redactor(personal.fit_span_classifier(docs))
     out = docs.withColumn("text", redact("text"))
     if "n_chars" not in docs.columns:
@@ -43,7 +52,10 @@ def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all remaining documents with their places in sequences of 2048 tokens."""
+    """Pieces of all remaining documents with their places in sequences of 2048 tokens.
+
+    Null and empty texts are one piece of the end id; repeated rows are packed each.
+    """
     return packing.pack_documents(docs, tokenizer_path(), capacity=2048, end=0)
 
 
