@@ -521,50 +521,47 @@ def _target(score: np.ndarray, method: str, threshold: float) -> np.ndarray:
 def _ridge_rows(rows, features, stats, categorical, points, answers, to_target, width, ridge):
     """Intercept and coefficients of every row of a batch.
 
-    Rows of equal category codes see the same points, so their weighted moments are
-    one product: kernel weights (rows x points) times the points' outer products.
+    The weighted moments are products of kernel weights (rows x points) and the points'
+    outer products. A category column is 1 where a point has the row's code, so its
+    moments are the same products with the weights of those points alone.
     """
-    own = np.empty((len(rows), len(features)))
-    for j, f in enumerate(features):
-        value = rows[f].to_numpy(dtype=float)
-        if f in categorical:
-            own[:, j] = value
-        else:
-            mean, spread = stats[f]
-            own[:, j] = (value - mean) / spread
-    here = to_target(rows["__score"].to_numpy(dtype=float))
+    n, d = len(rows), len(features)
     coded = [j for j, f in enumerate(features) if f in categorical]
-    if not coded:
-        return _shared_design(own, here, points, answers, width, ridge)
-    codes, group = np.unique(own[:, coded], axis=0, return_inverse=True)
-    out = np.empty((len(rows), len(features) + 1))
-    own[:, coded] = 1.0
-    for g, code in enumerate(codes):
-        x = points.copy()
-        x[:, coded] = points[:, coded] == code
-        member = np.ravel(group) == g
-        out[member] = _shared_design(own[member], here[member], x, answers, width, ridge)
-    return out
-
-
-def _shared_design(own, here, x, answers, width, ridge):
-    """Ridge fits around the rows of ``own``, each on the points ``x`` and itself."""
-    d = x.shape[1]
-    upper = np.triu_indices(d)
-
-    def moments(x, y):
-        return np.column_stack([np.ones(len(x)), x, y, y[:, None] * x, x[:, upper[0]] * x[:, upper[1]]])
-
-    gap = (own * own).sum(axis=1)[:, None] - 2.0 * own @ x.T + (x * x).sum(axis=1)[None, :]
+    plain = [j for j in range(d) if j not in coded]
+    raw = rows[features].to_numpy(dtype=float)
+    mean, spread = (np.array([stats[features[j]][k] for j in plain]) for k in (0, 1))
+    own, drawn = (raw[:, plain] - mean) / spread, points[:, plain]
+    here = to_target(rows["__score"].to_numpy(dtype=float))
+    gap = (own * own).sum(axis=1)[:, None] - 2.0 * own @ drawn.T + (drawn * drawn).sum(axis=1)[None, :]
     weight = np.exp(-np.maximum(gap, 0.0) / (2.0 * width**2))
-    # a row weighs its own point with 1
-    total = weight @ moments(x, answers) + moments(own, here)
-    n, sum_x, sum_y = total[:, 0], total[:, 1 : d + 1], total[:, d + 1]
-    x_mean, y_mean = sum_x / n[:, None], sum_y / n
-    moment = total[:, d + 2 : 2 * d + 2] - sum_x * y_mean[:, None]
-    gram = np.empty((len(own), d, d))
-    gram[:, upper[0], upper[1]] = total[:, 2 * d + 2 :]
-    gram[:, upper[1], upper[0]] = total[:, 2 * d + 2 :]
+    same = [(raw[:, j, None] == points[None, :, j]).astype(float) for j in coded]
+    other = math.exp(-1.0 / (2.0 * width**2))  # what a point of another code weighs
+    for match in same:
+        weight *= other + (1.0 - other) * match
+
+    k = len(plain)
+    upper = np.triu_indices(k)
+    first = np.column_stack([np.ones(len(points)), answers, drawn])
+    second = np.column_stack([drawn * answers[:, None], drawn[:, upper[0]] * drawn[:, upper[1]]])
+    # a row weighs its own point with 1, which has its own codes
+    mine = np.column_stack([np.ones(n), here, own])
+    one = weight @ first + mine
+    two = weight @ second + np.column_stack([own * here[:, None], own[:, upper[0]] * own[:, upper[1]]])
+    total, sum_y = one[:, 0], one[:, 1]
+    sum_x, sum_xy, gram = np.empty((n, d)), np.empty((n, d)), np.empty((n, d, d))
+    sum_x[:, plain], sum_xy[:, plain] = one[:, 2:], two[:, :k]
+    places = np.array(plain, int)
+    gram[:, places[upper[0]], places[upper[1]]] = gram[:, places[upper[1]], places[upper[0]]] = two[:, k:]
+    for i, j in enumerate(coded):
+        matched = weight * same[i]
+        part = matched @ first + mine
+        sum_x[:, j], sum_xy[:, j] = part[:, 0], part[:, 1]
+        gram[:, j, j] = part[:, 0]
+        gram[:, j, plain] = gram[:, plain, j] = part[:, 2:]
+        for h in range(i):
+            gram[:, j, coded[h]] = gram[:, coded[h], j] = np.einsum("nm,nm->n", matched, same[h]) + 1.0
+    x_mean, y_mean = sum_x / total[:, None], sum_y / total
+    moment = sum_xy - sum_x * y_mean[:, None]
     gram += ridge * np.eye(d) - sum_x[:, :, None] * x_mean[:, None, :]
     beta = np.linalg.solve(gram, moment[:, :, None])[:, :, 0]
     return np.column_stack([y_mean - (beta * x_mean).sum(axis=1), beta])
