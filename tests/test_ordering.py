@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskframe.functions import ordering
 from riskframe.functions.ordering import exact_quantiles, range_bounds, running_totals
 
 
@@ -66,3 +67,15 @@ def test_features_of_different_scale_share_the_passes(spark, monkeypatch, per_bu
     assert got["a"] == pytest.approx(np.quantile(wide, [0.1, 0.5]).tolist())
     assert got["b"] == pytest.approx(np.quantile(narrow, [0.1, 0.5]).tolist())
     assert got["c"] == [None, None]
+
+
+def test_ranks_meet_counted_keys_only(spark, skewed):
+    """No row carries the list of wanted ranks: keys are counted by hashing, without a sort of the rows."""
+    staged = skewed.select(F.col("g").alias("__g"), F.col("v").alias("__v"), F.lit(0).alias("__bucket"))
+    places = spark.createDataFrame(
+        [("a", 0, [(0, 0), (2999, 2999)])], "t_g string, t_bucket int, t_ranks array<struct<t_inner:bigint,t_rank:bigint>>"
+    )
+    picked = ordering._keys_at(staged, places)
+    assert "SortAggregate" not in picked._jdf.queryExecution().executedPlan().toString()
+    values = sorted(r["v"] for r in skewed.filter("g = 'a'").collect())
+    assert sorted(tuple(r) for r in picked.collect()) == [("a", values[0], 0), ("a", values[-1], 2999)]
