@@ -417,6 +417,25 @@ def test_search_gives_what_all_donors_give(df, scorers, apart):
                     assert set(answers) == {0} and answers[0]["cost"] is None
 
 
+def test_blocks_hand_on_few_copies(spark):
+    """Of a visited block only the copies that may be the cheapest are scored, not one row per donor."""
+    seen = []
+
+    class Counting(Scorecard):
+        def score(self, df, out="score"):
+            if "__rest" in df.columns:
+                seen.append(df.count())
+            return super().score(df, out)
+
+    draw = np.random.default_rng(8).normal(size=(1500, 2)).round(4).tolist()
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(draw)], "id bigint, a double, b double")
+    asked = df.filter("id % 30 = 0")
+    card = Counting(0.1, {"a": 1.0, "b": -0.7})
+    got = donors.search_counterfactuals(df, card, "id", ["a", "b"], {"a": 1.0, "b": 1.0}, n_cfs=2, queries=asked)
+    assert got.filter("cf_rank > 0").count() == 100
+    assert seen and max(seen) <= 50 * 20
+
+
 def test_blocks_are_bounded_from_below():
     draw = np.random.default_rng(3)
     points = draw.normal(size=(500, 3))
