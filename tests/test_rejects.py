@@ -131,6 +131,28 @@ def spread_by_matrix(ids, vectors, y, k, alpha, max_iter, tol):
     return (state[:, 1] > state[:, 0]).astype(int)
 
 
+def test_exact_neighbours_are_compared_once(spark, monkeypatch):
+    """Vectors in many dimensions, where every block meets every other: each travels once per tile,
+    and the joins that follow read the result."""
+    vectors = np.random.default_rng(6).normal(size=(400, 24))
+    ids = list(range(400))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors)], "id bigint, v array<double>")
+    probes = []
+    plain = type(df).mapInPandas
+
+    def counted(self, func, schema, *rest, **more):
+        out = plain(self, func, schema, *rest, **more)
+        if "target" in str(schema):
+            probes.append(out)
+        return out
+
+    monkeypatch.setattr(type(df), "mapInPandas", counted)
+    found = nearest_neighbours(df, "id", "v", 7, block_rows=16)
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["src"], r["dst"], r["distance"]) for r in found.collect()} == brute_neighbours(ids, vectors, 7)
+    assert len(probes) == 1 and probes[0].count() <= 400 * 13  # a row visited up to some 25 blocks
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_label_spreading_against_matrices(spark, crowd, monkeypatch, small):
     df, ids, vectors = crowd
