@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -110,6 +111,7 @@ def constrained_boosting(
         return model
     state = cut_lineage(rows.withColumn("f", F.lit(model.base)))
     multipliers: dict[tuple, float] = {}
+    held = None
     for turn in range(rounds):
         pull = F.lit(1.0)
         for (g, y), value in multipliers.items():
@@ -126,6 +128,8 @@ def constrained_boosting(
         state = moved.select("x", "y", "z", "w", (F.col("f") + F.lit(model.rate) * F.col("__t")).alias("f"))
         if (turn + 1) % CUT_EVERY == 0:
             state = cut_lineage(state)
+        # read by the rates and, several times, by the next fit: no pass runs earlier trees again
+        held, before = state.persist(StorageLevel.MEMORY_AND_DISK), held
         flags = state.withColumn("pred", (_chance(F.col("f")) >= threshold).cast("int"))
         rates = {}
         for r in confusion_counts(flags, ["z"], label="y").collect():  # one row per group
@@ -134,9 +138,13 @@ def constrained_boosting(
                 "fpr": r["fp"] / negatives if negatives else None,
                 "fnr": r["fn"] / positives if positives else None,
             }
+        if before is not None:
+            before.unpersist()
         gaps, over = error_gaps(rates, watched, tolerance)
         for cell, excess in over.items():
             multipliers[cell] = max(0.0, multipliers.get(cell, 0.0) + multiplier_step * excess)
         multipliers = {cell: value for cell, value in multipliers.items() if value > 0}
         model.history.append((turn, gaps["fpr"], gaps["fnr"], dict(multipliers)))
+    if held is not None:
+        held.unpersist()
     return model

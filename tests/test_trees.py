@@ -195,3 +195,18 @@ def test_dependence_of_odd_rows(spark, df):
     assert got == {v: pytest.approx(1 / (1 + math.exp(-(0.5 + v - 4.0)))) for v in (0.0, 1.0)}
     none = explain.partial_dependence(odd.limit(0), card, ["a"], {"a": [0.0, 1.0]}).collect()
     assert none == []
+
+
+def test_boosting_reads_each_round_from_memory(spark, df, monkeypatch):
+    """No pass of a later round runs the trees of the rounds before it; nothing stays in memory."""
+    plans, fit = [], constrained.DecisionTreeRegressor.fit
+
+    def watched(self, rows, *rest):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return fit(self, rows, *rest)
+
+    monkeypatch.setattr(constrained.DecisionTreeRegressor, "fit", watched)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    constrained.constrained_boosting(df, rounds=4, max_depth=2)
+    assert len(plans) == 4 and all("InMemoryTableScan" in p for p in plans[1:])
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
