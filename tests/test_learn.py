@@ -128,6 +128,19 @@ def test_search_over_folds_and_with_a_time_limit(parts):
     assert len(short.trials) == 1
 
 
+def test_scorers_of_folds_read_stored_scores(parts):
+    """A scorer's passes neither encode nor score the held-out rows again."""
+    plans = []
+
+    def scorer(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.agg(F.avg("score").alias("value"))
+
+    found = learn.search_folds("logistic", SMALL_LOGISTIC, parts[0], SPEC, folds=2, n_trials=1, seed=2, scorer=scorer)
+    assert 0 < found.best_value < 1
+    assert len(plans) == 2 and not any("UDF" in p for p in plans)
+
+
 def test_folded_encoders_equal_fits_per_fold(spark, apps):
     odd = apps.withColumns({
         "amount": F.when(F.col("app_id") % 7 == 0, None).otherwise(F.col("amount")),
