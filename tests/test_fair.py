@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators import fair, learn, measure
 from riskframe.operators.features import FeatureEncoder
+from riskframe.plans import flows
 from riskframe.plans.learning import FAIR_SPEC
 
 
@@ -99,3 +100,17 @@ def test_constrained_fit_narrows_the_gap(apps):
     assert abs(after["aod"]) < worst[0]
     with pytest.raises(ValueError, match="constraint"):
         fair.constrained_fit(ready, learn.Classifier("logistic"), constraint="auc")
+
+
+def test_thresholds_are_sought_on_stored_scores(apps, monkeypatch):
+    """The search's passes do not score the training rows again."""
+    plans, search = [], fair.threshold_search
+
+    def watched(df, *rest, **more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return search(df, *rest, **more)
+
+    monkeypatch.setattr(fair, "threshold_search", watched)
+    flags = flows.fairness_methods(apps.filter("app_id % 5 > 0"), apps.filter("app_id % 5 = 0"), FAIR_SPEC)
+    assert flags.select("model").distinct().count() >= 4
+    assert len(plans) == 1 and "UDF" not in plans[0]
