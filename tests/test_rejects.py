@@ -153,6 +153,23 @@ def test_exact_neighbours_are_compared_once(spark, monkeypatch):
     assert len(probes) == 1 and probes[0].count() <= 400 * 13  # a row visited up to some 25 blocks
 
 
+def test_crowded_ends_are_counted_once(crowd, monkeypatch):
+    """Where the labels are too many to broadcast, no round counts the edges again."""
+    df, _, _ = crowd
+    attach, rounds = rejects.attach_state, []
+
+    def watched(rows, side, key, state_key, values, **more):
+        if values == ["n0", "n1"]:
+            rounds.append(more["hot_keys"])
+        return attach(rows, side, key, state_key, values, **more)
+
+    monkeypatch.setattr(rejects, "fits_broadcast", lambda *a, **k: False)
+    monkeypatch.setattr(rejects, "attach_state", watched)
+    labels = df.withColumn("y", F.when(F.col("id") % 4 == 0, F.col("id") % 8 / 4).otherwise(-1).cast("int"))
+    rejects.label_spreading(labels, "id", "v", max_iter=2, tol=0.0).count()
+    assert len(rounds) == 2 and rounds[0] is not None and rounds[0] is rounds[1]
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_label_spreading_against_matrices(spark, crowd, monkeypatch, small):
     df, ids, vectors = crowd
