@@ -14,8 +14,10 @@ from riskframe.llm.common import Workspace, map_texts
 #: Bounds of the table of frequent words that is sent to every task.
 HEAD_ROWS = 200_000
 HEAD_BYTES = 16 << 20
-#: Distinct words a task remembers beyond that table before it starts afresh.
-CACHE = 400_000
+#: Bytes of words and ids that a task remembers beyond that table before it starts afresh, some per entry besides.
+CACHE_BYTES, PER_WORD = 16 << 20, 160
+#: Texts whose words are split and looked up together, which bounds the lists of words.
+TEXTS_AT_ONCE = 32
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEAR = re.compile(r"\s\s")
 #: One space between two other characters: tokens never reach across its left side.
@@ -76,14 +78,18 @@ class Encoder:
     def __init__(self, path: str, head: dict[str, bytes] | None = None):
         self.vocabulary = Vocabulary(path)
         self.head = head or {}
-        self.words = dict(self.head)  # ids of a word after a space
+        self.forget()
         marks = sorted(self.vocabulary.special, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
 
+    def forget(self) -> None:
+        self.words = dict(self.head)  # ids of a word after a space
+        self.held = 0  # bytes of those beyond the head
+
     def learn(self, words: list[str]) -> None:
         """Encode new words, many in one call: a token that starts with a space starts a word."""
-        if len(self.words) + len(words) > CACHE + len(self.head):
-            self.words = dict(self.head)
+        if self.held > CACHE_BYTES:
+            self.forget()
         easy = [w for w in words if w and not w[0].isspace() and not w[-1].isspace() and " " not in w]
         if easy:
             ids = self.vocabulary.encode(" " + " ".join(easy))
@@ -98,9 +104,16 @@ class Encoder:
         for word in words:
             if word not in known:
                 self.words[word] = self.vocabulary.encode(" " + word).tobytes()
+        self.held += sum(len(w) + len(self.words[w]) + PER_WORD for w in words)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: none)."""
+        out = []
+        for start in range(0, len(texts), TEXTS_AT_ONCE):
+            out += self._encode(texts[start : start + TEXTS_AT_ONCE])
+        return out
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         pieces, plan = [], []  # plan: literal bytes or a range of pieces, per text
         for text in texts:
             steps: list = []
@@ -162,7 +175,7 @@ def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         encoder = Encoder(path)
         for batch in batches:
             words = batch.column(0).to_pylist()
-            encoder.words.clear()
+            encoder.forget()
             encoder.learn(words)
             ids = pa.array([encoder.words[w] for w in words], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["word", "n", "ids"])

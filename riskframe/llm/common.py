@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from riskframe.session import scratch_path
+from riskframe.session import scratch_path, small_batches
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,8 @@ def map_texts(
 def text_function(kind: str, make: Callable[[], Callable]) -> Callable[[Column], Column]:
     """A column function over whole texts: ``make()`` gives ``kernel(texts) -> values`` once per task.
 
-    The texts of a batch become Python objects a few at a time.
+    The texts of a batch become Python objects a few at a time, and their values go
+    out as they come: no second copy of the batch is gathered.
     """
     values = to_arrow_schema(StructType.fromDDL(f"v {kind}"))[0].type
 
@@ -68,9 +69,8 @@ def text_function(kind: str, make: Callable[[], Callable]) -> Callable[[Column],
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kernel = make()
         for batch in batches:
-            parts = [batch.slice(start, TEXTS_PER_CALL) for start in range(0, len(batch), TEXTS_PER_CALL)]
-            done = [pa.array(kernel(part.to_pylist()), type=values) for part in parts]
-            yield pa.concat_arrays(done) if done else pa.array([], type=values)
+            for start in range(0, len(batch), TEXTS_PER_CALL):
+                yield pa.array(kernel(batch.slice(start, TEXTS_PER_CALL).to_pylist()), type=values)
 
     return run
 
@@ -81,7 +81,8 @@ class Workspace:
     A table written and read again cuts the lineage, so a lost executor costs a
     re-read, not a re-run; and a join that reads it has exchanges on both sides,
     which lets adaptive execution split hot keys. ``release`` deletes every
-    table but those named, once their content has moved on.
+    table but those named, once their content has moved on. While it is written,
+    Python workers get a few megabytes of rows at once.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -89,7 +90,8 @@ class Workspace:
 
     def settle(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, f"{self.label}-{name}")
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

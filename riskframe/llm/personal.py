@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe.llm.common import map_texts, text_function
+from riskframe.session import small_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "name", "ssn", "iban", "birth", "tel")
@@ -299,7 +300,8 @@ def _features(patterns: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def fit_span_classifier(docs: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, bool]:
     """Verdict per pattern: labelers vote on all documents' candidates, EM weighs them,
     a logistic classifier is trained on the posteriors. No candidates: no verdicts."""
-    rows = pattern_counts(docs, key, text).collect()  # bounded by the number of patterns
+    with small_batches(docs.sparkSession):
+        rows = pattern_counts(docs, key, text).collect()  # bounded by the number of patterns
     if not rows:
         return {}
     rows = sorted(rows, key=lambda r: r["pattern"])

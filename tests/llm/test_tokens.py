@@ -6,12 +6,16 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("riskframe.llm")
 tokenizers = pytest.importorskip("tokenizers")
 from riskframe.llm import bpe, packing  # noqa: E402
+from riskframe.llm.common import TEXTS_PER_CALL, Workspace, text_function  # noqa: E402
 from riskframe.llm.queries import tokenizer_path  # noqa: E402
+from riskframe.session import BATCH_BYTES  # noqa: E402
 
 PARTS = [" ", "  ", "\n", "\t", "a", "'s", "é", "1", "!", "<|endoftext|>", " ", "hello", "\x1c", "\u0085", "😀", "٣", "foo.", "'"]
 
@@ -126,3 +130,47 @@ def test_clashing_columns_of_encoding_and_packing(spark, library):
     assert got == {1: len(library.encode("hello").ids), 2: 0}
     packed = packing.pack_documents(df, tokenizer_path(), capacity=8).collect()
     assert sorted((r["doc_id"], r["length"]) for r in packed) == [(1, got[1] + 1), (2, 1)]
+
+
+def test_remembered_words_are_bounded_in_bytes(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 60_000)
+    draw = random.Random(5)
+    rows = [" ".join(f"w{draw.randrange(10**9)}" for _ in range(40)) for _ in range(600)] + texts(100) + ["é😀" * 9000 + " a"]
+    encoder = bpe.Encoder(tokenizer_path())
+    most = 0
+    for start in range(0, len(rows), 64):
+        part = rows[start : start + 64]
+        for text, ids in zip(part, encoder.encode(part), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        most = max(most, len(encoder.words))
+    # one lookup's words may come on top
+    assert most * bpe.PER_WORD <= 60_000 + bpe.TEXTS_AT_ONCE * 60 * (bpe.PER_WORD + 40)
+    assert encoder.encode([]) == []
+
+
+def test_a_table_written_in_passing_reaches_python_in_small_batches(spark, tmp_path):
+    name = BATCH_BYTES[0]
+    before = spark.conf.get(name, None)
+    docs = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abc "), 2000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    rows = Workspace(spark, "test").settle(docs.mapInArrow(sizes, "n long"), "sizes").collect()
+    assert sum(r["n"] for r in rows) >= 4000 * 8000 and max(r["n"] for r in rows) <= 12 << 20
+    assert spark.conf.get(name, None) == before
+
+
+def test_a_text_function_gives_its_values_as_they_come(spark):
+    sent = []
+    upper = text_function("string", lambda: lambda part: [t and t.upper() for t in part])
+    values = [None, "", *(f"x{i}" for i in range(1000))]
+    for out in upper.func(iter([pa.array(values), pa.array([], pa.string())])):
+        sent.append(out)
+    assert [v for out in sent for v in out.to_pylist()] == [v and v.upper() for v in values]
+    assert max(map(len, sent)) <= TEXTS_PER_CALL
+    df = spark.createDataFrame(list(enumerate(values)), "i long, t string").coalesce(1)
+    assert {r["i"]: r["u"] for r in df.select("i", upper("t").alias("u")).collect()} == {
+        i: v and v.upper() for i, v in enumerate(values)
+    }
