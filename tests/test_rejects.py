@@ -236,3 +236,47 @@ def test_trees_find_the_neighbours(spark, monkeypatch, deep):
     assert {r["src"] for r in listed} == set(ids.tolist()) and len(everything) == 909
     none = neighbours.nearest_neighbours(df.limit(1), "id", "v", 6, recall=0.9).collect()
     assert len(none) == 1
+
+
+def test_spreading_in_blocks_against_matrices(crowd, monkeypatch):
+    """Large graphs are spread in blocks; nodes come twice or without a name, and a round sends numbers once per block."""
+    from riskframe.operators import spreading
+
+    df, ids, vectors = crowd
+    y = {i: -1 if i % 4 else int(v[0] > 0) for i, v in zip(ids, vectors)}
+    spark = df.sparkSession
+    edges = [(a, b) for a, b, _ in brute_neighbours(ids, vectors, 7)]
+    neighbours = spark.createDataFrame(edges, "src bigint, dst bigint")
+    rows = [(i, float(v == 0), float(v == 1)) for i, v in y.items()]
+    given = spark.createDataFrame([*rows, (None, 0.0, 1.0)], "node bigint, y0 double, y1 double")
+    got = spreading.spread_in_blocks(given, neighbours, 0.2, 30, 1e-3, nodes=50).collect()
+    want = spread_by_matrix(ids, vectors, np.array([y[i] for i in ids]), 7, 0.2, 30, 1e-3)
+    assert {r["node"]: r["label"] for r in got} == {**dict(zip(ids, want.tolist())), None: 1}
+    twice = given.unionByName(given)
+    again = spreading.spread_in_blocks(twice, neighbours, 0.2, 2, 0.0, nodes=50).collect()
+    assert len(again) == 2 * len(got)
+    # the rows beyond a size take that way
+    calls = []
+    plain = rejects.spread_in_blocks
+    monkeypatch.setattr(rejects, "spread_in_blocks", lambda *a: calls.append(1) or plain(*a))
+    monkeypatch.setattr(rejects, "fits_broadcast", lambda *a, **k: False)
+    monkeypatch.setattr(rejects, "BLOCKS_FROM", 100)
+    labels = spark.createDataFrame(list(y.items()), "id bigint, y int")
+    found = rejects.label_spreading(df.join(labels, "id"), "id", "v", neighbours=neighbours)
+    assert {r["id"]: r["y"] for r in found.collect()} == dict(zip(ids, want.tolist())) and calls
+
+
+def test_trees_along_axes_deal_a_row_once(spark, monkeypatch):
+    """In few dimensions one dealing finds the neighbours: no tree of projections is grown."""
+    from riskframe.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "AXIS_ROWS", 600)
+    monkeypatch.setattr(neighbours, "upper_cuts", None)
+    points = np.random.default_rng(4).normal(size=(3000, 2)).round(5)
+    points = np.column_stack([points, np.arange(3000) % 3])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id bigint, v array<double>")
+    distinct = neighbours.distinct_vectors(df, "id", "v", 7).cache()
+    pairs, share = neighbours.tree_neighbours(distinct, 3000, 6, 0.9)
+    assert share >= 0.9
+    found = pairs.groupBy("rep").count().agg(F.count("*"), F.min("count"), F.max("count")).first()
+    assert tuple(found) == (3000, 6, 6)
