@@ -449,3 +449,17 @@ def test_blocks_are_bounded_from_below():
     bound = donors.block_bounds(old, ranges, scales, 0.2)
     cost = (np.abs(points[None] - old[:, None]) / scales + 0.2 * (points[None] != old[:, None])).sum(axis=2) / 3
     assert all((bound[:, k] <= cost[:, leaf == k].min(axis=1) + 1e-12).all() for k in range(16))
+
+
+def test_small_boxes_inside_a_block_change_no_answer(spark):
+    """One block of all donors: its boxes hold each donor once, and answers are those of small blocks."""
+    draw = np.random.default_rng(12).normal(size=(1200, 2)).round(3)
+    boxes = donors.small_boxes(draw, 64)
+    assert sorted(boxes[boxes >= 0].tolist()) == list(range(1200)) and boxes.shape[1] <= 64 and len(boxes) >= 19
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(draw.tolist())], "id bigint, a double, b double")
+    card, asked = Scorecard(0.2, {"a": 1.0, "b": -0.6}), df.filter("id % 20 = 0")
+    found = []
+    for rows in (32, 5000):
+        got = donors.search_counterfactuals(df, card, "id", ["a", "b"], {"a": 1.0, "b": 1.0}, queries=asked, block_rows=rows)
+        found.append(sorted(map(tuple, got.collect())))
+    assert found[0] == found[1] and len(found[0]) == 180
