@@ -136,7 +136,8 @@ def _summed(df: DataFrame, features: Sequence[str], scores) -> DataFrame:
 
     plain = df.select(*[F.col(f).cast("double").alias(f) for f in names])
     sums = plain.mapInPandas(add_up, "point int, total double, n long")
-    whole = sums.groupBy("point").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    # the batches' averages have the ratio of the sums
+    whole = sums.groupBy("point").agg(F.avg("total").alias("total"), F.avg("n").alias("n"))
     return whole.select("point", F.try_divide("total", "n").alias("average"))
 
 
