@@ -271,6 +271,7 @@ def test_trees_along_axes_deal_a_row_once(spark, monkeypatch):
     from riskframe.operators import neighbours
 
     monkeypatch.setattr(neighbours, "AXIS_ROWS", 600)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 600)
     monkeypatch.setattr(neighbours, "upper_cuts", None)
     points = np.random.default_rng(4).normal(size=(3000, 2)).round(5)
     points = np.column_stack([points, np.arange(3000) % 3])
